@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillpoint.functions.columns import dround
 from tillpoint.operators import forecast as fc
 from tillpoint.plans.context import Ctx
+from tillpoint.session import ensure_checkpoint_dir
 
 
 def memo(c: Ctx, name: str, build):
@@ -17,6 +18,17 @@ def memo(c: Ctx, name: str, build):
     return c._memo[name]
 
 
+def materialized(c: Ctx, name: str, build):
+    """Memoised and checkpointed: for small intermediates (bounded by the
+    pool size and the calendar, never by the number of lines) that many
+    branches of one plan read.  Cuts lineage so each branch reads the
+    written result instead of re-running the scan and joins over lines."""
+    def run():
+        ensure_checkpoint_dir(c.spark)
+        return build().checkpoint(eager=True)
+    return memo(c, name, run)
+
+
 def cal(c: Ctx):
     return memo(c, "cal", lambda: fc.calendar(c.lines))
 
@@ -26,7 +38,7 @@ def popularity(c: Ctx):
 
 
 def selection(c: Ctx):
-    return memo(c, "sel", lambda: fc.select_series(popularity(c)))
+    return materialized(c, "sel", lambda: fc.select_series(popularity(c)))
 
 
 def top(c: Ctx):
@@ -35,7 +47,7 @@ def top(c: Ctx):
 
 def stat_weekly(c: Ctx):
     """All products + the reported top SKUs (semi-join on the selection)."""
-    return memo(c, "stat_weekly", lambda: fc.weekly_units(c.lines, cal(c), top(c)))
+    return materialized(c, "stat_weekly", lambda: fc.weekly_units(c.lines, cal(c), top(c)))
 
 
 def origins(c: Ctx):
@@ -51,7 +63,7 @@ def folds(c: Ctx):
 
 
 def names(c: Ctx):
-    return memo(c, "names", lambda: fc.product_names(c.lines, cal(c), top(c)))
+    return materialized(c, "names", lambda: fc.product_names(c.lines, cal(c), top(c)))
 
 
 def selected(c: Ctx):
