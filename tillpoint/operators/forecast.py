@@ -91,6 +91,20 @@ def origins(spark, cal: Calendar) -> DataFrame:
     return spark.createDataFrame(cal.origin_rows(), "origin date, kind string, fold int")
 
 
+def line_facts(lines: DataFrame) -> DataFrame:
+    """Compact fact table for the forecasting jobs, one pass over the lines.
+
+    Grain (stock, week, invoice, description): every forecasting input
+    (calendar, popularity, product names, weekly units) is an aggregate of
+    it.  The grain contains the invoice key, so on order-key partitioned
+    lines the aggregation needs no exchange.
+    """
+    return lines.groupBy("stock_code", "week_start", "invoice_no", "description").agg(
+        F.sum("quantity").cast("bigint").alias("quantity"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.max("invoice_date").alias("invoice_date"))
+
+
 def _in_window(lines: DataFrame, lo: datetime.date, hi: datetime.date, hi_inclusive: bool) -> DataFrame:
     upper = F.col("week_start") <= F.lit(hi) if hi_inclusive else F.col("week_start") < F.lit(hi)
     return lines.where((F.col("week_start") >= F.lit(lo)) & upper)
@@ -268,8 +282,14 @@ def product_names(lines: DataFrame, cal: Calendar, codes: DataFrame) -> DataFram
     """Series label -> product name: modal description of the SKU in the
     initial period ("Unknown" when absent); "All product units" for the total."""
     initial = _in_window(lines, cal.first_week, cal.initial_end, hi_inclusive=False)
-    names = (initial.join(F.broadcast(codes.select("stock_code")), "stock_code", "left_semi")
-             .groupBy("stock_code").agg(F.mode("description", deterministic=True).alias("product")))
+    weight = F.col("n_lines") if "n_lines" in lines.columns else F.lit(1)
+    counts = (initial.join(F.broadcast(codes.select("stock_code")), "stock_code", "left_semi")
+              .where(F.col("description").isNotNull())
+              .groupBy("stock_code", "description").agg(F.sum(weight).alias("n")))
+    # Modal description (ties: smallest); a group holds one row per description.
+    w = Window.partitionBy("stock_code").orderBy(F.desc("n"), F.asc("description"))
+    names = (counts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+             .select("stock_code", F.col("description").alias("product")))
     sku = (codes.select("stock_code").join(names, "stock_code", "left")
            .select(F.col("stock_code").alias("series"),
                    F.coalesce("product", F.lit(UNKNOWN_NAME)).alias("product")))

@@ -11,53 +11,77 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.functions.columns import dround, money, month_label, safe_div
+from tillpoint.functions.columns import dround, money, month_label, month_start, safe_div
+from tillpoint.functions.ordering import count_order_inversions
+from tillpoint.operators import grains
 from tillpoint.operators import customers as cu
 from tillpoint.operators import quality as q
 from tillpoint.operators.products import home_country
 from tillpoint.operators.revenue import focus_months
 
 
-def headline_metrics(raw: DataFrame, lines: DataFrame, invoices_df: DataFrame,
-                     customers_df: DataFrame) -> DataFrame:
+def invoice_full(lines: DataFrame) -> DataFrame:
+    """Invoice grain plus every per-invoice check, in one aggregation.
+
+    Carries the ``invoices`` columns, so the grains and marts can read it,
+    and the line-level counts as sums, so no headline part needs the lines
+    again (except the distinct product count).
+    """
     same = (F.dayofmonth("parsed_ts") == F.month("parsed_ts")) & (F.dayofmonth("parsed_ts") <= 12)
-    line_part = lines.agg(
-        F.count(F.lit(1)).alias("rows"),
+    return (lines.groupBy("invoice_no").agg(
+        F.min("customer_id").alias("customer_id"),
+        F.min("country").alias("country"),
+        F.min("invoice_date").alias("invoice_date"),
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.sum("quantity").cast("bigint").alias("items"),
+        F.max("invoice_date").alias("last_ts"),
+        F.min("parsed_ts").alias("first_raw_ts"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if("was_swapped").alias("n_swapped"),
+        F.count_if(same).alias("n_same_day_month"))
+        .withColumn("month", month_start("invoice_date")))
+
+
+def headline_metrics(raw: DataFrame, lines: DataFrame, inv: DataFrame) -> DataFrame:
+    """``inv`` is ``invoice_full(lines)``, ideally materialised once."""
+    line_part = inv.agg(
+        F.sum("n_lines").cast("bigint").alias("rows"),
         F.sum("revenue_cents").alias("rc"),
-        F.count_if("was_swapped").cast("bigint").alias("date_swapped_rows"),
-        F.count_if(same).cast("bigint").alias("date_same_day_month_rows"),
+        F.sum("n_swapped").cast("bigint").alias("date_swapped_rows"),
+        F.sum("n_same_day_month").cast("bigint").alias("date_same_day_month_rows"),
         F.min("invoice_date").alias("date_min"),
-        F.max("invoice_date").alias("date_max"),
-        F.date_add(F.to_date(F.max("invoice_date")), 1).alias("asof_date"))
+        F.max("last_ts").alias("date_max"),
+        F.date_add(F.to_date(F.max("last_ts")), 1).alias("asof_date"))
     products = lines.agg(F.countDistinct("stock_code").alias("products"))
-    inv_part = invoices_df.agg(F.count(F.lit(1)).alias("invoices"),
-                               F.countDistinct("customer_id").alias("customers"),
-                               F.countDistinct("country").alias("countries"))
-    checks = q.invoice_checks(lines).agg(
-        F.count_if("multi_ts").cast("bigint").alias("invoices_with_multiple_corrected_timestamps"))
-    inversions = q.chronology_inversions(lines).select(
-        F.col("inversions_raw").alias("invoice_date_inversions_raw"),
-        F.col("inversions_corrected").alias("invoice_date_inversions_corrected"))
-    multi = cu.multi_country_customers(invoices_df).select(
+    inv_part = inv.agg(F.count(F.lit(1)).alias("invoices"),
+                       F.countDistinct("customer_id").alias("customers"),
+                       F.countDistinct("country").alias("countries"),
+                       F.count_if(F.col("invoice_date") != F.col("last_ts")).cast("bigint")
+                       .alias("invoices_with_multiple_corrected_timestamps"))
+    inversions = count_order_inversions(inv, "invoice_no", ["first_raw_ts", "invoice_date"]).select(
+        F.col("first_raw_ts").alias("invoice_date_inversions_raw"),
+        F.col("invoice_date").alias("invoice_date_inversions_corrected"))
+    multi = cu.multi_country_customers(inv).select(
         F.col("customers_multiple_countries").alias("customer_multiple_country_count"))
     dup = q.duplicate_sensitivity(raw).select(
         F.col("possible_duplicate_rows").alias("duplicate_exact_rows"),
         F.col("revenue_if_duplicates_dropped").alias("revenue_if_exact_duplicates_dropped"),
         F.coalesce(F.col("sensitivity_value"), F.lit(0.0)).alias("duplicate_revenue_sensitivity"))
+    customers_df = grains.customers(inv, inv.select(F.col("last_ts").alias("invoice_date")))
     rep = customers_df.agg(
         F.count_if(F.col("orders") >= 2).cast("bigint").alias("repeat_customers_multi_invoice"),
         money(F.sum(F.when(F.col("orders") >= 2, F.col("revenue_cents")).otherwise(0)))
         .alias("repeat_customers_multi_invoice_revenue"),
         F.count_if(F.col("orders") == 1).cast("bigint").alias("single_invoice_customers"))
-    home = home_country(invoices_df)
-    home_share = (invoices_df.crossJoin(F.broadcast(home))
+    home = home_country(inv)
+    home_share = (inv.crossJoin(F.broadcast(home))
                   .agg(F.first("home_country").alias("home_country"),
                        dround(F.lit(100.0) * safe_div(
                            F.sum(F.when(F.col("country") == F.col("home_country"), F.col("revenue_cents"))
                                  .otherwise(0)),
                            F.sum("revenue_cents")), 2).alias("home_revenue_share_pct")))
-    fm = focus_months(invoices_df)
-    focus = (invoices_df.crossJoin(F.broadcast(fm))
+    fm = focus_months(inv)
+    focus = (inv.crossJoin(F.broadcast(fm))
              .groupBy("from_month", "to_month")
              .agg(F.sum(F.when(F.col("month") == F.col("from_month"), F.col("revenue_cents"))).alias("f_rc"),
                   F.sum(F.when(F.col("month") == F.col("to_month"), F.col("revenue_cents"))).alias("t_rc"),
@@ -70,7 +94,7 @@ def headline_metrics(raw: DataFrame, lines: DataFrame, invoices_df: DataFrame,
                      F.col("t_n").cast("bigint").alias("focus_to_orders"),
                      dround(safe_div(money("f_rc"), "f_n"), 2).alias("focus_from_aov"),
                      dround(safe_div(money("t_rc"), "t_n"), 2).alias("focus_to_aov")))
-    parts = [line_part, products, inv_part, checks, inversions, multi, dup, rep, home_share, focus]
+    parts = [line_part, products, inv_part, inversions, multi, dup, rep, home_share, focus]
     row = reduce(lambda a, b: a.crossJoin(b), parts)
     return row.select(
         "rows", "customers", "invoices", "products", "countries",

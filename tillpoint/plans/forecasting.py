@@ -29,12 +29,17 @@ def materialized(c: Ctx, name: str, build):
     return memo(c, name, run)
 
 
+def facts(c: Ctx):
+    """The lines reduced to the forecasting grain, written once per query."""
+    return materialized(c, "facts", lambda: fc.line_facts(c.lines))
+
+
 def cal(c: Ctx):
-    return memo(c, "cal", lambda: fc.calendar(c.lines))
+    return memo(c, "cal", lambda: fc.calendar(facts(c)))
 
 
 def popularity(c: Ctx):
-    return memo(c, "pop", lambda: fc.sku_popularity(c.lines, cal(c)))
+    return memo(c, "pop", lambda: fc.sku_popularity(facts(c), cal(c)))
 
 
 def selection(c: Ctx):
@@ -47,7 +52,7 @@ def top(c: Ctx):
 
 def stat_weekly(c: Ctx):
     """All products + the reported top SKUs (semi-join on the selection)."""
-    return materialized(c, "stat_weekly", lambda: fc.weekly_units(c.lines, cal(c), top(c)))
+    return materialized(c, "stat_weekly", lambda: fc.weekly_units(facts(c), cal(c), top(c)))
 
 
 def origins(c: Ctx):
@@ -63,7 +68,7 @@ def folds(c: Ctx):
 
 
 def names(c: Ctx):
-    return materialized(c, "names", lambda: fc.product_names(c.lines, cal(c), top(c)))
+    return materialized(c, "names", lambda: fc.product_names(facts(c), cal(c), top(c)))
 
 
 def selected(c: Ctx):
@@ -124,7 +129,7 @@ def _leakage(c: Ctx):
 
 
 def _semi_join_selected(c: Ctx):
-    weekly = fc.weekly_units(c.lines, cal(c))
+    weekly = fc.weekly_units(facts(c), cal(c))
     return (weekly.join(F.broadcast(top(c)), F.col("series") == F.col("stock_code"), "left_semi")
             .select("series", "week_start", "units"))
 
@@ -134,7 +139,7 @@ def _subset_check(c: Ctx):
 
 
 QUERIES = {
-    "weekly_units": lambda c: fc.weekly_units(c.lines, cal(c)).select("series", "week_start", "units"),
+    "weekly_units": lambda c: fc.weekly_units(facts(c), cal(c)).select("series", "week_start", "units"),
     "sku_popularity": lambda c: popularity(c),
     "select_series": lambda c: selection(c),
     "semi_join_selected": _semi_join_selected,

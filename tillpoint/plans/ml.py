@@ -13,7 +13,7 @@ from tillpoint.functions.columns import dround, wape_expr
 from tillpoint.operators import forecast as fc
 from tillpoint.operators import ml
 from tillpoint.plans.context import Ctx
-from tillpoint.plans.forecasting import cal, materialized, memo, names, origins, selection, top
+from tillpoint.plans.forecasting import cal, facts, materialized, memo, names, origins, selection, top
 from tillpoint.session import ensure_checkpoint_dir
 
 ALL_METHODS = fc.METHODS + ml.ML_METHODS
@@ -21,7 +21,7 @@ _RESULTS: dict = {}
 
 
 def pool_weekly(c: Ctx) -> DataFrame:
-    return materialized(c, "pool_weekly", lambda: fc.weekly_units(c.lines, cal(c), fc.pool_codes(selection(c))))
+    return materialized(c, "pool_weekly", lambda: fc.weekly_units(facts(c), cal(c), fc.pool_codes(selection(c))))
 
 
 def panel(c: Ctx) -> DataFrame:
