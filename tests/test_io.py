@@ -40,3 +40,20 @@ def test_csv_extract_reader(spark):
     r = read_csv_extract(spark, p).first()
     assert r.invoice_no == 536365 and str(r.unit_price) == "2.55" and r.invoice_date_text == "2010-01-12 08:26:00"
     assert len(r) == len(RAW_SCHEMA.fields)
+
+
+def test_stream_repairs_like_batch(spark):
+    from tillpoint.streaming import repaired_line_stream, write_repaired_lines
+
+    d = tempfile.mkdtemp(prefix="tp-stream-")
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("InvoiceNo,StockCode,Description,Quantity,UnitPrice,CustomerID,Country,InvoiceDate,Y,M,W,D,WD\n")
+        f.write("1,A,x,2,1.50,7,UK,2010-01-12 08:26:00,2010,1,2,12,1\n")
+        f.write("2,B,y,1,3.00,8,UK,2011-11-15 09:10:00,2011,11,46,15,1\n")
+    q = write_repaired_lines(repaired_line_stream(spark, src), os.path.join(d, "out"), os.path.join(d, "ck"), once=True)
+    q.awaitTermination(120)
+    rows = {r.invoice_no: r for r in spark.read.parquet(os.path.join(d, "out")).collect()}
+    assert str(rows[1].invoice_date) == "2010-12-01 08:26:00" and rows[1].revenue == 3.0
+    assert str(rows[2].invoice_date) == "2011-11-15 09:10:00"
