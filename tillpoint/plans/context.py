@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillpoint.operators import grains, repair
 from tillpoint.session import apply_sql_conf
 from tillpoint.sources.adapter import read_extract
+from tillpoint.sources.staging import staged
 
 
 class Ctx:
@@ -21,7 +22,7 @@ class Ctx:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return read_extract(self.spark, self.sf_dir)
+        return staged(self.spark, self.sf_dir, lambda: read_extract(self.spark, self.sf_dir))
 
     @cached_property
     def lines(self) -> DataFrame:
