@@ -151,29 +151,34 @@ def pool_codes(selection: DataFrame) -> DataFrame:
     return selection.where(F.col("pool_rank") > 0).select("stock_code", "pool_rank")
 
 
+def week_axis(cal: Calendar) -> Column:
+    """Generator of the dense week axis (fixed length, e.g. 52 Mondays)."""
+    return F.explode(F.sequence(F.lit(cal.first_week), F.lit(cal.last_week),
+                                F.expr("INTERVAL 7 DAYS"))).alias("week_start")
+
+
 def week_grid(spark, cal: Calendar) -> DataFrame:
-    """The dense week axis (fixed length, e.g. 52 rows)."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(cal.first_week), F.lit(cal.last_week), F.expr("INTERVAL 7 DAYS")))
-        .alias("week_start"))
+    """The dense week axis as a frame."""
+    return spark.range(1).select(week_axis(cal))
 
 
 def weekly_units(lines: DataFrame, cal: Calendar, codes: DataFrame | None = None) -> DataFrame:
     """Dense zero-filled weekly units: "All products" plus one series per code.
 
     ``codes`` (one column ``stock_code``) restricts the SKU series; by
-    default every code in the extract gets a series.  The week grid has a
-    fixed length, so it is broadcast; codes x weeks is the dense index.
+    default every code in the extract gets a series.  Each code row
+    generates its own fixed-length week axis (a projection, no join); the
+    dense index then left-joins the sparse sums on (code, week).
     """
     in_range = _in_window(lines, cal.first_week, cal.last_week, hi_inclusive=True)
     sku = in_range.groupBy("stock_code", "week_start").agg(F.sum("quantity").cast("bigint").alias("units"))
     total = sku.groupBy("week_start").agg(F.sum("units").cast("bigint").alias("units"))
-    grid = F.broadcast(week_grid(lines.sparkSession, cal))
+    grid = week_grid(lines.sparkSession, cal)
     if codes is None:
         codes = lines.select("stock_code").distinct()
     else:
         codes = codes.select("stock_code")
-    sku_grid = (codes.crossJoin(grid).join(sku, ["stock_code", "week_start"], "left")
+    sku_grid = (codes.select("stock_code", week_axis(cal)).join(sku, ["stock_code", "week_start"], "left")
                 .select(F.col("stock_code").alias("series"), "week_start",
                         F.coalesce("units", F.lit(0)).cast("bigint").alias("units"),
                         F.lit(False).alias("is_all")))

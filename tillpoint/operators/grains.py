@@ -58,8 +58,9 @@ def customers(invoices_df: DataFrame, lines: DataFrame) -> DataFrame:
                  F.min("invoice_date").alias("first_purchase"),
                  F.max("invoice_date").alias("last_purchase"),
                  F.min("month").alias("first_observed_month")))
-    cust = cust.crossJoin(F.broadcast(as_of_date(lines)))
+    # The as-of date is an uncorrelated scalar subquery: evaluated once,
+    # then a constant in the projection (no join with the customers).
+    as_of = as_of_date(lines).select("as_of").scalar()
     return (cust.withColumn("recency_days",
-                            F.datediff("as_of", F.to_date("last_purchase")).cast("bigint"))
-            .withColumn("segment", segment_expr("recency_days", "orders"))
-            .drop("as_of"))
+                            F.datediff(as_of, F.to_date("last_purchase")).cast("bigint"))
+            .withColumn("segment", segment_expr("recency_days", "orders")))

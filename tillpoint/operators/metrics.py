@@ -1,13 +1,13 @@
 """Headline metrics: one row of scalars assembled from one-row aggregates.
 
-Each part is a global aggregate (partial per task, one tiny final merge);
-the parts are joined as 1-row frames, so nothing large is broadcast.
+Each part is a global aggregate (partial per task, one tiny final merge).
+The first part is the row; every other part enters it as an uncorrelated
+scalar subquery, which Catalyst merges per source plan and runs once.
+There is no join between the parts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,29 +73,29 @@ def headline_metrics(raw: DataFrame, lines: DataFrame, inv: DataFrame) -> DataFr
         money(F.sum(F.when(F.col("orders") >= 2, F.col("revenue_cents")).otherwise(0)))
         .alias("repeat_customers_multi_invoice_revenue"),
         F.count_if(F.col("orders") == 1).cast("bigint").alias("single_invoice_customers"))
-    home = home_country(inv)
-    home_share = (inv.crossJoin(F.broadcast(home))
-                  .agg(F.first("home_country").alias("home_country"),
-                       dround(F.lit(100.0) * safe_div(
-                           F.sum(F.when(F.col("country") == F.col("home_country"), F.col("revenue_cents"))
-                                 .otherwise(0)),
-                           F.sum("revenue_cents")), 2).alias("home_revenue_share_pct")))
+    home = home_country(inv).select("home_country").scalar()
+    is_home = inv.select((F.col("country") == home).alias("is_home"), "revenue_cents")
+    home_share = is_home.agg(dround(F.lit(100.0) * safe_div(
+        F.sum(F.when(F.col("is_home"), F.col("revenue_cents")).otherwise(0)),
+        F.sum("revenue_cents")), 2).alias("home_revenue_share_pct")).select(
+        home.alias("home_country"), "home_revenue_share_pct")
     fm = focus_months(inv)
-    focus = (inv.crossJoin(F.broadcast(fm))
-             .groupBy("from_month", "to_month")
-             .agg(F.sum(F.when(F.col("month") == F.col("from_month"), F.col("revenue_cents"))).alias("f_rc"),
-                  F.sum(F.when(F.col("month") == F.col("to_month"), F.col("revenue_cents"))).alias("t_rc"),
-                  F.count_if(F.col("month") == F.col("from_month")).alias("f_n"),
-                  F.count_if(F.col("month") == F.col("to_month")).alias("t_n"))
-             .select(month_label("from_month").alias("focus_from_month"),
-                     month_label("to_month").alias("focus_to_month"),
+    from_m, to_m = fm.select("from_month").scalar(), fm.select("to_month").scalar()
+    flagged = inv.select((F.col("month") == from_m).alias("is_from"),
+                         (F.col("month") == to_m).alias("is_to"), "revenue_cents")
+    focus = (flagged.agg(F.sum(F.when(F.col("is_from"), F.col("revenue_cents"))).alias("f_rc"),
+                         F.sum(F.when(F.col("is_to"), F.col("revenue_cents"))).alias("t_rc"),
+                         F.count_if("is_from").alias("f_n"),
+                         F.count_if("is_to").alias("t_n"))
+             .select(month_label(from_m).alias("focus_from_month"),
+                     month_label(to_m).alias("focus_to_month"),
                      money("f_rc").alias("focus_from_sales"), money("t_rc").alias("focus_to_sales"),
                      F.col("f_n").cast("bigint").alias("focus_from_orders"),
                      F.col("t_n").cast("bigint").alias("focus_to_orders"),
                      dround(safe_div(money("f_rc"), "f_n"), 2).alias("focus_from_aov"),
                      dround(safe_div(money("t_rc"), "t_n"), 2).alias("focus_to_aov")))
-    parts = [line_part, products, inv_part, inversions, multi, dup, rep, home_share, focus]
-    row = reduce(lambda a, b: a.crossJoin(b), parts)
+    parts = [products, inv_part, inversions, multi, dup, rep, home_share, focus]
+    row = line_part.select("*", *[p.select(c).scalar().alias(c) for p in parts for c in p.columns])
     return row.select(
         "rows", "customers", "invoices", "products", "countries",
         money("rc").alias("revenue"),

@@ -127,7 +127,8 @@ def reconcile(checks: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
         # summation order of doubles cannot show up as a difference.
         d = detail.select(dround(F.col(detail.columns[0]).cast("double"), 2).alias("detail_total"))
         s = summary.select(dround(F.col(summary.columns[0]).cast("double"), 2).alias("summary_total"))
-        parts.append(d.crossJoin(s).select(F.lit(name).alias("check_name"), "detail_total", "summary_total"))
+        parts.append(d.select(F.lit(name).alias("check_name"), "detail_total",
+                              s.select("summary_total").scalar().alias("summary_total")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -71,13 +71,17 @@ def focus_months(invoices_df: DataFrame) -> DataFrame:
 
 def period_comparison(invoices_df: DataFrame, metrics=("revenue", "orders", "aov")) -> DataFrame:
     """Change in revenue / orders / AOV between the two focus months, long form."""
-    m = _monthly(invoices_df).crossJoin(F.broadcast(focus_months(invoices_df)))
-    pick = lambda c, which: F.sum(F.when(F.col("month") == F.col(which), c))
-    agg = m.groupBy("from_month", "to_month").agg(
-        money(pick(F.col("rc"), "from_month")).alias("from_revenue"),
-        money(pick(F.col("rc"), "to_month")).alias("to_revenue"),
-        pick(F.col("orders"), "from_month").cast("double").alias("from_orders"),
-        pick(F.col("orders"), "to_month").cast("double").alias("to_orders"))
+    fm = focus_months(invoices_df)
+    from_m, to_m = fm.select("from_month").scalar(), fm.select("to_month").scalar()
+    m = _monthly(invoices_df).select((F.col("month") == from_m).alias("is_from"),
+                                     (F.col("month") == to_m).alias("is_to"), "rc", "orders")
+    pick = lambda c, flag: F.sum(F.when(F.col(flag), c))
+    agg = m.agg(
+        money(pick(F.col("rc"), "is_from")).alias("from_revenue"),
+        money(pick(F.col("rc"), "is_to")).alias("to_revenue"),
+        pick(F.col("orders"), "is_from").cast("double").alias("from_orders"),
+        pick(F.col("orders"), "is_to").cast("double").alias("to_orders")).select(
+        from_m.alias("from_month"), to_m.alias("to_month"), "*")
     agg = (agg.withColumn("from_aov", safe_div("from_revenue", "from_orders"))
               .withColumn("to_aov", safe_div("to_revenue", "to_orders")))
     stack = ", ".join(f"'{k}', from_{k}, to_{k}" for k in metrics)
