@@ -8,6 +8,7 @@ from tillpoint.functions.columns import dround
 from tillpoint.operators import forecast as fc
 from tillpoint.plans.context import Ctx
 from tillpoint.session import ensure_checkpoint_dir
+from tillpoint.sources.staging import shared
 
 
 def memo(c: Ctx, name: str, build):
@@ -18,15 +19,20 @@ def memo(c: Ctx, name: str, build):
     return c._memo[name]
 
 
+def per_input(c: Ctx, name: str, build):
+    """Memoised per application and input (see ``staging.shared``)."""
+    return memo(c, name, lambda: shared(c.spark, c.sf_dir, name, build))
+
+
 def materialized(c: Ctx, name: str, build):
-    """Memoised and checkpointed: for small intermediates (bounded by the
-    pool size and the calendar, never by the number of lines) that many
-    branches of one plan read.  Cuts lineage so each branch reads the
-    written result instead of re-running the scan and joins over lines."""
+    """Checkpointed once per input: for intermediates that many queries and
+    branches read (the line facts, then tables bounded by the pool size and
+    the calendar).  Cuts lineage so each branch reads the written result
+    instead of re-running the scan and joins over lines."""
     def run():
         ensure_checkpoint_dir(c.spark)
         return build().checkpoint(eager=True)
-    return memo(c, name, run)
+    return per_input(c, name, run)
 
 
 def facts(c: Ctx):
@@ -35,7 +41,7 @@ def facts(c: Ctx):
 
 
 def cal(c: Ctx):
-    return memo(c, "cal", lambda: fc.calendar(facts(c)))
+    return per_input(c, "cal", lambda: fc.calendar(facts(c)))
 
 
 def popularity(c: Ctx):

@@ -13,11 +13,11 @@ from tillpoint.functions.columns import dround, wape_expr
 from tillpoint.operators import forecast as fc
 from tillpoint.operators import ml
 from tillpoint.plans.context import Ctx
-from tillpoint.plans.forecasting import cal, facts, materialized, memo, names, origins, selection, top
+from tillpoint.plans.forecasting import (cal, facts, materialized, memo, names, origins, per_input,
+                                         selection, top)
 from tillpoint.session import ensure_checkpoint_dir
 
 ALL_METHODS = fc.METHODS + ml.ML_METHODS
-_RESULTS: dict = {}
 
 
 def pool_weekly(c: Ctx) -> DataFrame:
@@ -41,9 +41,10 @@ def all_forecasts(c: Ctx) -> DataFrame:
     trains on a bounded frame (pool x weeks x 4), so the fits run in driver
     threads concurrently: Spark schedules their small jobs side by side.
     """
-    key = (c.spark.sparkContext.applicationId, c.sf_dir)
-    if key in _RESULTS:
-        return _RESULTS[key]
+    return per_input(c, "all_forecasts", lambda: _all_forecasts(c))
+
+
+def _all_forecasts(c: Ctx) -> DataFrame:
     ensure_checkpoint_dir(c.spark)
     p = panel(c).checkpoint(eager=True)
     series = reported_series(c).checkpoint(eager=True)
@@ -61,9 +62,7 @@ def all_forecasts(c: Ctx) -> DataFrame:
     weekly = pool_weekly(c).join(F.broadcast(series), "series", "left_semi")
     stat = fc.forecasts(weekly, o).select(
         "series", "origin", "kind", "fold", "horizon", "week_start", "method", "forecast")
-    out = fc.with_actuals(stat.unionByName(tree_df), weekly).checkpoint(eager=True)
-    _RESULTS[key] = out
-    return out
+    return fc.with_actuals(stat.unionByName(tree_df), weekly).checkpoint(eager=True)
 
 
 def ml_folds(c: Ctx) -> DataFrame:
