@@ -1,8 +1,8 @@
 """Headline metrics: one row of scalars assembled from one-row aggregates.
 
 Each part is a global aggregate (partial per task, one tiny final merge).
-The first part is the row; every other part enters it as an uncorrelated
-scalar subquery, which Catalyst merges per source plan and runs once.
+The first part is the row; every other part enters it as one uncorrelated
+scalar subquery (a struct of its columns), evaluated once.
 There is no join between the parts.
 """
 
@@ -95,7 +95,11 @@ def headline_metrics(raw: DataFrame, lines: DataFrame, inv: DataFrame) -> DataFr
                      dround(safe_div(money("f_rc"), "f_n"), 2).alias("focus_from_aov"),
                      dround(safe_div(money("t_rc"), "t_n"), 2).alias("focus_to_aov")))
     parts = [products, inv_part, inversions, multi, dup, rep, home_share, focus]
-    row = line_part.select("*", *[p.select(c).scalar().alias(c) for p in parts for c in p.columns])
+    cols = []
+    for p in parts:
+        packed = p.select(F.struct(*p.columns).alias("s")).select("s").scalar()  # one subquery per part
+        cols += [packed.getField(c).alias(c) for c in p.columns]
+    row = line_part.select("*", *cols)
     return row.select(
         "rows", "customers", "invoices", "products", "countries",
         money("rc").alias("revenue"),

@@ -135,7 +135,9 @@ def _leakage(c: Ctx):
 
 
 def _semi_join_selected(c: Ctx):
-    weekly = fc.weekly_units(facts(c), cal(c))
+    # Only per-code series can match a stock code; the "All products"
+    # series is dropped first, so its union branch is pruned.
+    weekly = fc.weekly_units(facts(c), cal(c)).where(~F.col("is_all"))
     return (weekly.join(F.broadcast(top(c)), F.col("series") == F.col("stock_code"), "left_semi")
             .select("series", "week_start", "units"))
 
