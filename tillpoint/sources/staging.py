@@ -1,4 +1,4 @@
-"""Stage the raw extract once per input as a bucketed Parquet table.
+"""Stage the raw extract once per input as a Parquet table.
 
 The marts all start from the same extract.  Like loading the CSV into a
 table before querying it, the adapter join (or CSV parse) runs once; every
@@ -7,13 +7,12 @@ pushdown.  The table lives under the cluster's shared checkpoint folder,
 named by a fingerprint of the input files, so a changed input is staged
 again and a lost executor never loses it.
 
-The table is bucketed by ``invoice_no``.  Every aggregate whose keys
-contain the invoice (the invoice grain, the (stock, invoice) and
-(month, invoice) pre-aggregates, the forecasting line facts, the
-13-column duplicate check) then reads co-located rows and runs without an
-exchange: the largest shuffle of each query, of the whole extract, is
-paid once at staging.  The write itself needs no extra exchange, because
-the adapter's last join is already hash-partitioned on the invoice.
+The table is deliberately *not* bucketed by invoice.  Bucketing would let
+invoice-keyed aggregates skip their exchange, but a bucket is one scan
+task: an invoice (or a group of exact copies) holding a third of all lines
+would put a third of the extract into one task.  Unbucketed files are
+split evenly across tasks, and every invoice-keyed aggregate combines
+map-side before its exchange, so a hot invoice shrinks to one row per task.
 """
 
 from __future__ import annotations
@@ -48,58 +47,20 @@ def staging_enabled() -> bool:
     return os.environ.get("TILLPOINT_STAGE", "1") != "0"
 
 
-BUCKET_KEY = "invoice_no"
-# Target staged bytes per bucket (one scan task per bucket).
-BUCKET_BYTES = 256 * 1024 * 1024
-
-
-def _input_bytes(spark: SparkSession, sf_dir: str) -> int:
-    """Total size of the input tables, through the Hadoop file system so
-    that it works on any cluster storage; 0 when unknown."""
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        total = 0
-        for t in TABLES:
-            path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
-            total += path.getFileSystem(conf).getContentSummary(path).getLength()
-        return int(total)
-    except Exception:  # sizes are only a hint for the bucket count
-        return 0
-
-
-def bucket_count(spark: SparkSession, sf_dir: str) -> int:
-    """``spark.tillpoint.stage.buckets`` when set; otherwise at least the
-    shuffle-partition count, and enough buckets for about
-    ``BUCKET_BYTES`` of input each."""
-    conf = spark.conf.get("spark.tillpoint.stage.buckets", None)
-    if conf:
-        return int(conf)
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, -(-_input_bytes(spark, sf_dir) // BUCKET_BYTES))
-
-
 def staged(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """Return the staged table for ``sf_dir``, building it with ``build()``
     the first time in this application."""
     if not staging_enabled():
         return build()
-    app = spark.sparkContext.applicationId
-    key = (app, _fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
     with _LOCK:
-        table = _STAGED.get(key)
-        if table is None:
+        path = _STAGED.get(key)
+        if path is None:
             root = ensure_checkpoint_dir(spark)
             path = f"{root.rstrip('/')}/staged-extract-{key[1]}"
-            table = "tillpoint_stage_" + "".join(ch if ch.isalnum() else "_" for ch in f"{key[1]}_{app}")
-            n = bucket_count(spark, sf_dir)
-            # repartition on the bucket key: elided when the input is already
-            # hash-partitioned on it with n partitions, so each task writes
-            # one file per bucket it holds.
-            (build().repartition(n, BUCKET_KEY).write.mode("overwrite")
-             .bucketBy(n, BUCKET_KEY).option("path", path).saveAsTable(table))
-            _STAGED[key] = table
-    return spark.table(table)
+            build().write.mode("overwrite").parquet(path)
+            _STAGED[key] = path
+    return spark.read.parquet(path)
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build):
