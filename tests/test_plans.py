@@ -35,13 +35,26 @@ def test_no_python_udf_nodes(plans):
     assert not bad, bad
 
 
-def test_invoice_keyed_aggregates_combine_map_side(plans):
+def _combines_below_exchange(plan: str) -> bool:
+    return "partial_" in plan[plan.index("Exchange hashpartitioning"):]
+
+
+def test_invoice_keyed_aggregates_combine_map_side(spark, plans):
     # A hot invoice or a group of exact copies shrinks to one row per task
     # before the exchange: the partial aggregate sits below it.
-    for key in ("invoices", "dq_duplicate_sensitivity", "revenue_decomposition"):
-        p = plans[key]
-        below = p[p.index("Exchange hashpartitioning"):]
-        assert "partial_" in below, key
+    from tillpoint.operators import grains
+    from tillpoint.plans.context import Ctx
+    assert _combines_below_exchange(_plan(grains.invoice_full(Ctx(spark, SF001).lines)))
+    for key in ("dq_duplicate_sensitivity", "revenue_decomposition", "top_products"):
+        assert _combines_below_exchange(plans[key]), key
+
+
+def test_marts_read_the_staged_invoice_grain(plans):
+    # Invoice-level marts never re-aggregate the lines.
+    # Only a line-level scan reads (and parses) the raw date text.
+    for key in ("invoices", "monthly_summary", "cohort_retention", "country_share", "rfm_segments"):
+        assert "invoice_date_text" not in plans[key], key
+    assert "invoice_date_text" in plans["revenue_decomposition"]
 
 
 def test_scans_prune_columns(plans):

@@ -1,8 +1,9 @@
 """Invoice, invoice-status and customer grains.
 
 Most marts read the invoice grain, which is one row per invoice and an
-order of magnitude smaller than the lines.  Grouping by ``invoice_no``
-reuses the order-key partitioning of the adapter's last join.
+order of magnitude smaller than the lines.  It is built by one aggregation
+that combines map-side (a hot invoice shrinks to one row per task before
+the exchange) and is staged once per input (``plans.context``).
 """
 
 from __future__ import annotations
@@ -13,20 +14,40 @@ from pyspark.sql import functions as F
 from tillpoint.functions.columns import customer_status, month_start, segment_expr
 
 
+def invoice_full(lines: DataFrame) -> DataFrame:
+    """Invoice grain plus every per-invoice check, in one aggregation.
+
+    Carries the ``invoices`` columns, so the grains and marts can read it,
+    and the line-level counts as sums, so no headline part needs the lines
+    again (except the distinct product count).
+    """
+    same = (F.dayofmonth("parsed_ts") == F.month("parsed_ts")) & (F.dayofmonth("parsed_ts") <= 12)
+    return (lines.groupBy("invoice_no").agg(
+        F.min("customer_id").alias("customer_id"),
+        F.min("country").alias("country"),
+        F.min("invoice_date").alias("invoice_date"),
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.sum("quantity").cast("bigint").alias("items"),
+        F.max("invoice_date").alias("last_ts"),
+        F.min("parsed_ts").alias("first_raw_ts"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if("was_swapped").alias("n_swapped"),
+        F.count_if(same).alias("n_same_day_month"))
+        .withColumn("month", month_start("invoice_date")))
+
+
+INVOICE_COLUMNS = ("invoice_no", "customer_id", "country", "invoice_date", "revenue_cents", "items", "month")
+
+
 def invoices(lines: DataFrame) -> DataFrame:
-    """(invoice_no, customer_id, country, invoice_date, month, revenue_cents, items).
+    """(invoice_no, customer_id, country, invoice_date, revenue_cents, items, month).
 
     Customer and country are functionally dependent on the invoice (checked
     by ``quality.functional_dependency``), so ``min`` picks the one value.
-    The invoice date is the earliest repaired timestamp.
+    The invoice date is the earliest repaired timestamp.  Catalyst prunes
+    the check columns of ``invoice_full`` that are not selected.
     """
-    return (lines.groupBy("invoice_no")
-            .agg(F.min("customer_id").alias("customer_id"),
-                 F.min("country").alias("country"),
-                 F.min("invoice_date").alias("invoice_date"),
-                 F.sum("revenue_cents").alias("revenue_cents"),
-                 F.sum("quantity").cast("bigint").alias("items"))
-            .withColumn("month", month_start("invoice_date")))
+    return invoice_full(lines).select(*INVOICE_COLUMNS)
 
 
 def first_seen(invoices_df: DataFrame) -> DataFrame:

@@ -11,37 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.functions.columns import dround, money, month_label, month_start, safe_div
+from tillpoint.functions.columns import dround, money, month_label, safe_div
 from tillpoint.functions.ordering import count_order_inversions
 from tillpoint.operators import grains
+from tillpoint.operators.grains import invoice_full  # noqa: F401  (re-exported)
 from tillpoint.operators import customers as cu
 from tillpoint.operators import quality as q
 from tillpoint.operators.products import home_country
 from tillpoint.operators.revenue import focus_months
 
 
-def invoice_full(lines: DataFrame) -> DataFrame:
-    """Invoice grain plus every per-invoice check, in one aggregation.
-
-    Carries the ``invoices`` columns, so the grains and marts can read it,
-    and the line-level counts as sums, so no headline part needs the lines
-    again (except the distinct product count).
-    """
-    same = (F.dayofmonth("parsed_ts") == F.month("parsed_ts")) & (F.dayofmonth("parsed_ts") <= 12)
-    return (lines.groupBy("invoice_no").agg(
-        F.min("customer_id").alias("customer_id"),
-        F.min("country").alias("country"),
-        F.min("invoice_date").alias("invoice_date"),
-        F.sum("revenue_cents").alias("revenue_cents"),
-        F.sum("quantity").cast("bigint").alias("items"),
-        F.max("invoice_date").alias("last_ts"),
-        F.min("parsed_ts").alias("first_raw_ts"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if("was_swapped").alias("n_swapped"),
-        F.count_if(same).alias("n_same_day_month"))
-        .withColumn("month", month_start("invoice_date")))
-
-
 def headline_metrics(raw: DataFrame, lines: DataFrame, inv: DataFrame) -> DataFrame:
     """``inv`` is ``invoice_full(lines)``, ideally materialised once."""
     line_part = inv.agg(

@@ -11,9 +11,7 @@ from tillpoint.operators import quality as q
 from tillpoint.operators import repair
 from tillpoint.operators import revenue as rv
 from tillpoint.operators.grains import first_seen
-from tillpoint.operators.metrics import headline_metrics, invoice_full
-from tillpoint.session import ensure_checkpoint_dir
-from tillpoint.sources.staging import shared
+from tillpoint.operators.metrics import headline_metrics
 from tillpoint.plans.context import Ctx
 
 
@@ -56,10 +54,7 @@ def _many_to_one(c: Ctx):
 
 
 def _headline(c: Ctx):
-    def build():
-        ensure_checkpoint_dir(c.spark)
-        return invoice_full(c.lines).checkpoint(eager=True)  # read by eight one-row parts
-    return headline_metrics(c.raw, c.lines, shared(c.spark, c.sf_dir, "invoice_full", build))
+    return headline_metrics(c.raw, c.lines, c.invoice_facts)
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillpoint.operators import grains, repair
 from tillpoint.session import apply_sql_conf
@@ -28,9 +29,15 @@ class Ctx:
     def lines(self) -> DataFrame:
         return repair.lines(self.raw)
 
+    @cached_property
+    def invoice_facts(self) -> DataFrame:
+        """Invoice grain plus per-invoice checks, staged once per input:
+        most marts read it, and it is far smaller than the lines."""
+        return staged(self.spark, self.sf_dir, lambda: grains.invoice_full(self.lines), name="invoices")
+
     @cached_property
     def invoices(self) -> DataFrame:
-        return grains.invoices(self.lines)
+        return self.invoice_facts.select(*grains.INVOICE_COLUMNS)
 
     @cached_property
     def status(self) -> DataFrame:
@@ -38,4 +45,7 @@ class Ctx:
 
     @cached_property
     def customers(self) -> DataFrame:
-        return grains.customers(self.invoices, self.lines)
+        # The as-of date is the latest repaired timestamp: the max of each
+        # invoice's latest, so the lines are not scanned again.
+        latest = self.invoice_facts.select(F.col("last_ts").alias("invoice_date"))
+        return grains.customers(self.invoices, latest)

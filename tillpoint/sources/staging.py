@@ -47,17 +47,17 @@ def staging_enabled() -> bool:
     return os.environ.get("TILLPOINT_STAGE", "1") != "0"
 
 
-def staged(spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Return the staged table for ``sf_dir``, building it with ``build()``
-    the first time in this application."""
+def staged(spark: SparkSession, sf_dir: str, build, name: str = "extract") -> DataFrame:
+    """Return the staged table ``name`` for ``sf_dir``, building it with
+    ``build()`` the first time in this application."""
     if not staging_enabled():
         return build()
-    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir), name)
     with _LOCK:
         path = _STAGED.get(key)
         if path is None:
             root = ensure_checkpoint_dir(spark)
-            path = f"{root.rstrip('/')}/staged-extract-{key[1]}"
+            path = f"{root.rstrip('/')}/staged-{name}-{key[1]}"
             build().write.mode("overwrite").parquet(path)
             _STAGED[key] = path
     return spark.read.parquet(path)
