@@ -31,15 +31,20 @@ _SHARED: dict[tuple, object] = {}
 TABLES = ("orders", "lineitem", "part", "customer", "nation")
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha256(os.path.abspath(sf_dir).encode())
-    for t in TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:  # remote filesystem: the path alone names the input
-            h.update(t.encode())
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Name of the input: its path plus each table's size and modification
+    time, read through the Hadoop file system (any cluster storage)."""
+    h = hashlib.sha256(sf_dir.rstrip("/").encode())
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for t in TABLES:
+            path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+            fs = path.getFileSystem(conf)
+            size = fs.getContentSummary(path).getLength()
+            h.update(f"{t}:{size}:{fs.getFileStatus(path).getModificationTime()}".encode())
+    except Exception:  # unreadable metadata: the path alone names the input
+        h.update(",".join(TABLES).encode())
     return h.hexdigest()[:24]
 
 
@@ -52,7 +57,7 @@ def staged(spark: SparkSession, sf_dir: str, build, name: str = "extract") -> Da
     ``build()`` the first time in this application."""
     if not staging_enabled():
         return build()
-    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir), name)
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), name)
     with _LOCK:
         path = _STAGED.get(key)
         if path is None:
@@ -74,7 +79,7 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build):
     """
     if not staging_enabled():
         return build()
-    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir), name)
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), name)
     with _LOCK:
         if key not in _SHARED:
             _SHARED[key] = build()
