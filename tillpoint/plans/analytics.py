@@ -58,7 +58,7 @@ def _headline(c: Ctx):
 
 
 QUERIES = {
-    "lines_repaired": lambda c: repair.lines_repaired(c.raw),
+    "lines_repaired": lambda c: repair.public_view(c.lines),
     "invoices": _invoices_out,
     "invoice_status": lambda c: c.status.select(
         "invoice_no", "customer_id", "country", "invoice_date", "month",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillpoint.operators import grains, repair
 from tillpoint.session import apply_sql_conf
 from tillpoint.sources.adapter import read_extract
+from tillpoint.sources.extract import RAW_SCHEMA
 from tillpoint.sources.staging import staged
 
 
@@ -21,13 +22,19 @@ class Ctx:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @cached_property
+    def extract(self) -> DataFrame:
+        """Raw extract plus its repaired line columns, staged once per input."""
+        return staged(self.spark, self.sf_dir,
+                      lambda: repair.repaired_extract(read_extract(self.spark, self.sf_dir)))
+
     @cached_property
     def raw(self) -> DataFrame:
-        return staged(self.spark, self.sf_dir, lambda: read_extract(self.spark, self.sf_dir))
+        return self.extract.select(*RAW_SCHEMA.fieldNames())
 
     @cached_property
     def lines(self) -> DataFrame:
-        return repair.lines(self.raw)
+        return self.extract.select(*repair.LINE_COLUMNS)
 
     @cached_property
     def invoice_facts(self) -> DataFrame:
