@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,14 +14,10 @@ GOLDEN_DIR = os.environ.get("TILLPOINT_GOLDEN_DIR")
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
+    from tillpoint.session import ensure_checkpoint_dir, get_session
 
-    from tillpoint.session import get_session
-
-    ckpt = tempfile.mkdtemp(prefix="tillpoint-test-ckpt-")
-    SparkSession.builder.config("spark.checkpoint.dir", ckpt)
     s = get_session("local[4]", shuffle_partitions=8, app_name="tillpoint-tests")
-    s.sparkContext.setCheckpointDir(ckpt)
+    ensure_checkpoint_dir(s)  # configured folder if set, else a scratch folder (local mode)
     yield s
     s.stop()
 
