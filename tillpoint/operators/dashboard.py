@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions.columns import dround, money, safe_div
+from tillpoint.operators.products import is_home
 
 MARKETS = ("all", "outside_home")  # or a country name
 PERIODS = ("all", "complete", "focus")
@@ -34,7 +35,7 @@ def market_period(status_df: DataFrame, invoices_df: DataFrame, home: DataFrame,
     """Zero-filled months: sales, orders and later-month buyer sales."""
     inv = status_df
     if market == "outside_home":
-        inv = inv.join(F.broadcast(home), F.col("country") == F.col("home_country"), "left_anti")
+        inv = inv.where(~is_home(home))
     elif market != "all":
         inv = inv.where(F.col("country") == market)
     later = F.col("month") > F.col("first_observed_month")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions.columns import dround, money, safe_div
@@ -65,11 +65,16 @@ def home_country(invoices_df: DataFrame) -> DataFrame:
     return c.orderBy(F.desc("rc"), F.asc("country")).limit(1).select(F.col("country").alias("home_country"))
 
 
+def is_home(home: DataFrame) -> Column:
+    """True where the country is the home market (a scalar subquery over
+    the one-row ``home``); false for a NULL country, as an anti join."""
+    return F.coalesce(F.col("country") == home.select("home_country").scalar(), F.lit(False))
+
+
 def non_home_market_mix(invoices_df: DataFrame, n: int = 7) -> DataFrame:
     """Share of sales outside the home market, top ``n`` countries."""
     c = invoices_df.groupBy("country").agg(F.sum("revenue_cents").alias("rc"))
-    home = home_country(invoices_df)
-    rest = c.join(F.broadcast(home), F.col("country") == F.col("home_country"), "left_anti")
+    rest = c.where(~is_home(home_country(invoices_df)))
     everything = Window.partitionBy(F.lit(1))
     return (rest.select("country", money("rc").alias("observed_revenue"),
                         dround(F.lit(100.0) * safe_div("rc", F.sum("rc").over(everything)), 2)
