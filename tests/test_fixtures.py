@@ -142,3 +142,31 @@ def test_hot_invoice_and_hot_customer_match_brute_force(spark):
     # Cohort sizes add up to the customers however the hot customer falls.
     ret = cu.cohort_retention(inv).where(F.col("month_index") == 0)
     assert ret.agg(F.sum("cohort_size")).first()[0] == len(exp_orders)
+
+
+def test_duplicate_check_resolves_hash_collisions(spark):
+    # NULLs are skipped by the row hash, so these two different rows share
+    # a hash; the exact phase must not count them as duplicates.
+    a = (1, "x", None, 1, 1.0, 1, "A", T0)
+    b = (1, None, "x", 1, 1.0, 1, "A", T0)
+    raw = raw_frame(spark, [a, b])
+    hashes = raw.select(F.xxhash64(*raw.columns).alias("h")).distinct().count()
+    assert hashes == 1
+    r = quality.duplicate_sensitivity(raw).first()
+    assert (r.possible_duplicate_rows, r.sensitivity_value, r.revenue_if_duplicates_dropped) == (0, None, 2.0)
+
+
+def test_hot_copies_match_brute_force(spark):
+    rnd = random.Random(11)
+    hot = (5, "S1", "d", 3, 2.5, 9, "A", T0)
+    rows = [hot] * 1000 + [(rnd.randint(1, 50), f"S{rnd.randint(1, 5)}", "d", rnd.randint(1, 3), 1.0,
+                            rnd.randint(1, 4), "A", T0) for _ in range(2000)]
+    r = quality.duplicate_sensitivity(raw_frame(spark, rows).repartition(8)).first()
+    counts = pd.Series(rows).value_counts()
+    extra = counts - 1
+    cents = {row: row[3] * int(round(row[4] * 100)) for row in counts.index}
+    dup_cents = sum(int(extra[row]) * cents[row] for row in counts.index)
+    total_cents = sum(row[3] * int(round(row[4] * 100)) for row in rows)
+    assert r.possible_duplicate_rows == int(extra.sum())
+    assert r.sensitivity_value == dup_cents / 100
+    assert r.revenue_if_duplicates_dropped == (total_cents - dup_cents) / 100
