@@ -71,3 +71,13 @@ def test_scans_prune_columns_and_never_reparse_dates(plans):
         {"invoice_no", "customer_id", "invoice_month", "revenue_cents"}]
     bad = [k for k, p in plans.items() if "gettimestamp" in p or "to_timestamp" in p]
     assert not bad, bad
+
+
+def test_staged_tables_are_reused_across_queries(spark):
+    from tillpoint.plans import forecasting as pf
+    from tillpoint.plans.context import Ctx
+    a, b = Ctx(spark, SF001), Ctx(spark, SF001)
+    assert a.extract.inputFiles() == b.extract.inputFiles()
+    assert a.invoice_facts.inputFiles() == b.invoice_facts.inputFiles()
+    assert pf.facts(a) is pf.facts(b)  # checkpointed once per input
+    assert pf.cal(a) == pf.cal(b)
