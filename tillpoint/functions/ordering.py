@@ -2,17 +2,14 @@
 
 ``Window.orderBy`` with no partition moves every row into one task.  Both
 helpers here range-partition on the order key instead, so each task holds
-one contiguous slice, and only a per-partition summary (one row per
-partition) is combined at the end.
+one contiguous slice, and only a per-slice summary (one row per slice) is
+combined at the end.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillpoint.session import ensure_checkpoint_dir
 
@@ -56,51 +53,23 @@ def count_order_inversions(df: DataFrame, key: str, values: list[str],
     """Count, per value column, rows whose value is below the previous row's
     in ``key`` order (``diff() < 0``, NULL-free input assumed).
 
-    One pass: each range partition reports its within-partition inversions
-    and its first/last values; partition seams are checked on that summary.
+    The rows are range-partitioned on the key, so each partition is one
+    contiguous key slice; a lag window per slice counts the inversions
+    inside it, and one summary row per slice (its first and last value)
+    checks the seams between neighbouring slices.
     """
     n = _parallelism(df, num_partitions)
-    ranged = (df.select(key, *values).repartitionByRange(n, key).sortWithinPartitions(key))
-    fields = [T.StructField("pid", T.LongType())]
-    for v in values:
-        fields += [T.StructField(f"{v}__first", T.DoubleType()),
-                   T.StructField(f"{v}__last", T.DoubleType()),
-                   T.StructField(f"{v}__inv", T.LongType())]
-    schema = T.StructType(fields)
-    # Values are compared as epoch doubles (or plain numbers): exact for
-    # second-resolution timestamps.
-    numeric = ranged.select(key, *[
-        (F.unix_micros(F.col(v).cast("timestamp")).cast("double")
-         if isinstance(df.schema[v].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-         else F.col(v).cast("double")).alias(v) for v in values])
-
-    def summarize(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        first = {v: None for v in values}
-        last = {v: None for v in values}
-        inv = {v: 0 for v in values}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            for v in values:
-                arr = pdf[v].to_numpy(dtype=np.float64)
-                if last[v] is not None and arr[0] < last[v]:
-                    inv[v] += 1
-                inv[v] += int(np.count_nonzero(arr[1:] < arr[:-1]))
-                if first[v] is None:
-                    first[v] = float(arr[0])
-                last[v] = float(arr[-1])
-        if first[values[0]] is not None:
-            row = {"pid": [pid]}
-            for v in values:
-                row[f"{v}__first"] = [first[v]]
-                row[f"{v}__last"] = [last[v]]
-                row[f"{v}__inv"] = [inv[v]]
-            yield pd.DataFrame(row)
-
-    summary = numeric.mapInPandas(summarize, schema)
-    w = Window.orderBy("pid")  # one row per non-empty partition
+    ranged = (df.select(key, *values).repartitionByRange(n, key)
+              .withColumn("_slice", F.spark_partition_id()))
+    in_slice = Window.partitionBy("_slice").orderBy(key)
+    flagged = ranged.select("_slice", key, *values,
+                            *[(F.col(v) < F.lag(v).over(in_slice)).alias(f"_inv_{v}") for v in values])
+    summary = flagged.groupBy("_slice").agg(*[
+        agg for v in values for agg in (
+            F.count_if(f"_inv_{v}").alias(f"{v}__inv"),
+            F.min_by(v, key).alias(f"{v}__first"),
+            F.max_by(v, key).alias(f"{v}__last"))])
+    w = Window.orderBy("_slice")  # one row per non-empty slice
     seams = summary.select(*[
         (F.col(f"{v}__inv") + F.when(F.col(f"{v}__first") < F.lag(f"{v}__last").over(w), 1).otherwise(0)
          ).alias(v) for v in values])
