@@ -30,8 +30,11 @@ def test_no_cartesian_or_nested_loop_join(plans):
     assert not bad, sorted(bad)
 
 
-def test_no_python_udf_nodes(plans):
-    bad = [k for k, p in plans.items() if "BatchEvalPython" in p or "ArrowEvalPython" in p]
+def test_no_python_on_executors(plans):
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonMapInArrow",
+                    "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas", "AggregateInPandas",
+                    "WindowInPandas")
+    bad = [k for k, p in plans.items() if any(n in p for n in python_nodes)]
     assert not bad, bad
 
 
