@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from tillpoint.llm import packing, sharding
+from tillpoint.llm import (
+    chat,
+    decontamination,
+    fingerprints,
+    html_extraction,
+    language_id,
+    line_dedup,
+    packing,
+    personal_data,
+    sharding,
+)
 
-_MODULES = [packing, sharding]
+_MODULES = [packing, fingerprints, html_extraction, line_dedup, chat, personal_data, language_id,
+            decontamination, sharding]
 
 
 def queries() -> dict:
