@@ -3,15 +3,17 @@
 A text's lines are cut into chunks after each line whose rolling hash, over
 the hashes of the last few lines, falls in one of ``DIVISOR`` residues; a
 passage copied into another text is cut alike whatever stands around it.
-``WINDOWS`` gives three independent cuttings, so that a short passage is
-likely to hold a whole chunk of one of them.
+``WINDOWS`` gives independent cuttings of that kind; a further one cuts before
+and after every line of ``LONG_LINE`` words or more, so that a passage of few
+lines holds a whole chunk of one of them too.
 
 Spark counts the chunk hashes of all texts.  Chunks whose hash repeats are
 read again with their lines and those of the chunks before and after, and
 every occurrence is compared, byte by byte, with the first one (by document
 id, then line).  Equal chunks are extended over the neighbouring lines that
 are equal too, and the run is removed when it has at least ``MIN_LINES``
-lines and ``MIN_WORDS`` words.  A removed line always has an equal line at
+lines and ``MIN_WORDS`` words; a single line of ``ALONE_WORDS`` words is a
+passage by itself.  A removed line always has an equal line at
 an earlier place, so one copy of every passage stays.
 
 Defined results: a null text stays null; an empty text has one empty line;
@@ -36,24 +38,34 @@ from tillpoint.llm.common import cut, read_table
 from tillpoint.llm.packing import slices
 from tillpoint.llm.words import mix
 
-WINDOWS = (1, 2, 1)
+WINDOWS = (1, 2)
 DIVISOR = 2
 MAX_CHUNK = 16
 MIN_LINES = 2
 MIN_WORDS = 30
+LONG_LINE = 12
+ALONE_WORDS = 50
 SLICE_BYTES = 16 << 20
 
 _CHUNK = "hash long, doc_id long, key long, line int, before array<string>, own array<string>, after array<string>"
 
 
-def _chunk_ends(hashes: np.ndarray, salt: int, window: int) -> list[int]:
-    """Where the chunks of one cutting end."""
+def _rolling_cuts(hashes: np.ndarray, salt: int, window: int) -> list[int]:
     rolled = np.zeros_like(hashes)
     for back in range(window):
         rolled[back:] += mix(hashes[: len(hashes) - back] + np.uint64(2 * back + 1))
-    cuts = np.flatnonzero(mix(rolled + np.uint64(salt)) % np.uint64(DIVISOR) == 0) + 1
+    return (np.flatnonzero(mix(rolled + np.uint64(salt)) % np.uint64(DIVISOR) == 0) + 1).tolist()
+
+
+def _long_line_cuts(lines: list[str]) -> list[int]:
+    long = [k for k, x in enumerate(lines) if x.count(" ") >= LONG_LINE - 1]
+    return sorted({*long, *(k + 1 for k in long)})
+
+
+def _chunk_ends(cuts: list[int], n: int) -> list[int]:
+    """Where the chunks of one cutting end; none is longer than ``MAX_CHUNK``."""
     ends, at = [], 0
-    for end in [*cuts.tolist(), len(hashes)]:
+    for end in [*cuts, n]:
         while end - at > MAX_CHUNK:
             at += MAX_CHUNK
             ends.append(at)
@@ -70,9 +82,10 @@ def chunks(docs: DataFrame, known: BitFilter | None = None) -> DataFrame:
 
     def cuttings(lines: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
         own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
-        for salt, window in enumerate(WINDOWS):
-            ends = _chunk_ends(own, salt, window)
-            raw = own.tobytes()
+        raw = own.tobytes()
+        all_cuts = [_rolling_cuts(own, salt, window) for salt, window in enumerate(WINDOWS)]
+        for salt, cuts in enumerate([*all_cuts, _long_line_cuts(lines)]):
+            ends = _chunk_ends(cuts, len(lines))
             yield np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a: 8 * b], salt) for a, b in zip([0, *ends], ends)),
                               np.uint64, len(ends)), [0, *ends]
 
@@ -118,7 +131,8 @@ def _compare(pairs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                           min(len(before), len(before2)))
                 down = next((k for k, (x, y) in enumerate(zip(after, after2)) if x != y), min(len(after), len(after2)))
                 lines = [*before[len(before) - up:], *own, *after[:down]]
-                if len(lines) >= min_lines and sum(len(x.split()) for x in lines) >= min_words:
+                words = sum(len(x.split()) for x in lines)
+                if len(lines) >= min_lines and words >= min_words or words >= ALONE_WORDS:
                     rows.append((doc, key, line - up, line + len(own) + down))
             cols = list(zip(*rows)) if rows else [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]

@@ -6,19 +6,30 @@ runs on classes.
 
 Inverted lists.  A list is kept for each pair of neighbouring values among
 the ``RUN`` smallest of a sketch.  Two sets with a similarity of 0.8 have a
-common neighbouring pair there but for a chance of about 1e-9, and always
+common neighbouring pair there but for a chance of about 1e-11, and always
 when their sketches are complete; the pair instead of the single value keeps
 one frequent shingle from gathering a large part of the corpus.
 
-Links.  A list is not expanded into all pairs.  Each member is tied to the
-list's pivots, the members smallest by each of ``PIVOTS`` orders, so the
-candidates of a list grow with its length.  The union-sketch estimate drops
-hopeless candidates, the rest are verified on the full sets, and verified
-links give components.  A list whose members then lie in one component is
-finished.  The others go through further rounds on the pairs between
-components: short lists whole, long lists by new pivots and, split by one
-more sketch value, as shorter lists.  The rounds end when no pair between
-components is left, so no link is lost.
+Links.  The union-sketch estimate drops hopeless candidates, the rest are
+verified on the full sets, and verified links give components.  Candidates:
+
+- Every member of a list is tied to the list's pivot, the member whose own
+  lists are longest in sum, so a list's candidates grow with its length and
+  not with its square.  In a large group of near copies that is the one
+  nearest to their common origin.
+- A list of at most ``SHORT`` members that then spans several components is
+  expanded, between components only.
+- Longer lists that span several components get another pivot, one that has
+  not been a pivot before, for as long as a round finds a new link.
+
+What this leaves out needs two documents that are not joined through any
+pivot and meet in long lists only.  Let p be a pivot that u is not linked
+with, and B another document.  With x and y the numbers of shingles added to
+and missing from p, u and B are linked only if they share at least
+c(u) + c(B) - |p| / 9 of these differences, where c = (4 x + 5 y) / 9, and
+c(u) > |p| / 9 as u is not linked with p.  So they share more than 4 / 9 of
+B's differences from p, and each shared difference within the run, an added
+or a missing value, gives both a pair that most of the group lacks.
 
 Defined results: null and empty texts and texts without a word have an empty
 set and link with nothing, not even each other; rows with equal ids count as
@@ -44,8 +55,8 @@ from tillpoint.llm.words import hashed_runs, hashed_words
 
 K = 64
 RUN = 40
-PIVOTS = 2
-SHORT_LIST = 24
+SHORT = 32
+LONG_SHARE = 0.15
 SLICE_BYTES = 16 << 20
 _ESTIMATE_SLACK = 0.3
 
@@ -128,6 +139,7 @@ class Search:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int):
         self.docs, self.classes, self.width, self.percent, self.k = docs, classes, width, percent, k
         self.links: list[DataFrame] = []
+        self.nodes: DataFrame | None = None
 
     def verified(self, candidates: DataFrame) -> DataFrame:
         """The links among ``candidates`` (a, b)."""
@@ -139,55 +151,100 @@ class Search:
                    .select("a", "b"))
         wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = (self.docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-                 .dropDuplicates(["id"]))
+                 .withColumn("key", F.xxhash64("text")).dropDuplicates(["id", "key"]))
         sets = full_sets(texts, self.width)
         pairs = (near.join(sets.select(F.col("id").alias("a"), F.col("whole").alias("set_a")), "a")
                  .join(sets.select(F.col("id").alias("b"), F.col("whole").alias("set_b")), "b"))
         return linked(pairs, self.percent)
 
-    def add(self, candidates: DataFrame) -> DataFrame:
-        """Verify, and the components of all links so far as (node, component)."""
-        self.links.append(cut(self.verified(candidates)))
+    def add(self, candidates: DataFrame) -> tuple[DataFrame, bool]:
+        """Verify; the components of all links so far as (node, component), and
+        whether any of the candidates is a link."""
+        self.links.append(cut(self.verified(candidates).distinct()))
+        if len(self.links) > 1 and self.links[-1].isEmpty():
+            return self.nodes, False
         edges = self.links[0]
         for more in self.links[1:]:
             edges = edges.unionByName(more)
-        return cut(components(edges))
+        self.nodes = cut(components(edges))
+        return self.nodes, True
 
 
-def _tied(lists: DataFrame, pivots: int, salt: int) -> DataFrame:
-    """Each member of ``lists`` (key, id) with its list's pivots."""
-    orders = [F.min("id")] if not salt else []
-    orders += [F.min_by("id", F.xxhash64(F.lit(salt * 16 + p), F.col("id"))) for p in range(pivots - len(orders))]
-    found = lists.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("pivots"), F.count(F.lit(1)).alias("m"))
-    return (lists.join(found.filter("m > 1").select("key", "pivots"), "key")
-            .select("id", F.explode("pivots").alias("pivot")).filter("id <> pivot")
+def _tied(lists: DataFrame, pivots: DataFrame) -> DataFrame:
+    """The pairs of each member of ``lists`` (key, id) with its list's pivot."""
+    return (lists.join(pivots, "key").filter("id <> pivot")
             .select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct())
 
 
+def _best(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("key").agg(F.max_by("id", F.struct("quality", -F.col("id"))).alias("pivot"))
+
+
+def _open(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``lists`` with the components of their members, where they differ."""
+    named = (lists.join(nodes, F.col("id") == F.col("node"), "left")
+             .select("key", "id", "m", "quality", "long", F.coalesce("component", "id").alias("component")))
+    several = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+               .filter("low <> high").select("key"))
+    return cut(named.join(several, "key", "left_semi"))
+
+
+def _expanded(lists: DataFrame) -> DataFrame:
+    x, y = lists.alias("x"), lists.alias("y")
+    return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id"))
+                   & (F.col("x.component") != F.col("y.component")))
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+
+
 def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: int, k: int = K,
-                    run: int = RUN) -> DataFrame:
+                    run: int = RUN, short: int = SHORT) -> DataFrame:
     """(node, component) of the classes that have a link."""
     classes = cut(sketched.filter("n > 0 and doc_id is not null").groupBy("one", "two")
-                  .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-                  .dropDuplicates(["id"]))
+                  .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     search = Search(docs, classes, width, percent, k)
     pairs = F.zip_with(F.expr(f"slice(sketch, 1, least({run}, size(sketch)) - 1)"),
                        F.expr(f"slice(sketch, 2, least({run}, size(sketch)) - 1)"), lambda x, y: F.xxhash64(x, y))
-    lists = cut(classes.filter("size(sketch) > 1").select("id", F.explode(pairs).alias("key")))
-    nodes = search.add(_tied(lists, 1, 0))
-    salt = 0
+    every = classes.filter("size(sketch) > 1").select(
+        "id", (F.least(F.lit(run), F.size("sketch")) - 1).alias("own"), F.explode(pairs).alias("key"))
+    counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    several = cut(every.join(counts, "key"))
+    # A pair that no short list holds shares long lists only, and many of its own.
+    quality = several.groupBy("id").agg(
+        F.sum("m").alias("quality"),
+        (F.sum((F.col("m") > short).cast("long")) >= F.max("own") * LONG_SHARE).alias("long"))
+    lists = cut(several.select("key", "id", "m").join(quality, "id"))
+
+    pivots = cut(_best(lists))
+    nodes, _ = search.add(_tied(lists, pivots))
+    unfinished = _open(lists, nodes)
+    used = pivots.select(F.col("pivot").alias("id")).distinct()
+    expanded = _expanded(unfinished.filter(F.col("m") <= short))
     while True:
-        salt += 1
-        named = (lists.join(nodes, F.col("id") == F.col("node"), "left")
-                 .select("key", "id", F.coalesce("component", "id").alias("component")))
-        open_keys = (named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-                     .filter("low <> high").select("key", "m"))
-        lists_open = cut(named.join(open_keys, "key"))
-        if lists_open.isEmpty():
+        fresh = unfinished.filter((F.col("m") > short) & F.col("long"))
+        pivots = cut(_best(fresh.join(used, "id", "left_anti")))
+        tied = _tied(fresh, pivots)
+        nodes, found = search.add(tied if expanded is None else tied.unionByName(expanded).distinct())
+        if not found:
             return nodes
-        return_pairs = lists_open.filter(F.col("m") <= SHORT_LIST)
-        x, y = return_pairs.alias("x"), return_pairs.alias("y")
-        whole = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id"))
-                        & (F.col("x.component") != F.col("y.component")))
-                 .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-        raise NotImplementedError
+        used = cut(used.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct())
+        unfinished, expanded = _open(lists, nodes), None
+
+
+def near_groups(docs: DataFrame, width: int, percent: int = 80) -> DataFrame:
+    """A row for each of ``docs`` (doc_id, text): ``doc_id``, ``n_shingles``,
+    ``component_id`` and ``kept``."""
+    sketched = cut(sketches(docs, width))
+    nodes = link_components(docs, sketched, width, percent)
+    classes = (sketched.filter("n > 0").groupBy("one", "two").agg(F.min("doc_id").alias("id")))
+    named = (sketched.select("doc_id", "n", "one", "two").join(classes, ["one", "two"], "left")
+             .join(nodes, F.col("id") == F.col("node"), "left"))
+    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id")), "doc_id")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=2)
+
+
+QUERIES = {"op3_near_dedup": op3_near_dedup}

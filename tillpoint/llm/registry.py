@@ -9,12 +9,13 @@ from tillpoint.llm import (
     html_extraction,
     language_id,
     line_dedup,
+    near_dedup,
     packing,
     personal_data,
     sharding,
 )
 
-_MODULES = [packing, fingerprints, html_extraction, line_dedup, chat, personal_data, language_id,
+_MODULES = [packing, fingerprints, near_dedup, html_extraction, line_dedup, chat, personal_data, language_id,
             decontamination, sharding]
 
 
