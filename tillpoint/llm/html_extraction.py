@@ -42,6 +42,8 @@ from tillpoint.llm.packing import slices
 MIN_SHARE = 0.5
 MAIN_SHARE = 0.6
 MAX_OPEN_SUMS = 200_000
+MAX_BROADCAST_HOSTS = 50_000
+SALTS = 64
 SLICE_BYTES = 8 << 20
 
 # What HTML says of its elements.
@@ -221,6 +223,17 @@ def main_slots(sums: DataFrame, min_share: float = MIN_SHARE, main_share: float
                 F.size(F.split("token", "/")).alias("depth"), "token")).alias("slot")))
 
 
+def with_slots(pages: DataFrame, slots: DataFrame, most: int = MAX_BROADCAST_HOSTS, salts: int = SALTS) -> DataFrame:
+    """``pages`` (host, ...) with the slot of their host, null without one.  Up
+    to ``most`` hosts are broadcast; with more, the pages of a host are dealt
+    over ``salts`` keys, so that a host with very many does not meet in one task."""
+    if slots.count() <= most:
+        return pages.join(F.broadcast(slots), "host", "left")
+    spread = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["host", "salt"], "left").drop("salt")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url`` and the main ``text`` of ``pages`` (page_id, url, html)."""
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
@@ -233,7 +246,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string())],
                                                  names=["page_id", "url", "text"])
 
-    placed = own.join(slots, "host", "left").select("page_id", "url", "html", "slot")
+    placed = with_slots(own, slots).select("page_id", "url", "html", "slot")
     kind = dict(placed.dtypes)["page_id"]
     return placed.mapInArrow(run, f"page_id {kind}, url string, text string")
 
