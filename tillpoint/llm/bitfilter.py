@@ -6,6 +6,8 @@ false hit only costs a row, the join is exact.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +17,9 @@ _MIN_BITS = 16
 _BITS_PER_HASH = 32
 
 
-class BitFilter:
-    def __init__(self, bits: int, field: np.ndarray):
-        self.bits, self.field = bits, field
+class BitFilter(NamedTuple):
+    bits: int
+    field: np.ndarray
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         """Whether each 64-bit hash may be among those of the filter."""

@@ -62,10 +62,10 @@ def seeds(texts: DataFrame, keep: list[str], known: BitFilter | None = None) ->
     ``known`` if it is given."""
     names = [*keep, "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keep).schema)
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+    shared = texts.sparkSession.sparkContext.broadcast(known and tuple(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.value and BitFilter(*shared.value)
         for batch in batches:
             for some in slices(batch, SLICE_BYTES, len(keep)):
                 words, starts = hashed_words(some.column(len(keep)), _word)

@@ -160,10 +160,10 @@ def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_c
     ``score`` and ``bits_per_byte`` (of the shortest code; null if ``und``)."""
     names = [id_col, text_col, *keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(trees and tuple(vars(trees).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees = shared.value and Trees(*shared.value)
         for batch in batches:
             for some in slices(batch, SLICE_BYTES):
                 texts = some.column(1).cast(pa.large_binary())

@@ -78,7 +78,7 @@ def _chunk_ends(cuts: list[int], n: int) -> list[int]:
 def chunks(docs: DataFrame, known: BitFilter | None = None) -> DataFrame:
     """The chunks of ``docs`` (doc_id, key, text): only their ``hash``, or, for
     the hashes that may be in ``known``, with their place and lines."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast(known and tuple(known))
 
     def cuttings(lines: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
         own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
@@ -97,7 +97,7 @@ def chunks(docs: DataFrame, known: BitFilter | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["hash"])
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.value and BitFilter(*shared.value)
         for batch in batches:
             for some in slices(batch, SLICE_BYTES, 2):
                 rows: list[tuple] = []
