@@ -51,6 +51,33 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-ǿ]")
 
 
+class _Runs:
+    """Runs of ids one after another, each known by its number."""
+
+    def __init__(self):
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)  # of run k at k + 1
+        self.count = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        used, k = int(self.ends[self.count]), self.count
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while k + len(lengths) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+        self.ids[used: used + len(ids)] = ids
+        self.ends[k + 1: k + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.count += len(lengths)
+
+    def take(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the given runs in order, and where each ends."""
+        starts, lengths = self.ends[runs], self.ends[runs + 1] - self.ends[runs]
+        ends = np.cumsum(lengths)
+        at = np.arange(int(ends[-1]) if len(ends) else 0)
+        at += np.repeat(starts - (ends - lengths), lengths)
+        return self.ids[at], ends
+
+
 class Vocabulary:
     """Ids of whole texts, with the ids of known words kept."""
 
@@ -61,47 +88,40 @@ class Vocabulary:
 
         self.lib = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         # Fixed value: the vocabulary's own splitting rule.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.piece_ids: dict[str, list[int]] = {}
+        self.piece_at: dict[str, int] = {}
         self.word_at: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.empty(1 << 16, np.int64)
-        self.lengths = np.empty(1 << 16, np.int64)
+        self.piece_ids, self.word_ids = _Runs(), _Runs()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-1] in ".,":
+            return [word[:-1], word[-1]]
+        return self.split(word)
+
     def _learn(self, words: list[str]) -> None:
-        split = [self.pieces(w) for w in words]
-        new = list({p for ps in split for p in ps if p not in self.piece_ids})
+        split = list(map(self._pieces, words))
+        pieces = [p for ps in split for p in ps]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.piece_at]
         # A blank always ends a piece, so many pieces go to the library as one text.
         for first in range(0, len(new), JOINED):
             some = new[first: first + JOINED]
-            own: list[list[int]] = [[] for _ in some]
             e = self.lib.encode(" ".join(some), add_special_tokens=False)
-            for k, i in zip(e.word_ids, e.ids):
-                own[k].append(i)
-            self.piece_ids.update(zip(some, own))
-        ids = [[i for p in ps for i in self.piece_ids[p]] for ps in split]
-        more = sum(map(len, ids))
-        while self.used + more > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        known = len(self.word_at)
-        while known + len(words) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = self.used + np.cumsum(lengths)
-        self.starts[known: known + len(words)] = ends - lengths
-        self.lengths[known: known + len(words)] = lengths
-        self.flat[self.used: self.used + more] = np.fromiter((i for own in ids for i in own), np.uint32, more)
-        self.used += more
-        self.word_at.update(zip(words, range(known, known + len(words))))
+            self.piece_at.update(zip(some, range(self.piece_ids.count, self.piece_ids.count + len(some))))
+            self.piece_ids.add(np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        ids, ends = self.piece_ids.take(np.fromiter(map(self.piece_at.__getitem__, pieces), np.int64, len(pieces)))
+        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        word_ends = np.concatenate([[0], ends])[last]
+        self.word_at.update(zip(words, range(self.word_ids.count, self.word_ids.count + len(words))))
+        self.word_ids.add(ids, np.diff(word_ends, prepend=0))
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         words = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
@@ -110,16 +130,12 @@ class Vocabulary:
         distinct = coded.dictionary.to_pylist()
         if len(self.word_at) + len(distinct) > MAX_WORDS:
             self._forget()
-        get = self.word_at.get
-        if unknown := [w for w in distinct if get(w) is None]:
+        if unknown := [w for w in distinct if w not in self.word_at]:
             self._learn(unknown)
-        at = np.fromiter(map(get, distinct), np.int64, len(distinct))
-        at = at[coded.indices.to_numpy()] if len(distinct) else at
-        starts, lengths = self.starts[at], self.lengths[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        take = np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])
-        ids = self.flat[take]
-        return [ids[ends[a]: ends[b]] for a, b in zip(bounds[:-1], bounds[1:])]
+        known = np.fromiter(map(self.word_at.__getitem__, distinct), np.int64, len(distinct))
+        ids, ends = self.word_ids.take(known[coded.indices.to_numpy()] if len(distinct) else known)
+        at = np.concatenate([[0], ends])[bounds]
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [not _PLAIN.search(t) and not any(s in t for s in self.special) for t in texts]
