@@ -7,14 +7,15 @@ passage copied into another text is cut alike whatever stands around it.
 and after every line of ``LONG_LINE`` words or more, so that a passage of few
 lines holds a whole chunk of one of them too.
 
-Spark counts the chunk hashes of all texts.  Chunks whose hash repeats are
-read again with their lines and those of the chunks before and after, and
+Chunks of several lines, and single lines of ``LONG_LINE`` words, count.
+Spark counts their hashes over all texts.  Those whose hash repeats are read
+again, with 128-bit hashes of the ``CONTEXT`` lines before and after, and
 every occurrence is compared, byte by byte, with the first one (by document
 id, then line).  Equal chunks are extended over the neighbouring lines that
 are equal too, and the run is removed when it has at least ``MIN_LINES``
 lines and ``MIN_WORDS`` words; a single line of ``ALONE_WORDS`` words is a
-passage by itself.  A removed line always has an equal line at
-an earlier place, so one copy of every passage stays.
+passage by itself.  A removed line always has an equal line at an earlier
+place, so one copy of every passage stays.
 
 Defined results: a null text stays null; an empty text has one empty line;
 a text that loses all its lines is empty; rows with equal ids are ordered by
@@ -45,9 +46,13 @@ MIN_LINES = 2
 MIN_WORDS = 30
 LONG_LINE = 12
 ALONE_WORDS = 50
+CONTEXT = 4
+MAX_BROADCAST_RUNS = 200_000
 SLICE_BYTES = 16 << 20
 
-_CHUNK = "hash long, doc_id long, key long, line int, before array<string>, own array<string>, after array<string>"
+_CHUNK = ("hash long, doc_id long, key long, line int, lines int, own string, "
+          "before array<struct<hash:binary,words:int>>, after array<struct<hash:binary,words:int>>")
+_CONTEXT = pa.list_(pa.struct([("hash", pa.binary()), ("words", pa.int32())]))
 
 
 def _rolling_cuts(hashes: np.ndarray, salt: int, window: int) -> list[int]:
@@ -57,8 +62,12 @@ def _rolling_cuts(hashes: np.ndarray, salt: int, window: int) -> list[int]:
     return (np.flatnonzero(mix(rolled + np.uint64(salt)) % np.uint64(DIVISOR) == 0) + 1).tolist()
 
 
+def _words(line: str) -> int:
+    return line.count(" ") + 1
+
+
 def _long_line_cuts(lines: list[str]) -> list[int]:
-    long = [k for k, x in enumerate(lines) if x.count(" ") >= LONG_LINE - 1]
+    long = [k for k, x in enumerate(lines) if _words(x) >= LONG_LINE]
     return sorted({*long, *(k + 1 for k in long)})
 
 
@@ -80,19 +89,21 @@ def chunks(docs: DataFrame, known: BitFilter | None = None) -> DataFrame:
     the hashes that may be in ``known``, with their place and lines."""
     shared = docs.sparkSession.sparkContext.broadcast(known and tuple(known))
 
-    def cuttings(lines: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    def anchors(lines: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """The line ranges of the chunks of all cuttings, and their hashes."""
         own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
-        raw = own.tobytes()
-        all_cuts = [_rolling_cuts(own, salt, window) for salt, window in enumerate(WINDOWS)]
-        for salt, cuts in enumerate([*all_cuts, _long_line_cuts(lines)]):
+        found = set()
+        for cuts in (*(_rolling_cuts(own, salt, window) for salt, window in enumerate(WINDOWS)), _long_line_cuts(lines)):
             ends = _chunk_ends(cuts, len(lines))
-            yield np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a: 8 * b], salt) for a, b in zip([0, *ends], ends)),
-                              np.uint64, len(ends)), [0, *ends]
+            found.update(zip([0, *ends], ends))
+        ranges = [(a, b) for a, b in found if b - a > 1 or _words(lines[a]) >= LONG_LINE]
+        raw = own.tobytes()
+        return ranges, np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a: 8 * b]) for a, b in ranges), np.uint64, len(ranges))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, SLICE_BYTES, 2):
-                found = [h for t in some.column(2).to_pylist() if t is not None for h, _ in cuttings(t.split("\n"))]
+                found = [anchors(t.split("\n"))[1] for t in some.column(2).to_pylist() if t is not None]
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["hash"])
 
@@ -103,16 +114,16 @@ def chunks(docs: DataFrame, known: BitFilter | None = None) -> DataFrame:
                 rows: list[tuple] = []
                 for doc, key, text in zip(*(c.to_pylist() for c in some.columns)):
                     lines = text.split("\n") if text is not None else []
-                    for hashes, at in cuttings(lines) if lines else ():
-                        for k in np.flatnonzero(known.may_hold(hashes)).tolist():
-                            a, b = at[k], at[k + 1]
-                            before = lines[at[k - 1]: a] if k else []
-                            after = lines[b: at[k + 2]] if k + 2 < len(at) else []
-                            rows.append((int(hashes[k].view(np.int64)), doc, key, a, before, lines[a:b], after))
-                cols = list(zip(*rows)) if rows else [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.string())] * 3]
+                    ranges, hashes = anchors(lines) if lines else ([], np.zeros(0, np.uint64))
+                    for k in np.flatnonzero(known.may_hold(hashes)).tolist():
+                        a, b = ranges[k]
+                        near = [[{"hash": xxhash.xxh3_128_digest(x), "words": _words(x)} for x in some_lines]
+                                for some_lines in (lines[max(0, a - CONTEXT): a], lines[b: b + CONTEXT])]
+                        rows.append((int(hashes[k].view(np.int64)), doc, key, a, b - a, "\n".join(lines[a:b]), *near))
+                cols = list(zip(*rows)) if rows else [()] * 8
+                kinds = [*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.string(), _CONTEXT, _CONTEXT]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[
-                    "hash", "doc_id", "key", "line", "before", "own", "after"])
+                    "hash", "doc_id", "key", "line", "lines", "own", "before", "after"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "key", "text")
     return rows.mapInArrow(count, "hash long") if known is None else rows.mapInArrow(show, _CHUNK)
@@ -124,16 +135,16 @@ def _compare(pairs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, key, line, before, own, after, before2, own2, after2 in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, key, line, lines, own, before, after, own2, before2, after2 in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != own2:
                     continue
                 up = next((k for k, (x, y) in enumerate(zip(before[::-1], before2[::-1])) if x != y),
                           min(len(before), len(before2)))
                 down = next((k for k, (x, y) in enumerate(zip(after, after2)) if x != y), min(len(after), len(after2)))
-                lines = [*before[len(before) - up:], *own, *after[:down]]
-                words = sum(len(x.split()) for x in lines)
-                if len(lines) >= min_lines and words >= min_words or words >= ALONE_WORDS:
-                    rows.append((doc, key, line - up, line + len(own) + down))
+                words = (sum(_words(x) for x in own.split("\n"))
+                         + sum(x["words"] for x in (*before[len(before) - up:], *after[:down])))
+                if up + lines + down >= min_lines and words >= min_words or words >= ALONE_WORDS:
+                    rows.append((doc, key, line - up, line + lines + down))
             cols = list(zip(*rows)) if rows else [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
@@ -150,11 +161,11 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     seen = cut(chunks(keyed, bit_filter(repeated)))
     place = F.struct("doc_id", "key", "line")
     first = seen.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = seen.join(first, "hash").withColumn("is_first", place == F.col("first"))
-    kept = (later.filter("is_first").dropDuplicates(["hash"])
-            .select("hash", F.col("before").alias("before2"), F.col("own").alias("own2"), F.col("after").alias("after2")))
-    pairs = (later.filter("not is_first").join(kept, "hash")
-             .select("doc_id", "key", "line", "before", "own", "after", "before2", "own2", "after2"))
+    placed = seen.join(first, "hash")
+    kept = (placed.filter(place == F.col("first")).dropDuplicates(["hash"])
+            .select("hash", *[F.col(c).alias(f"{c}2") for c in ("own", "before", "after")]))
+    pairs = (placed.filter(place != F.col("first")).join(kept, "hash")
+             .select("doc_id", "key", "line", "lines", "own", "before", "after", "own2", "before2", "after2"))
     return (_compare(pairs, min_lines, min_words).distinct()
             .groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "end")).alias("runs")))
 
@@ -162,7 +173,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
 def drop_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all columns, without repeated runs; ``lines`` and
     ``removed_lines`` count the lines before and those removed."""
-    runs = repeated_runs(docs.select("doc_id", "text"), min_lines, min_words).alias("r")
+    runs = cut(repeated_runs(docs.select("doc_id", "text"), min_lines, min_words))
+    runs = (F.broadcast(runs) if runs.count() <= MAX_BROADCAST_RUNS else runs).alias("r")
     lines = F.split("d.text", "\n", -1)
     stays = F.filter(lines, lambda x, i: F.col("r.runs").isNull() | ~F.exists(
         "r.runs", lambda r: (i >= r["first"]) & (i < r["end"])))
