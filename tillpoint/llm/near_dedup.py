@@ -171,13 +171,16 @@ class Search:
 
 
 def _tied(lists: DataFrame, pivots: DataFrame) -> DataFrame:
-    """The pairs of each member of ``lists`` (key, id) with its list's pivot."""
-    return (lists.join(pivots, "key").filter("id <> pivot")
+    """The pairs of each member of ``lists`` (key, id, component) with its
+    list's pivot, where the two are not yet in one component."""
+    return (lists.join(pivots, "key").filter("id <> pivot and component <> pivot_component")
             .select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct())
 
 
 def _best(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("key").agg(F.max_by("id", F.struct("quality", -F.col("id"))).alias("pivot"))
+    best = F.max_by(F.struct("id", "component"), F.struct("quality", -F.col("id")))
+    return lists.groupBy("key").agg(best.alias("best")).select(
+        "key", F.col("best.id").alias("pivot"), F.col("best.component").alias("pivot_component"))
 
 
 def _open(lists: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -214,8 +217,9 @@ def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: i
         (F.sum((F.col("m") > short).cast("long")) >= F.max("own") * LONG_SHARE).alias("long"))
     lists = cut(several.select("key", "id", "m").join(quality, "id"))
 
-    pivots = cut(_best(lists))
-    nodes, _ = search.add(_tied(lists, pivots))
+    alone = lists.withColumn("component", F.col("id"))
+    pivots = cut(_best(alone))
+    nodes, _ = search.add(_tied(alone, pivots))
     unfinished = _open(lists, nodes)
     used = pivots.select(F.col("pivot").alias("id")).distinct()
     expanded = _expanded(unfinished.filter(F.col("m") <= short))
