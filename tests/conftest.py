@@ -10,6 +10,7 @@ SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
 # Folder with published result CSVs for the golden tests (opt-in).
 GOLDEN_DIR = os.environ.get("TILLPOINT_GOLDEN_DIR")
+collect_ignore = [] if GOLDEN_DIR else ["test_golden.py"]
 
 
 @pytest.fixture(scope="session")
@@ -23,9 +24,4 @@ def spark():
 
 
 def reference_csv(name: str) -> str:
-    if not GOLDEN_DIR:
-        pytest.skip("set TILLPOINT_GOLDEN_DIR to run the golden tests")
-    path = os.path.join(GOLDEN_DIR, name)
-    if not os.path.exists(path):
-        pytest.skip(f"published result {name} not available")
-    return path
+    return os.path.join(GOLDEN_DIR, name)

@@ -9,6 +9,7 @@ import random
 from decimal import Decimal
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tillpoint.functions.columns import (SEG_AT_RISK, SEG_CHAMPIONS, SEG_DEVELOPING, SEG_DORMANT,
@@ -16,6 +17,7 @@ from tillpoint.functions.columns import (SEG_AT_RISK, SEG_CHAMPIONS, SEG_DEVELOP
 from tillpoint.operators import customers as cu
 from tillpoint.operators import forecast as fc
 from tillpoint.operators import grains, products, quality, repair, revenue
+from tillpoint.sources import adapter
 from tillpoint.sources.extract import RAW_SCHEMA
 
 
@@ -72,7 +74,7 @@ def test_invoice_with_two_timestamps_across_month_end(spark):
         (10, "S2", "e", 1, 7, 1, "A", dt.datetime(2011, 2, 1, 0, 10)),
         (11, "S1", "d", 1, 3, 2, "A", dt.datetime(2011, 2, 15, 9, 0))])
     lines = repair.lines(raw)
-    multi = quality.multi_timestamp_invoices(lines).collect()
+    multi = quality.multi_timestamp_invoices(grains.invoice_full(lines), lines).collect()
     assert [(r.invoice_no, r.distinct_timestamps) for r in multi] == [(10, 2)]
     # Line month (growth decomposition) splits the invoice; invoice month does not.
     by_line = {r.month: (r.revenue, r.orders) for r in revenue.revenue_decomposition(lines).collect()}
@@ -144,18 +146,128 @@ def test_hot_invoice_and_hot_customer_match_brute_force(spark):
     assert ret.agg(F.sum("cohort_size")).first()[0] == len(exp_orders)
 
 
-def test_duplicate_check_resolves_hash_collisions(spark):
-    # NULLs are skipped by the row hash, so these two different rows share
-    # a hash; the exact phase must not count them as duplicates.
-    a = (1, "x", None, 1, 1.0, 1, "A", T0)
-    b = (1, None, "x", 1, 1.0, 1, "A", T0)
-    raw = raw_frame(spark, [a, b])
-    hashes = raw.select(F.xxhash64(*raw.columns).alias("h")).distinct().count()
-    assert hashes == 1
+def test_rows_that_differ_by_a_null_are_not_duplicates(spark):
+    raw = raw_frame(spark, [(1, "x", None, 1, 1.0, 1, "A", T0), (1, None, "x", 1, 1.0, 1, "A", T0)])
     r = quality.duplicate_sensitivity(raw).first()
     assert (r.possible_duplicate_rows, r.sensitivity_value, r.revenue_if_duplicates_dropped) == (0, None, 2.0)
 
 
+def test_customers_and_orders_are_distinct_ids_of_lines(spark):
+    """An invoice of two customers counts both; a NULL invoice is no order."""
+    lines = repair.lines(raw_frame(spark, [
+        (1, "S1", "d", 1, 5, 1, "A", T0), (1, "S1", "d", 1, 5, 2, "A", T0), (2, "S1", "d", 1, 5, 1, "A", T0),
+        (None, "S1", "d", 1, 5, None, "A", T0)]))
+    r = revenue.revenue_decomposition(lines).first()
+    assert (r.revenue, r.orders, r.active_customers) == (20.0, 2, 2)
+    grain = grains.invoice_full(lines)
+    s = quality.repair_summary(grain, lines).first()
+    assert (s["rows"], s.distinct_invoices, s.distinct_customers) == (4, 2, 2)
+    assert quality.functional_dependency(grain).first().invoices_multi_customer == 1
+
+
+BREAKS = {
+    "null_customer_id": (1, "S1", "d", 1, 5, None, "A", T0),
+    "null_invoice_no": (None, "S1", "d", 1, 5, 1, "A", T0),
+    "non_positive_quantity": (1, "S1", "d", 0, 5, 1, "A", T0),
+    "non_positive_price": (1, "S1", "d", 1, 0, 1, "A", T0),
+    "invoices_multi_customer": (9, "S1", "d", 1, 5, 77, "A", T0),
+    "invoices_multi_country": (9, "S1", "d", 1, 5, 1, "B", T0),
+}
+
+
+@pytest.mark.parametrize("breach", BREAKS)
+def test_validate_refuses_each_breach(spark, breach):
+    good = (9, "S1", "d", 1, 5, 1, "A", T0)
+    raw = raw_frame(spark, [good, BREAKS[breach]])
+    with pytest.raises(ValueError, match=breach):
+        quality.validate(raw, grains.invoice_full(repair.lines(raw)))
+    fine = raw_frame(spark, [good])
+    quality.validate(fine, grains.invoice_full(repair.lines(fine)))
+
+
+def test_validate_refuses_missing_columns_and_empty_extracts(spark):
+    raw = raw_frame(spark, [(9, "S1", "d", 1, 5, 1, "A", T0)])
+    grain = grains.invoice_full(repair.lines(raw))
+    with pytest.raises(ValueError, match="country"):
+        quality.validate(raw.drop("country"), grain)
+    with pytest.raises(ValueError, match="no rows"):
+        quality.validate(raw.limit(0), grain.limit(0))
+    rows = {r.required_column: (r.present, r["values"]) for r in quality.required_columns(raw.drop("country")).collect()}
+    assert rows["country"] == (False, 0) and rows["quantity"] == (True, 1)
+
+
+def test_many_to_one_join_refuses_repeated_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    assert quality.many_to_one(left, spark.createDataFrame([(1, "x"), (2, "y")], "k int, w string"), "k").count() == 3
+    with pytest.raises(Exception, match="Not many-to-one"):
+        quality.many_to_one(left, spark.createDataFrame([(1, "x"), (1, "y")], "k int, w string"), "k").collect()
+
+
+def write_tables(spark, folder, lines, orders):
+    """Test tables for the adapter: two parts, one customer, one nation."""
+    frames = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_quantity double"),
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "part": ([(1, "p", "b", "t", 2.0), (2, "q", "b", "u", 3.0)],
+                 "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double"),
+        "customer": ([(7, 3), (8, 99)], "c_custkey long, c_nationkey long"),
+        "nation": ([(3, "NORWAY")], "n_nationkey long, n_name string"),
+    }
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_orphan_lines_are_counted_and_repeated_keys_found(spark, tmp_path):
+    sf = write_tables(spark, tmp_path, [(1, 1, 1.0), (1, 5, 1.0), (4, 1, 1.0), (2, 2, 1.0), (3, 1, 1.0)],
+                      [(1, 7, T0), (2, 8, T0), (3, 55, T0), (3, 55, T0)])
+    assert adapter.orphan_lines(spark, sf).first().asDict() == {
+        "lines": 5, "without_order": 1, "without_part": 1, "without_customer": 1, "without_nation": 1, "left_out": 4}
+    assert adapter.read_extract(spark, sf).count() == 1
+    assert {r.right_table: r.repeated_keys for r in adapter.key_counts(spark, sf).collect()} == {
+        "orders": 1, "part": 0, "customer": 0, "nation": 0}
+
+
+def test_fingerprint_sees_moved_values(spark, tmp_path):
+    from tillpoint.plans.analytics import _fingerprint
+
+    class Only:
+        def __init__(self, raw):
+            self.raw = raw
+
+    a = raw_frame(spark, [(1, "x", None, 1, 1.0, 1, "A", T0), (2, "y", "z", 1, 1.0, 1, "A", T0)])
+    b = raw_frame(spark, [(1, None, "x", 1, 1.0, 1, "A", T0), (2, "y", "z", 1, 1.0, 1, "A", T0)])
+    same = a.orderBy(F.desc("invoice_no"))
+    assert _fingerprint(Only(a)).first() == _fingerprint(Only(same)).first() != _fingerprint(Only(b)).first()
+
+
+def test_staged_tables_are_found_by_a_later_application_and_refused_when_invalid(spark, tmp_path, monkeypatch):
+    from tillpoint.plans.context import Ctx
+    from tillpoint.sources import staging
+
+    sf = write_tables(spark, tmp_path / "good", [(1, 1, 1.0)], [(1, 7, T0)])
+    first = Ctx(spark, sf).invoice_facts.inputFiles()
+    for kept in (staging._STAGED, staging._SHARED, staging._FINGERPRINTS):
+        monkeypatch.setattr(staging, f"_{'STAGED' if kept is staging._STAGED else 'SHARED' if kept is staging._SHARED else 'FINGERPRINTS'}", {})
+    again = Ctx(spark, sf)
+    monkeypatch.setattr(grains, "invoice_full", lambda lines: 1 / 0)  # must not be built anew
+    assert again.invoice_facts.inputFiles() == first
+    monkeypatch.undo()
+    bad = write_tables(spark, tmp_path / "bad", [(1, 1, -1.0)], [(1, 7, T0)])
+    with pytest.raises(ValueError, match="non_positive_quantity"):
+        Ctx(spark, bad).invoice_facts
+
+
+def test_queries_give_the_same_rows_without_staging(spark, monkeypatch):
+    import __spark_entry__ as E
+    from conftest import SF001
+
+    keys = ("monthly_summary", "top_products", "holdout_weeks", "dq_repair_summary")
+    staged = {k: sorted(map(str, E.queries()[k](spark, SF001).collect())) for k in keys}
+    monkeypatch.setenv("TILLPOINT_STAGE", "0")
+    assert {k: sorted(map(str, E.queries()[k](spark, SF001).collect())) for k in keys} == staged
+
+
 def test_hot_copies_match_brute_force(spark):
     rnd = random.Random(11)
     hot = (5, "S1", "d", 3, 2.5, 9, "A", T0)

@@ -3,7 +3,8 @@
 The published weekly history is the input of its statistical backtest and
 the published folds are the input of its ML scoring; these tests feed the
 same inputs through our operators and compare with the published outputs.
-Skipped when the published CSVs are not present.
+Collected when TILLPOINT_GOLDEN_DIR names their folder; test_forecast_methods
+holds the same operators against numpy on inputs of its own.
 """
 
 import datetime as dt

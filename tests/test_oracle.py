@@ -1,22 +1,17 @@
 """The driver's correctness gate, locally: Spark query vs DuckDB oracle.
 
-Runs a representative subset at sf0.01 (set TILLPOINT_FULL_ORACLE=1 for
-every key with an oracle), and the smoke entry on sf0.001.
+Runs every key with an oracle at sf0.01, and the smoke entry on sf0.001.
 """
 
-import os
-
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF01
 from oracle_compare import compare, duck
+from tillpoint.plans import registry
 
-SUBSET = ["lines_repaired", "revenue_decomposition", "cohort_retention", "rfm_segments", "customer_metrics",
-          "top_products", "product_summary", "headline_metrics", "dq_chronology_inversions",
-          "dq_duplicate_sensitivity", "backtest_folds", "method_selection", "panel_features",
-          "m_selected_holdout_wape", "dash_market_kpis"]
-KEYS = list(E.oracle_sql()) if os.environ.get("TILLPOINT_FULL_ORACLE") == "1" else SUBSET
+# The reference's own queries; tests/llm holds the training-data operators.
+KEYS = list(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -37,5 +32,5 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("key", KEYS)
 def test_oracle(spark, con, key):
-    ok, msg = compare(spark, key, E.queries()[key], E.oracle_sql()[key], SF01, con)
+    ok, msg = compare(spark, key, registry.queries()[key], registry.oracle_sql()[key], SF01, con)
     assert ok, msg

@@ -1,4 +1,4 @@
-"""Date repair: the reference's three-row fixture, involution, strict parse."""
+"""Date repair: ambiguous and unambiguous texts, involution, strict parse."""
 
 import datetime as dt
 
@@ -9,15 +9,14 @@ from tillpoint.functions.columns import swap_day_month
 from tillpoint.operators.repair import repair_dates
 
 
-def test_three_row_fixture(spark):
-    df = spark.createDataFrame(
-        [(0, "2010-01-12 08:26:00"), (1, "2011-11-15 09:10:00"), (2, "2011-05-05 09:10:00")],
-        "k int, invoice_date_text string")
+def test_only_ambiguous_dates_are_swapped(spark):
+    """Every day of two years, as the extract would hold it, comes back."""
+    days = [dt.datetime(2018, 1, 1, 7, 5, 9) + dt.timedelta(days=k) for k in range(730)]
+    held = [d.replace(month=d.day, day=d.month) if d.day <= 12 else d for d in days]
+    df = spark.createDataFrame([(k, h.strftime("%Y-%m-%d %H:%M:%S")) for k, h in enumerate(held)], "k int, invoice_date_text string")
     rows = repair_dates(df).orderBy("k").collect()
-    assert rows[0].invoice_date == dt.datetime(2010, 12, 1, 8, 26)
-    assert rows[1].invoice_date == rows[1].parsed_ts
-    assert rows[2].invoice_date == rows[2].parsed_ts
-    assert sum(r.was_swapped for r in rows) == 1
+    assert [r.invoice_date for r in rows] == days
+    assert [r.was_swapped for r in rows] == [d.day <= 12 and d.day != d.month for d in days]
 
 
 def test_swap_is_an_involution_on_orders(spark):
@@ -26,7 +25,14 @@ def test_swap_is_an_involution_on_orders(spark):
     assert bad == 0
 
 
-def test_malformed_timestamp_raises(spark):
-    df = spark.createDataFrame([("2011-13-45 99:00:00",)], "invoice_date_text string")
-    with pytest.raises(Exception):
-        repair_dates(df).collect()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("text", ["2018-02-30 10:00:00", "yesterday", "2018-13-45 99:00:00", ""])
+def test_malformed_timestamp_raises_with_and_without_ansi(spark, ansi, text):
+    df = spark.createDataFrame([(text,)], "invoice_date_text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="(?i)malformed|parse|timestamp"):
+            repair_dates(df).select("invoice_date").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

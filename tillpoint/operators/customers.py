@@ -96,6 +96,11 @@ def customer_country(invoices_df: DataFrame) -> DataFrame:
             .select("customer_id", "country"))
 
 
+def surrogate_key(invoices_df: DataFrame) -> DataFrame:
+    """(customer_id, customer_key): the distinct customers numbered in id order."""
+    return sequential_key(invoices_df.select("customer_id").distinct(), "customer_id", "customer_key")
+
+
 def customer_metrics(customers_df: DataFrame, invoices_df: DataFrame,
                      with_id: bool = False) -> DataFrame:
     """One anonymised row per customer with a surrogate key 1..n in id order."""

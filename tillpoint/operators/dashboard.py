@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tillpoint.functions.columns import dround, money, safe_div
 from tillpoint.operators.products import is_home
 
-MARKETS = ("all", "outside_home")  # or a country name
 PERIODS = ("all", "complete", "focus")
 
 
@@ -31,7 +30,7 @@ def _month_axis(invoices_df: DataFrame, period: str) -> DataFrame:
 
 
 def market_period(status_df: DataFrame, invoices_df: DataFrame, home: DataFrame,
-                  market: str = "outside_home", period: str = "complete") -> DataFrame:
+                  market: str = "all", period: str = "all") -> DataFrame:
     """Zero-filled months: sales, orders and later-month buyer sales."""
     inv = status_df
     if market == "outside_home":
@@ -63,11 +62,6 @@ def top_markets(country_share: DataFrame, n: int = 7) -> DataFrame:
             .select("country", "observed_revenue", "share_of_extract_pct"))
 
 
-def top_products(product_summary: DataFrame, n: int = 6) -> DataFrame:
-    return (product_summary.orderBy(F.desc("revenue"), F.asc("stock_code")).limit(n)
-            .select("stock_code", "description", "units", "revenue"))
-
-
 def segments_by_share(segments: DataFrame) -> DataFrame:
     return segments.select("segment", "revenue_share_pct").orderBy(F.desc("revenue_share_pct"))
 

@@ -65,11 +65,15 @@ class Calendar:
 def calendar_from_last_week(last_week: datetime.date, weeks: int = WEEKS,
                             n_validation: int = N_VALIDATION) -> Calendar:
     """L = last complete week; first = L-(weeks-1)w; T = L-3w;
-    validation origins T-(7+4i)w for i = n-1..0."""
+    validation origins T-(7+4i)w for i = n-1..0.  Every origin needs
+    ``HISTORY`` weeks of the grid before it."""
     day = datetime.timedelta(days=1)
     test = last_week - 7 * (HORIZON - 1) * day
     validation = tuple(test - 7 * (7 + 4 * i) * day for i in range(n_validation - 1, -1, -1))
-    return Calendar(last_week - 7 * (weeks - 1) * day, last_week, test, validation)
+    first = last_week - 7 * (weeks - 1) * day
+    if min((test, *validation)) < first + 7 * HISTORY * day:
+        raise ValueError(f"Each origin needs {HISTORY} complete weeks of history; {weeks} weeks are too few")
+    return Calendar(first, last_week, test, validation)
 
 
 def last_complete_week(lines: DataFrame) -> DataFrame:
@@ -78,9 +82,9 @@ def last_complete_week(lines: DataFrame) -> DataFrame:
     return lines.agg(last.alias("last_week"))
 
 
-def calendar(lines: DataFrame, weeks: int = WEEKS, n_validation: int = N_VALIDATION) -> Calendar:
-    """Derive the calendar from the data (one global max, one row collected)."""
-    last = last_complete_week(lines).first()["last_week"]
+def calendar(dated: DataFrame, weeks: int = WEEKS, n_validation: int = N_VALIDATION) -> Calendar:
+    """Derive the calendar from ``invoice_date`` (one global max, one row collected)."""
+    last = last_complete_week(dated).first()["last_week"]
     if last is None:
         raise ValueError("no dated lines: cannot derive a forecast calendar")
     return calendar_from_last_week(last, weeks, n_validation)
@@ -91,20 +95,6 @@ def origins(spark, cal: Calendar) -> DataFrame:
     return spark.createDataFrame(cal.origin_rows(), "origin date, kind string, fold int")
 
 
-def line_facts(lines: DataFrame) -> DataFrame:
-    """Compact fact table for the forecasting jobs, one pass over the lines.
-
-    Grain (stock, week, invoice, description): every forecasting input
-    (calendar, popularity, product names, weekly units) is an aggregate of
-    it.  The grain contains the invoice key, so on order-key partitioned
-    lines the aggregation needs no exchange.
-    """
-    return lines.groupBy("stock_code", "week_start", "invoice_no", "description").agg(
-        F.sum("quantity").cast("bigint").alias("quantity"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.max("invoice_date").alias("invoice_date"))
-
-
 def _in_window(lines: DataFrame, lo: datetime.date, hi: datetime.date, hi_inclusive: bool) -> DataFrame:
     upper = F.col("week_start") <= F.lit(hi) if hi_inclusive else F.col("week_start") < F.lit(hi)
     return lines.where((F.col("week_start") >= F.lit(lo)) & upper)
@@ -228,13 +218,16 @@ def forecasts(weekly: DataFrame, origins_df: DataFrame, methods=METHODS) -> Data
     """(series, origin, kind, fold, horizon, week_start, method, forecast).
 
     Each origin row carries its own eight lags, so history never includes
-    the origin week or later (leak-free by construction); origins with
-    fewer than eight grid weeks before them are dropped.  Methods are
+    the origin week or later (leak-free by construction); an origin with
+    fewer than eight grid weeks before it is refused.  Methods are
     stacked from one projection (the union of the three method branches
     without recomputing the lag window).
     """
-    st = with_lags(weekly).where(F.col("week_idx") >= HISTORY)
+    st = with_lags(weekly)
     at = st.join(F.broadcast(origins_df), st["week_start"] == origins_df["origin"])  # <= 6 origins
+    enough = F.when(F.col("week_idx") >= HISTORY, F.col("lag_1")).otherwise(F.raise_error(F.concat(
+        F.lit(f"Fewer than {HISTORY} complete weeks of history before "), F.col("origin").cast("string"))).cast("double"))
+    at = at.withColumn("lag_1", enough)  # every method reads it
     at = at.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))))
     mc = method_columns(F.col("horizon"))
     stack = ", ".join(f"'{m}', `_{m}`" for m in methods)
@@ -251,13 +244,18 @@ def with_actuals(fc: DataFrame, weekly: DataFrame) -> DataFrame:
 
 
 def backtest_folds(fc_actual: DataFrame) -> DataFrame:
-    """Per (series, origin, method): absolute error, actual total, WAPE."""
+    """Per (series, origin, method): absolute error, actual total, WAPE.  A fold
+    whose weeks are not all observed is refused."""
     v = fc_actual.where(F.col("kind") == "validation")
     g = v.groupBy("series", "origin", "method").agg(
         F.sum(F.abs(F.col("actual") - F.col("forecast"))).alias("absolute_error"),
         F.sum(F.abs(F.col("actual"))).cast("double").alias("actual_total"),
         F.count("actual").alias("n_actual"))
-    return g.withColumn("wape", wape_expr(F.col("absolute_error"), F.col("actual_total")))
+    whole = F.when(F.col("n_actual") == HORIZON, F.col("absolute_error")).otherwise(F.raise_error(F.concat(
+        F.lit(f"Fold without its {HORIZON} actual weeks: "), F.col("series"), F.lit(" "),
+        F.col("origin").cast("string"))).cast("double"))
+    return (g.withColumn("absolute_error", whole)
+            .withColumn("wape", wape_expr(F.col("absolute_error"), F.col("actual_total"))))
 
 
 def method_priority(methods=METHODS) -> Column:
@@ -287,10 +285,9 @@ def product_names(lines: DataFrame, cal: Calendar, codes: DataFrame) -> DataFram
     """Series label -> product name: modal description of the SKU in the
     initial period ("Unknown" when absent); "All product units" for the total."""
     initial = _in_window(lines, cal.first_week, cal.initial_end, hi_inclusive=False)
-    weight = F.col("n_lines") if "n_lines" in lines.columns else F.lit(1)
     counts = (initial.join(F.broadcast(codes.select("stock_code")), "stock_code", "left_semi")
               .where(F.col("description").isNotNull())
-              .groupBy("stock_code", "description").agg(F.sum(weight).alias("n")))
+              .groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n")))
     # Modal description (ties: smallest); a group holds one row per description.
     w = Window.partitionBy("stock_code").orderBy(F.desc("n"), F.asc("description"))
     names = (counts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")

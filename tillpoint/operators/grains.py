@@ -32,7 +32,9 @@ def invoice_full(lines: DataFrame) -> DataFrame:
         F.min("parsed_ts").alias("first_raw_ts"),
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if("was_swapped").alias("n_swapped"),
-        F.count_if(same).alias("n_same_day_month"))
+        F.count_if(same).alias("n_same_day_month"),
+        (F.min("customer_id") != F.max("customer_id")).alias("multi_customer"),
+        (F.min("country") != F.max("country")).alias("multi_country"))
         .withColumn("month", month_start("invoice_date")))
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tillpoint.functions.columns import dround, money, month_label, safe_div
 from tillpoint.functions.ordering import count_order_inversions
 from tillpoint.operators import grains
-from tillpoint.operators.grains import invoice_full  # noqa: F401  (re-exported)
 from tillpoint.operators import customers as cu
 from tillpoint.operators import quality as q
 from tillpoint.operators.products import home_country
@@ -32,7 +31,7 @@ def headline_metrics(raw: DataFrame, lines: DataFrame, inv: DataFrame) -> DataFr
         F.max("last_ts").alias("date_max"),
         F.date_add(F.to_date(F.max("last_ts")), 1).alias("asof_date"))
     products = lines.agg(F.countDistinct("stock_code").alias("products"))
-    inv_part = inv.agg(F.count(F.lit(1)).alias("invoices"),
+    inv_part = inv.agg(F.count("invoice_no").alias("invoices"),
                        F.countDistinct("customer_id").alias("customers"),
                        F.countDistinct("country").alias("countries"),
                        F.count_if(F.col("invoice_date") != F.col("last_ts")).cast("bigint")

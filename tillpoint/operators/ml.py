@@ -35,6 +35,10 @@ ALL_WEIGHT = 2.0
 RF_PARAMS = dict(numTrees=140, maxDepth=9, minInstancesPerNode=6, featureSubsetStrategy="0.8")
 GBT_PARAMS = dict(maxIter=170, maxDepth=4, stepSize=0.055, subsamplingRate=0.9,
                   featureSubsetStrategy="0.85")
+# Candidate splits of a feature, and the statistics a tree level may hold.
+MAX_BINS = 128
+MAX_MEMORY_MB = 32
+FIT_PARTITIONS = 4
 
 
 def _mean(ks) -> Column:
@@ -119,10 +123,12 @@ def scoring_frame(panel: DataFrame, origin: datetime.date) -> DataFrame:
 def make_estimator(method: str, **overrides):
     """Spark ML stand-ins for the two tree models, reference parameters."""
     if method == "random_forest":
-        params = dict(RF_PARAMS, seed=SEED, weightCol="weight", maxMemoryInMB=256, **overrides)
+        params = dict(RF_PARAMS, seed=SEED, weightCol="weight", maxBins=MAX_BINS,
+                      maxMemoryInMB=MAX_MEMORY_MB, **overrides)
         return RandomForestRegressor(featuresCol="features", labelCol="label", **params)
     if method == "xgboost":
-        params = dict(GBT_PARAMS, seed=SEED, weightCol="weight", maxMemoryInMB=256, **overrides)
+        params = dict(GBT_PARAMS, seed=SEED, weightCol="weight", maxBins=MAX_BINS,
+                      maxMemoryInMB=MAX_MEMORY_MB, **overrides)
         return GBTRegressor(featuresCol="features", labelCol="label", **params)
     raise KeyError(method)
 
@@ -137,20 +143,14 @@ def rescale(scored: DataFrame) -> DataFrame:
     return scored.withColumn("forecast", F.greatest(F.lit(0.0), F.col("prediction")) * F.col("scale"))
 
 
-def ml_forecasts(panel: DataFrame, origin: datetime.date, method: str, series: DataFrame | None = None,
-                 train_partitions: int = 1, **overrides) -> DataFrame:
-    """Fit on the panel before ``origin`` and forecast the 4 weeks from it.
-
-    The training frame is small and bounded (pool x weeks x 4), so it is
-    coalesced to a few partitions before the fit; ``series`` optionally
-    restricts which series are scored (the fit always uses the full pool).
-    """
-    train = training_frame(panel, origin).coalesce(train_partitions)
+def ml_forecasts(panel: DataFrame, origin: datetime.date, method: str,
+                 train_partitions: int = FIT_PARTITIONS, **overrides) -> DataFrame:
+    """Fit on the panel before ``origin`` and forecast the 4 weeks from it, for
+    every series of the pool.  The training rows are dealt out by series, so
+    each fit stage runs in ``train_partitions`` tasks."""
+    train = training_frame(panel, origin).repartition(train_partitions, "series")
     model = fit(train, method, **overrides)
-    score = scoring_frame(panel, origin)
-    if series is not None:
-        score = score.join(F.broadcast(series), "series", "left_semi")
-    out = rescale(model.transform(score))
+    out = rescale(model.transform(scoring_frame(panel, origin)))
     return out.select("series", F.lit(origin).alias("origin"), F.col("horizon").cast("int").alias("horizon"),
                       F.col("target_week").alias("week_start"), F.lit(method).alias("method"),
                       "prediction", "scale", "forecast")

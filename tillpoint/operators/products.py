@@ -11,9 +11,8 @@ from tillpoint.functions.columns import dround, money, safe_div
 def top_products(lines: DataFrame, n: int = 15) -> DataFrame:
     """Top ``n`` stock codes by revenue (ties: stock code).
 
-    The (stock, invoice) pre-aggregate is satisfied by the order-key
-    partitioning of the lines, so ``orders`` becomes a plain count and the
-    top-n is a per-partition TakeOrderedAndProject.
+    The (stock, invoice) pre-aggregate combines map-side and makes ``orders``
+    a plain count; the top-n is a per-partition TakeOrderedAndProject.
     """
     si = (lines.groupBy("stock_code", "invoice_no")
           .agg(F.max("description").alias("d"), F.sum("quantity").alias("q"),
@@ -26,23 +25,45 @@ def top_products(lines: DataFrame, n: int = 15) -> DataFrame:
                     money("rc").alias("observed_revenue")))
 
 
+def _modal(counts: DataFrame) -> DataFrame:
+    """Most frequent description per stock code of (stock_code, description, n);
+    ties take the smallest, and NULL only stands where there is no other."""
+    rank = F.struct(F.col("description").isNull().alias("none"), (-F.col("n")).alias("n"), F.col("description").alias("d"))
+    return counts.groupBy("stock_code").agg(F.min_by("description", rank).alias("description"))
+
+
 def product_modal_description(lines: DataFrame, empty: str = "") -> DataFrame:
-    """Most frequent description per stock code; ties take the smallest."""
-    return (lines.groupBy("stock_code")
-            .agg(F.mode("description", deterministic=True).alias("description"))
-            .select("stock_code", F.coalesce("description", F.lit(empty)).alias("description")))
+    """Most frequent description per stock code; ties take the smallest.
+    Descriptions are counted as rows, not in a map held for each code."""
+    counts = lines.groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n"))
+    return _modal(counts).select("stock_code", F.coalesce("description", F.lit(empty)).alias("description"))
 
 
 def product_summary(lines: DataFrame) -> DataFrame:
-    si = (lines.groupBy("stock_code", "invoice_no")
-          .agg(F.sum("quantity").alias("q"), F.sum("revenue_cents").alias("rc"),
-               F.count(F.lit(1)).alias("n")))
+    """Totals and modal description of every stock code, from one pass over
+    the lines: both sides start from the same (stock, invoice, description)
+    counts."""
+    sid = (lines.groupBy("stock_code", "invoice_no", "description")
+           .agg(F.sum("quantity").alias("q"), F.sum("revenue_cents").alias("rc"), F.count(F.lit(1)).alias("n")))
+    si = sid.groupBy("stock_code", "invoice_no").agg(
+        F.sum("q").alias("q"), F.sum("rc").alias("rc"), F.sum("n").alias("n"))
     p = si.groupBy("stock_code").agg(
         F.sum("rc").alias("rc"), F.sum("q").cast("bigint").alias("units"),
         F.sum("n").alias("line_items"), F.count(F.lit(1)).alias("orders"))
-    return (p.join(product_modal_description(lines), "stock_code")
+    names = _modal(sid.groupBy("stock_code", "description").agg(F.sum("n").alias("n")))
+    return (p.join(names, "stock_code")
             .select("stock_code", money("rc").alias("revenue"), "units", "line_items",
-                    "orders", "description"))
+                    "orders", F.coalesce("description", F.lit("")).alias("description")))
+
+
+def top_products_named(lines: DataFrame, n: int = 6) -> DataFrame:
+    """Top ``n`` stock codes by revenue with units and modal description: the
+    codes first, then the names of those ``n`` alone."""
+    top = (lines.groupBy("stock_code").agg(F.sum("revenue_cents").alias("rc"), F.sum("quantity").cast("bigint").alias("units"))
+           .orderBy(F.desc("rc"), F.asc("stock_code")).limit(n))
+    few = F.broadcast(top.select("stock_code"))  # at most n rows
+    names = product_modal_description(lines.join(few, "stock_code", "left_semi"))
+    return top.join(names, "stock_code").select("stock_code", "description", "units", money("rc").alias("revenue"))
 
 
 def _country_totals(invoices_df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Data-quality operators: contract checks, repair summary, duplicates,
-multi-timestamp invoices, chronology inversions, reconciliation."""
+multi-timestamp invoices, chronology inversions, reconciliation, and the
+checks that refuse an extract."""
 
 from __future__ import annotations
 
@@ -12,10 +13,13 @@ from tillpoint.sources.extract import RAW_SCHEMA, REQUIRED_COLUMNS
 
 
 def required_columns(raw: DataFrame) -> DataFrame:
-    """One row per required column with a presence flag (schema only)."""
-    present = set(raw.columns)
-    rows = [(c, c in present) for c in REQUIRED_COLUMNS]
-    return raw.sparkSession.createDataFrame(rows, "required_column string, present boolean")
+    """One row per required column: whether the table has it, and how many
+    values it holds there."""
+    present = [c for c in REQUIRED_COLUMNS if c in raw.columns]
+    counts = raw.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in present])
+    rows = [F.struct(F.lit(c).alias("required_column"), F.lit(c in present).alias("present"),
+                     (F.col(c) if c in present else F.lit(0)).cast("bigint").alias("values")) for c in REQUIRED_COLUMNS]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def assert_required_columns(raw: DataFrame) -> None:
@@ -24,110 +28,120 @@ def assert_required_columns(raw: DataFrame) -> None:
         raise ValueError(f"Missing columns: {missing}")
 
 
-def not_null(raw: DataFrame) -> DataFrame:
-    return raw.agg(F.count_if(F.col("invoice_no").isNull()).cast("bigint").alias("null_invoice_no"),
-                   F.count_if(F.col("customer_id").isNull()).cast("bigint").alias("null_customer_id"))
+def violations(raw: DataFrame, invoices: DataFrame) -> DataFrame:
+    """One row: the counts that ``validate`` wants to be zero, and the rows."""
+    no_date = F.count_if(F.col("invoice_date_text").isNull()).cast("bigint").alias("null_invoice_date")
+    lines = raw.agg(F.count(F.lit(1)).alias("rows"), no_date,
+                    *[e for part in (_null_counts(), _non_positive_counts()) for e in part])
+    fd = functional_dependency(invoices)
+    packed = fd.select(F.struct(*fd.columns).alias("s")).scalar()
+    return lines.select("*", *[packed.getField(c).alias(c) for c in fd.columns])
 
 
-def positive(raw: DataFrame) -> DataFrame:
-    return raw.agg(F.count_if(F.col("quantity") <= 0).cast("bigint").alias("non_positive_quantity"),
-                   F.count_if(F.col("unit_price") <= 0).cast("bigint").alias("non_positive_price"))
+def validate(raw: DataFrame, invoices: DataFrame) -> None:
+    """Refuse an extract with missing columns, no rows, missing ids or dates,
+    non-positive quantities or prices, or invoices of several customers or
+    countries.  ``invoices`` is the invoice grain (``grains.invoice_full``)."""
+    assert_required_columns(raw)
+    found = violations(raw, invoices).first().asDict()
+    if not found.pop("rows"):
+        raise ValueError("The extract has no rows")
+    if bad := {k: v for k, v in found.items() if v}:
+        raise ValueError(f"The extract breaks its contract: {bad}")
 
 
-def non_empty(raw: DataFrame) -> DataFrame:
-    """True when the extract has at least one row (reads one row at most)."""
-    return raw.limit(1).agg((F.count(F.lit(1)) > 0).alias("non_empty"))
+def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined to ``right`` on ``key``, refused when a key of ``right``
+    stands more than once: the check runs with the join, on the key's rows."""
+    once = right.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in right.columns if c != key])
+    checked = once.withColumn(key, F.when(F.col("_n") > 1, F.raise_error(F.concat(
+        F.lit(f"Not many-to-one, {key} repeats: "), F.col(key).cast("string"))).cast(right.schema[key].dataType))
+        .otherwise(F.col(key)))
+    return left.join(checked.drop("_n"), key)
+
+
+def _null_counts() -> list:
+    return [F.count_if(F.col("invoice_no").isNull()).cast("bigint").alias("null_invoice_no"),
+            F.count_if(F.col("customer_id").isNull()).cast("bigint").alias("null_customer_id")]
+
 
+def _non_positive_counts() -> list:
+    return [F.count_if(F.col("quantity") <= 0).cast("bigint").alias("non_positive_quantity"),
+            F.count_if(F.col("unit_price") <= 0).cast("bigint").alias("non_positive_price")]
 
-def invoice_checks(lines: DataFrame) -> DataFrame:
-    """Per invoice: first raw / repaired timestamp and FD witnesses.
 
-    ``min <> max`` replaces ``count(distinct) > 1``: same answer for
-    non-null values, no distinct aggregation.
-    """
-    return lines.groupBy("invoice_no").agg(
-        F.min("parsed_ts").alias("first_raw_ts"),
-        F.min("invoice_date").alias("first_ts"),
-        (F.min("invoice_date") != F.max("invoice_date")).alias("multi_ts"),
-        (F.min("customer_id") != F.max("customer_id")).alias("multi_customer"),
-        (F.min("country") != F.max("country")).alias("multi_country"))
+def not_null(raw: DataFrame) -> DataFrame:
+    return raw.agg(*_null_counts())
+
+
+def positive(raw: DataFrame) -> DataFrame:
+    return raw.agg(*_non_positive_counts())
 
 
-def functional_dependency(lines: DataFrame) -> DataFrame:
-    c = invoice_checks(lines)
-    return c.agg(F.count_if("multi_customer").cast("bigint").alias("invoices_multi_customer"),
-                 F.count_if("multi_country").cast("bigint").alias("invoices_multi_country"))
+def non_empty(raw: DataFrame) -> DataFrame:
+    """True when the extract has at least one row (reads one row at most)."""
+    return raw.limit(1).agg((F.count(F.lit(1)) > 0).alias("non_empty"))
 
 
-def assert_functional_dependency(lines: DataFrame) -> None:
-    r = functional_dependency(lines).first()
-    if r.invoices_multi_customer or r.invoices_multi_country:
-        raise AssertionError(f"invoice -> customer/country violated: {r}")
+def functional_dependency(invoices: DataFrame) -> DataFrame:
+    """Invoices of several customers or countries, from the invoice grain:
+    its ``min <> max`` witnesses replace ``count(distinct) > 1``."""
+    return invoices.agg(F.count_if("multi_customer").cast("bigint").alias("invoices_multi_customer"),
+                        F.count_if("multi_country").cast("bigint").alias("invoices_multi_country"))
 
 
 def date_bounds(lines: DataFrame) -> DataFrame:
     return lines.agg(F.min("invoice_date").alias("date_min"), F.max("invoice_date").alias("date_max"))
 
 
-def repair_summary(lines: DataFrame) -> DataFrame:
-    """Rows, repaired dates, same day-month rows, distinct invoices/customers."""
-    same = (F.dayofmonth("parsed_ts") == F.month("parsed_ts")) & (F.dayofmonth("parsed_ts") <= 12)
-    per_invoice = lines.groupBy("invoice_no").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("invoice_date") != F.col("parsed_ts")).alias("repaired"),
-        F.count_if(same).alias("same"),
-        F.min("customer_id").alias("customer_id"))
-    return per_invoice.agg(
-        F.sum("n").cast("bigint").alias("rows"),
-        F.sum("repaired").cast("bigint").alias("repaired_dates"),
-        F.sum("same").cast("bigint").alias("same_day_month_rows"),
-        F.count(F.lit(1)).alias("distinct_invoices"),
-        F.countDistinct("customer_id").alias("distinct_customers"))
+def repair_summary(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows, repaired dates, same day-month rows, distinct invoices/customers.
+
+    Sums of the invoice grain, but for the customers: an invoice may hold
+    lines of several, so they are counted over the lines.  NULL ids are not
+    counted."""
+    customers = lines.select("customer_id").distinct().agg(F.count("customer_id").alias("n")).scalar()
+    return invoices.agg(
+        F.coalesce(F.sum("n_lines"), F.lit(0)).cast("bigint").alias("rows"),
+        F.coalesce(F.sum("n_swapped"), F.lit(0)).cast("bigint").alias("repaired_dates"),
+        F.coalesce(F.sum("n_same_day_month"), F.lit(0)).cast("bigint").alias("same_day_month_rows"),
+        F.count("invoice_no").alias("distinct_invoices")).select(
+        "*", customers.alias("distinct_customers"))
 
 
 def duplicate_sensitivity(raw: DataFrame) -> DataFrame:
     """Exact duplicate rows over all 13 columns and their revenue.
 
-    Two phases keep the shuffle narrow.  Phase 1 groups a 64-bit hash of
-    the whole row with the line's cents (two longs per row, combined
-    map-side, so a row copied a billion times shrinks before the exchange).
-    A hash seen once cannot be a duplicate.  Phase 2 groups only the rows
-    whose hash repeats, exactly by all columns, so a hash collision is
-    resolved, never counted.  The candidate hashes are usually few; AQE
-    broadcasts them when they are small and shuffles otherwise.
-    """
+    One scan and one shuffle: rows are counted by all columns, and copies
+    combine in their own task before the exchange, so a row copied a billion
+    times moves once for each task."""
     cols = [f.name for f in RAW_SCHEMA.fields]
     cents = F.col("quantity").cast("bigint") * (F.col("unit_price") * 100).cast("bigint")
-    row_hash = F.xxhash64(*cols)
-    by_hash = (raw.select(row_hash.alias("_h"), cents.alias("_c"))
-               .groupBy("_h").agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("rc")))
-    totals = by_hash.agg(F.sum("n").alias("rows"), F.sum("rc").alias("rc"))
-    rows, total_rc = totals.select("rows").scalar(), totals.select("rc").scalar()
-    candidates = by_hash.where(F.col("n") > 1).select("_h")
-    groups = (raw.withColumn("_h", row_hash).join(candidates, "_h", "left_semi")
-              .groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), F.first(cents).alias("one")))
+    groups = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).select("n", cents.alias("one"))
     extra = F.col("n") - 1
-    agg = groups.agg(F.sum(extra).alias("dup_rows"),
+    agg = groups.agg(F.sum(extra).alias("dup_rows"), F.sum(F.col("n") * F.col("one")).alias("rc"),
                      F.sum(F.when(extra > 0, extra * F.col("one"))).alias("dup_rc"))
     return agg.select(
-        F.when(rows.isNotNull(), F.coalesce("dup_rows", F.lit(0))).cast("bigint").alias("possible_duplicate_rows"),
+        F.col("dup_rows").cast("bigint").alias("possible_duplicate_rows"),
         money("dup_rc").alias("sensitivity_value"),
-        money(total_rc - F.coalesce(F.col("dup_rc"), F.lit(0))).alias("revenue_if_duplicates_dropped"))
+        money(F.col("rc") - F.coalesce(F.col("dup_rc"), F.lit(0))).alias("revenue_if_duplicates_dropped"))
 
 
-def multi_timestamp_invoices(lines: DataFrame) -> DataFrame:
-    return (lines.groupBy("invoice_no")
-            .agg(F.countDistinct("invoice_date").alias("distinct_timestamps"))
-            .where(F.col("distinct_timestamps") > 1))
+def multi_timestamp_invoices(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """Invoices with several timestamps: the grain names them, and only their
+    lines are counted."""
+    several = invoices.where(F.col("invoice_date") != F.col("last_ts")).select("invoice_no")
+    return (lines.join(several, "invoice_no", "left_semi").groupBy("invoice_no")
+            .agg(F.countDistinct("invoice_date").alias("distinct_timestamps")))
 
 
-def chronology_inversions(lines: DataFrame) -> DataFrame:
+def chronology_inversions(invoices: DataFrame) -> DataFrame:
     """Backward jumps of each invoice's first timestamp in invoice-number
     order, before and after repair (distributed, see ``ordering``)."""
-    c = invoice_checks(lines).select("invoice_no", "first_raw_ts", "first_ts")
-    inv = count_order_inversions(c, "invoice_no", ["first_raw_ts", "first_ts"])
+    inv = count_order_inversions(invoices, "invoice_no", ["first_raw_ts", "invoice_date"])
     return inv.select(F.col("first_raw_ts").alias("inversions_raw"),
-                      F.col("first_ts").alias("inversions_corrected"))
+                      F.col("invoice_date").alias("inversions_corrected"))
 
 
 def reconcile(checks: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:

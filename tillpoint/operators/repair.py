@@ -11,10 +11,14 @@ from tillpoint.functions.columns import TS_FORMAT, month_start, swap_day_month,
 def repair_dates(df: DataFrame, text_col: str = "invoice_date_text") -> DataFrame:
     """Strict parse of the timestamp text, then undo the day/month swap.
 
-    ``to_timestamp_ntz`` raises on a malformed value under ANSI mode, as the
-    reference does.  Adds ``parsed_ts``, ``invoice_date`` and ``was_swapped``.
+    A malformed value fails the job whatever the session's ANSI setting: the
+    parse yields NULL without ANSI, and a NULL from a text raises.  Adds
+    ``parsed_ts``, ``invoice_date`` and ``was_swapped``.
     """
-    parsed = F.to_timestamp_ntz(F.col(text_col), F.lit(TS_FORMAT))
+    text = F.col(text_col)
+    tried = F.to_timestamp_ntz(text, F.lit(TS_FORMAT))
+    parsed = F.when(text.isNotNull() & tried.isNull(),
+                    F.raise_error(F.concat(F.lit("Malformed invoice date: "), text))).otherwise(tried)
     return (df.withColumn("parsed_ts", parsed)
               .withColumn("invoice_date", swap_day_month("parsed_ts"))
               .withColumn("was_swapped", F.col("invoice_date") != F.col("parsed_ts")))

@@ -10,9 +10,9 @@ from tillpoint.operators import products as pr
 from tillpoint.operators import quality as q
 from tillpoint.operators import repair
 from tillpoint.operators import revenue as rv
-from tillpoint.operators.grains import first_seen
 from tillpoint.operators.metrics import headline_metrics
 from tillpoint.plans.context import Ctx
+from tillpoint.sources.adapter import key_counts, orphan_lines
 
 
 def _invoices_out(c: Ctx):
@@ -42,15 +42,16 @@ def _reconcile(c: Ctx):
 
 
 def _fingerprint(c: Ctx):
-    h = F.xxhash64(*[F.col(x) for x in c.raw.columns])
-    return c.raw.agg(F.count(F.lit(1)).alias("rows"),
-                     F.bit_xor(h).alias("xor_hash"),
-                     F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
-
-
-def _many_to_one(c: Ctx):
-    fs = first_seen(c.invoices)
-    return fs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Order-insensitive fingerprint of the raw extract.  A row is hashed with
+    the place of each value, and a NULL is told from an empty text, so a value
+    that moves to another column or row changes the sum."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("-")) for x in c.raw.columns]
+    digest = F.md5(F.concat_ws("|", *cells).cast("binary"))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    nulls = sum((F.col(x).isNull().cast("bigint") for x in c.raw.columns), F.lit(0).cast("bigint"))
+    return c.raw.select(h.alias("h"), nulls.alias("nulls")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("nulls").alias("null_values"), F.bit_xor("h").alias("xor_hash"),
+        F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
 def _headline(c: Ctx):
@@ -74,8 +75,7 @@ QUERIES = {
     "cohort_next_month": lambda c: cu.cohort_next_month(cu.cohort_retention(c.invoices)),
     "rfm_segments": lambda c: cu.rfm_segments(c.customers),
     "customer_metrics": lambda c: cu.customer_metrics(c.customers, c.invoices),
-    "customer_surrogate_key": lambda c: cu.customer_metrics(c.customers, c.invoices, with_id=True)
-        .select("customer_id", "customer_key"),
+    "customer_surrogate_key": lambda c: cu.surrogate_key(c.invoices),
     "multi_country_customers": lambda c: cu.multi_country_customers(c.invoices),
     "segment_share_long": lambda c: cu.segment_share_long(c.customers),
     "frequency_bands": lambda c: cu.frequency_bands(c.invoices),
@@ -90,13 +90,15 @@ QUERIES = {
     "dq_not_null": lambda c: q.not_null(c.raw),
     "dq_positive": lambda c: q.positive(c.raw),
     "dq_non_empty": lambda c: q.non_empty(c.raw),
-    "dq_functional_dependency": lambda c: q.functional_dependency(c.lines),
+    "dq_functional_dependency": lambda c: q.functional_dependency(c.invoice_facts),
+    "dq_orphan_lines": lambda c: orphan_lines(c.spark, c.sf_dir),
+    "dq_violations": lambda c: q.violations(c.raw, c.invoice_facts),
     "dq_date_bounds": lambda c: q.date_bounds(c.lines),
-    "dq_repair_summary": lambda c: q.repair_summary(c.lines),
+    "dq_repair_summary": lambda c: q.repair_summary(c.invoice_facts, c.lines),
     "dq_duplicate_sensitivity": lambda c: q.duplicate_sensitivity(c.raw),
-    "dq_multi_timestamp_invoices": lambda c: q.multi_timestamp_invoices(c.lines),
-    "dq_chronology_inversions": lambda c: q.chronology_inversions(c.lines),
+    "dq_multi_timestamp_invoices": lambda c: q.multi_timestamp_invoices(c.invoice_facts, c.lines),
+    "dq_chronology_inversions": lambda c: q.chronology_inversions(c.invoice_facts),
     "dq_reconcile": _reconcile,
     "table_fingerprint": _fingerprint,
-    "assert_many_to_one": _many_to_one,
+    "assert_many_to_one": lambda c: key_counts(c.spark, c.sf_dir),
 }

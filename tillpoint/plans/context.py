@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.operators import grains, repair
+from tillpoint.operators import grains, quality, repair
 from tillpoint.session import apply_sql_conf
 from tillpoint.sources.adapter import read_extract
 from tillpoint.sources.extract import RAW_SCHEMA
@@ -15,7 +15,9 @@ from tillpoint.sources.staging import staged
 
 
 class Ctx:
-    """Shared sub-plans of one query; nothing here triggers a job."""
+    """Shared sub-plans of one query.  The first use of a staged table in an
+    application writes it, unless an earlier application has; everything else
+    is lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         apply_sql_conf(spark)
@@ -36,11 +38,19 @@ class Ctx:
     def lines(self) -> DataFrame:
         return self.extract.select(*repair.LINE_COLUMNS)
 
+    @cached_property
+    def series_lines(self) -> DataFrame:
+        """The lines under the codes that are forecast: product lines."""
+        return self.extract.select(*[F.col("product_line").alias(c) if c == "stock_code" else F.col(c)
+                                     for c in repair.LINE_COLUMNS])
+
     @cached_property
     def invoice_facts(self) -> DataFrame:
         """Invoice grain plus per-invoice checks, staged once per input:
-        most marts read it, and it is far smaller than the lines."""
-        return staged(self.spark, self.sf_dir, lambda: grains.invoice_full(self.lines), name="invoices")
+        most marts read it, and it is far smaller than the lines.  An extract
+        that breaks its contract is refused here, before any mart reads it."""
+        return staged(self.spark, self.sf_dir, lambda: grains.invoice_full(self.lines), name="invoices",
+                      check=lambda invoices: quality.validate(self.raw, invoices))
 
     @cached_property
     def invoices(self) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.columns import dround
 from tillpoint.operators import forecast as fc
+from tillpoint.operators import ml
 from tillpoint.plans.context import Ctx
 from tillpoint.session import ensure_checkpoint_dir
 from tillpoint.sources.staging import shared
@@ -25,27 +27,21 @@ def per_input(c: Ctx, name: str, build):
 
 
 def materialized(c: Ctx, name: str, build):
-    """Checkpointed once per input: for intermediates that many queries and
-    branches read (the line facts, then tables bounded by the pool size and
-    the calendar).  Cuts lineage so each branch reads the written result
-    instead of re-running the scan and joins over lines."""
+    """Checkpointed once per input and application: tables bounded by the pool
+    size and the calendar, which many queries and branches read."""
     def run():
         ensure_checkpoint_dir(c.spark)
         return build().checkpoint(eager=True)
     return per_input(c, name, run)
 
 
-def facts(c: Ctx):
-    """The lines reduced to the forecasting grain, written once per query."""
-    return materialized(c, "facts", lambda: fc.line_facts(c.lines))
-
-
 def cal(c: Ctx):
-    return per_input(c, "cal", lambda: fc.calendar(facts(c)))
+    """From the latest timestamps of the invoice grain; the lines are not read."""
+    return per_input(c, "cal", lambda: fc.calendar(c.invoice_facts.select(F.col("last_ts").alias("invoice_date"))))
 
 
 def popularity(c: Ctx):
-    return memo(c, "pop", lambda: fc.sku_popularity(facts(c), cal(c)))
+    return memo(c, "pop", lambda: fc.sku_popularity(c.series_lines, cal(c)))
 
 
 def selection(c: Ctx):
@@ -58,7 +54,7 @@ def top(c: Ctx):
 
 def stat_weekly(c: Ctx):
     """All products + the reported top SKUs (semi-join on the selection)."""
-    return materialized(c, "stat_weekly", lambda: fc.weekly_units(facts(c), cal(c), top(c)))
+    return materialized(c, "stat_weekly", lambda: fc.weekly_units(c.series_lines, cal(c), top(c)))
 
 
 def origins(c: Ctx):
@@ -74,7 +70,7 @@ def folds(c: Ctx):
 
 
 def names(c: Ctx):
-    return materialized(c, "names", lambda: fc.product_names(facts(c), cal(c), top(c)))
+    return materialized(c, "names", lambda: fc.product_names(c.series_lines, cal(c), top(c)))
 
 
 def selected(c: Ctx):
@@ -121,25 +117,43 @@ def _history_wide(c: Ctx, n: int = fc.TOP_N):
     return w.groupBy("week_start").agg(*cols)
 
 
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the rows of ``a``, and how many rows only one side has."""
+    sides = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
+    return (sides.groupBy(*a.columns).agg(F.sum("_side").alias("d"), F.count_if(F.col("_side") == 1).alias("n"))
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("compared"),
+                 F.coalesce(F.sum(F.abs("d")), F.lit(0)).cast("bigint").alias("differing")))
+
+
+def leakage(weekly: DataFrame, origins_df: DataFrame, dates: list) -> DataFrame:
+    """One row for each origin and kind of input: what an origin sees must not
+    change when every week from it on is overwritten."""
+    out = None
+    for origin in dates:
+        changed = weekly.withColumn("units", F.when(F.col("week_start") >= F.lit(origin), F.lit(10 ** 8))
+                                    .otherwise(F.col("units")))
+        o = origins_df.where(F.col("origin") == F.lit(origin))
+        looks = {
+            "forecasts": lambda w: fc.forecasts(w, o).select("series", "horizon", "method", "forecast"),
+            "features": lambda w: ml.scoring_frame(ml.panel_features(w), origin).drop("target_units"),
+            "training": lambda w: ml.training_frame(ml.panel_features(w), origin),
+        }
+        for name, look in looks.items():
+            one = differing(look(weekly), look(changed)).select(
+                F.lit(name).alias("check_name"), F.lit(origin).alias("origin"), "compared", "differing")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _leakage(c: Ctx):
-    """Forecasts at the test origin must not change when every week at or
-    after the origin is overwritten; returns the differing rows (none)."""
-    weekly = stat_weekly(c)
-    perturbed = weekly.withColumn(
-        "units", F.when(F.col("week_start") >= F.lit(cal(c).test_origin), F.lit(10 ** 8))
-        .otherwise(F.col("units")))
-    o = origins(c).where(F.col("kind") == "test")
-    a = fc.forecasts(weekly, o).select("series", "horizon", "method", "forecast")
-    b = fc.forecasts(perturbed, o).select("series", "horizon", "method", "forecast")
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    return leakage(stat_weekly(c), origins(c), [o[0] for o in cal(c).origin_rows()])
 
 
 def _semi_join_selected(c: Ctx):
-    # Only per-code series can match a stock code; the "All products"
-    # series is dropped first, so its union branch is pruned.
-    weekly = fc.weekly_units(facts(c), cal(c)).where(~F.col("is_all"))
-    return (weekly.join(F.broadcast(top(c)), F.col("series") == F.col("stock_code"), "left_semi")
-            .select("series", "week_start", "units"))
+    # The codes are restricted before the week grid is made for them.
+    codes = c.series_lines.select("stock_code").distinct().join(F.broadcast(top(c)), "stock_code", "left_semi")
+    weekly = fc.weekly_units(c.series_lines, cal(c), codes).where(~F.col("is_all"))
+    return weekly.select("series", "week_start", "units")
 
 
 def _subset_check(c: Ctx):
@@ -147,7 +161,7 @@ def _subset_check(c: Ctx):
 
 
 QUERIES = {
-    "weekly_units": lambda c: fc.weekly_units(facts(c), cal(c)).select("series", "week_start", "units"),
+    "weekly_units": lambda c: fc.weekly_units(c.series_lines, cal(c)).select("series", "week_start", "units"),
     "sku_popularity": lambda c: popularity(c),
     "select_series": lambda c: selection(c),
     "semi_join_selected": _semi_join_selected,

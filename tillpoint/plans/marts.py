@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.functions.columns import wape_expr
 from tillpoint.operators import customers as cu
 from tillpoint.operators import forecast as fc
 from tillpoint.operators import marts as mt
@@ -14,9 +13,6 @@ from tillpoint.plans import forecasting as pf
 from tillpoint.plans import ml as pm
 from tillpoint.plans.context import Ctx
 
-STAT_METHODS = set(fc.METHODS)
-
-
 def _customers(c: Ctx) -> DataFrame:
     # The measures never read the surrogate key, so it is not built here.
     cc = cu.customer_country(c.invoices)
@@ -24,63 +20,55 @@ def _customers(c: Ctx) -> DataFrame:
         (F.col("revenue_cents") / 100.0).alias("revenue"), "orders", "recency_days", "country", "segment")
 
 
-def _stat_model_scores(c: Ctx) -> DataFrame:
-    """MLModelScores rows of the statistical methods, from the statistical
-    pipeline (same series, origins and forecasts; no model fit needed)."""
-    scores = fc.pooled_scores(pf.folds(c)).where(F.col("series") == fc.ALL_SERIES)
-    t = pf.stat_forecasts(c).where((F.col("kind") == "test") & (F.col("series") == fc.ALL_SERIES))
-    h = t.groupBy("method").agg(wape_expr(F.sum(F.abs(F.col("actual") - F.col("forecast"))),
-                                          F.sum(F.abs(F.col("actual"))).cast("double")).alias("holdout_wape"))
-    return scores.select("method", "validation_wape").join(h, "method")
-
-
-def _stat_ml_holdout(c: Ctx) -> DataFrame:
-    t = pf.stat_forecasts(c).where((F.col("kind") == "test") & (F.col("series") == fc.ALL_SERIES))
-    wide = t.groupBy("week_start").agg(
-        F.first("actual").cast("double").alias("actual_units"),
-        F.max(F.when(F.col("method") == "four_week_mean", F.col("forecast"))).alias("mean_forecast"),
-        F.max(F.when(F.col("method") == "eight_week_damped_trend", F.col("forecast"))).alias("damped_forecast"))
-    return wide
-
-
 MARTS = {
-    "sales": lambda c, stat: rv.monthly_country(c.status),
-    "customers": lambda c, stat: _customers(c),
-    "cohort_month1": lambda c, stat: cu.cohort_next_month(cu.cohort_retention(c.invoices)),
-    "forecast_all": lambda c, stat: mt.forecast_all(pf.stat_weekly(c), pf._holdout_out(c)),
-    "forecast_sku_errors": lambda c, stat: mt.sku_errors(fc.holdout_evaluation(pf.holdout(c))),
-    "ml_model_scores": lambda c, stat: _stat_model_scores(c) if stat else mt.ml_model_scores(pm.ml_holdout(c)),
-    "ml_holdout": lambda c, stat: _stat_ml_holdout(c) if stat else pm.methods_wide(pm.ml_holdout_weeks(c)),
+    "sales": lambda c: rv.monthly_country(c.status),
+    "customers": _customers,
+    "cohort_month1": lambda c: cu.cohort_next_month(cu.cohort_retention(c.invoices)),
+    "forecast_all": lambda c: mt.forecast_all(pf.stat_weekly(c), pf._holdout_out(c)),
+    "forecast_sku_errors": lambda c: mt.sku_errors(fc.holdout_evaluation(pf.holdout(c))),
+    "ml_model_scores": lambda c: mt.ml_model_scores(pm.ml_holdout(c)),
+    "ml_holdout": lambda c: pm.methods_wide(pm.ml_holdout_weeks(c)),
 }
 
-# Measures that read only statistical-method rows of the ML marts.
-STAT_ONLY = {"damped_holdout_wape", "baseline_holdout_wape", "ml_actual_units",
-             "ml_damped_forecast", "ml_moving_average"}
+# The marts as they are published: the customers with their surrogate key and
+# first month, which no measure reads.
+PUBLISHED = MARTS | {"customers": lambda c: cu.customer_metrics(c.customers, c.invoices)}
+
 # Measures that read a fitted tree model (rows-only check).
 TREE_MEASURES = {"ml_validation_wape", "ml_holdout_wape", "rf_validation_wape", "rf_holdout_wape",
                  "ml_rf_forecast", "ml_xgboost_forecast"}
 
 
-def _measure(name: str):
+def _measure(name: str, slicers: dict | None = None):
     mart = mt.MEASURES[name][0]
 
     def q(c: Ctx) -> DataFrame:
-        return mt.measure_frame(MARTS[mart](c, name in STAT_ONLY), [name])
+        return mt.measure_frame(MARTS[mart](c), [name], slicers={k: p() for k, p in (slicers or {}).items()})
     q.__name__ = f"m_{name}"
     return q
 
 
+# One sliced measure of each kind: plain, KEEPFILTERS and replacing CALCULATE.
+SLICED = {
+    "recorded_sales": {"country": lambda: F.col("country") == "FRANCE"},
+    "multiple_order_buyers": {"orders": lambda: F.col("orders") <= 3},
+    "actual_holdout_units": {"is_holdout": lambda: F.col("is_holdout") == "No"},
+    "selected_holdout_wape": {"is_holdout": lambda: F.col("is_holdout") == "No"},
+}
+
 QUERIES = {f"m_{n}": _measure(n) for n in mt.MEASURES}
+QUERIES |= {f"m_{n}_sliced": _measure(n, slicers) for n, slicers in SLICED.items()}
+QUERIES |= {f"mart_{n}": build for n, build in PUBLISHED.items()}
 QUERIES.update({
     "bi_sales_by_month_country": lambda c: mt.measure_frame(
-        MARTS["sales"](c, False), ["recorded_sales", "invoices", "average_order_value", "later_month_buyer_share"],
+        MARTS["sales"](c), ["recorded_sales", "invoices", "average_order_value", "later_month_buyer_share"],
         ["month", "country"]),
     "bi_customers_by_segment": lambda c: mt.measure_frame(
-        MARTS["customers"](c, False), ["customer_count", "customer_sales", "multiple_order_buyers",
-                                       "multi_order_buyer_sales_share", "champion_sales_share"], ["segment"]),
+        MARTS["customers"](c), ["customer_count", "customer_sales", "multiple_order_buyers",
+                                "multi_order_buyer_sales_share", "champion_sales_share"], ["segment"]),
     "bi_cohort_next_month": lambda c: mt.measure_frame(
-        MARTS["cohort_month1"](c, False), ["next_month_cohort_retention"], ["cohort_month"]),
+        MARTS["cohort_month1"](c), ["next_month_cohort_retention"], ["cohort_month"]),
     "bi_forecast_weekly": lambda c: mt.measure_frame(
-        MARTS["forecast_all"](c, False), ["weekly_observed_units", "weekly_selected_forecast",
-                                          "weekly_baseline_forecast"], ["week_start"]),
+        MARTS["forecast_all"](c), ["weekly_observed_units", "weekly_selected_forecast",
+                                   "weekly_baseline_forecast"], ["week_start"]),
 })

@@ -13,15 +13,18 @@ from tillpoint.functions.columns import dround, wape_expr
 from tillpoint.operators import forecast as fc
 from tillpoint.operators import ml
 from tillpoint.plans.context import Ctx
-from tillpoint.plans.forecasting import (cal, facts, materialized, memo, names, origins, per_input,
-                                         selection, top)
-from tillpoint.session import ensure_checkpoint_dir
+from tillpoint.plans.forecasting import (cal, folds, materialized, memo, names, origins, selection,
+                                         stat_forecasts, top)
 
 ALL_METHODS = fc.METHODS + ml.ML_METHODS
 
 
+# Fits in flight: each is a chain of small jobs with its own bounded memory.
+MAX_FITS = 4
+
+
 def pool_weekly(c: Ctx) -> DataFrame:
-    return materialized(c, "pool_weekly", lambda: fc.weekly_units(facts(c), cal(c), fc.pool_codes(selection(c))))
+    return materialized(c, "pool_weekly", lambda: fc.weekly_units(c.series_lines, cal(c), fc.pool_codes(selection(c))))
 
 
 def panel(c: Ctx) -> DataFrame:
@@ -33,36 +36,30 @@ def reported_series(c: Ctx) -> DataFrame:
     return s.unionByName(c.spark.createDataFrame([(fc.ALL_SERIES,)], "series string"))
 
 
-def all_forecasts(c: Ctx) -> DataFrame:
-    """Statistical + tree forecasts of the reported series at every origin,
-    with actuals; checkpointed once per input and reused by every ML key.
+def pool_forecasts(c: Ctx) -> DataFrame:
+    """Tree forecasts of the whole pool at every origin, written once per input
+    and application.  A bounded number of fits run side by side."""
+    return materialized(c, "pool_forecasts", lambda: _pool_forecasts(c))
 
-    The panel is checkpointed before the fits (12 fits read it).  Each fit
-    trains on a bounded frame (pool x weeks x 4), so the fits run in driver
-    threads concurrently: Spark schedules their small jobs side by side.
-    """
-    return per_input(c, "all_forecasts", lambda: _all_forecasts(c))
 
-
-def _all_forecasts(c: Ctx) -> DataFrame:
-    ensure_checkpoint_dir(c.spark)
-    p = panel(c).checkpoint(eager=True)
-    series = reported_series(c).checkpoint(eager=True)
+def _pool_forecasts(c: Ctx) -> DataFrame:
+    p = materialized(c, "panel", lambda: panel(c))  # every fit reads it
     tasks = [(o[0], m) for o in cal(c).origin_rows() for m in ml.ML_METHODS]
+    with ThreadPoolExecutor(max_workers=MAX_FITS) as pool:
+        tree = list(pool.map(lambda task: ml.ml_forecasts(p, *task), tasks))
+    return reduce(DataFrame.unionByName, tree).join(F.broadcast(origins(c)), "origin").select(
+        "series", "origin", "kind", "fold", "horizon", "week_start", "method", "prediction", "scale", "forecast")
 
-    def run(task):
-        origin, method = task
-        return ml.ml_forecasts(p, origin, method, series=series)
 
-    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
-        tree = list(pool.map(run, tasks))
-    o = origins(c)
-    tree_df = reduce(DataFrame.unionByName, tree).join(F.broadcast(o), "origin").select(
-        "series", "origin", "kind", "fold", "horizon", "week_start", "method", "forecast")
-    weekly = pool_weekly(c).join(F.broadcast(series), "series", "left_semi")
-    stat = fc.forecasts(weekly, o).select(
-        "series", "origin", "kind", "fold", "horizon", "week_start", "method", "forecast")
-    return fc.with_actuals(stat.unionByName(tree_df), weekly).checkpoint(eager=True)
+def reported_weekly(c: Ctx) -> DataFrame:
+    return pool_weekly(c).join(F.broadcast(reported_series(c)), "series", "left_semi")
+
+
+def all_forecasts(c: Ctx) -> DataFrame:
+    """Statistical and tree forecasts of the reported series, with actuals."""
+    weekly, columns = reported_weekly(c), ["series", "origin", "kind", "fold", "horizon", "week_start", "method", "forecast"]
+    tree = pool_forecasts(c).join(F.broadcast(reported_series(c)), "series", "left_semi").select(columns)
+    return fc.with_actuals(fc.forecasts(weekly, origins(c)).select(columns).unionByName(tree), weekly)
 
 
 def ml_folds(c: Ctx) -> DataFrame:
@@ -125,17 +122,14 @@ def _scoring_out(c: Ctx) -> DataFrame:
 
 
 def _model_out(c: Ctx, method: str) -> DataFrame:
-    t = all_forecasts(c).where((F.col("kind") == "test") & (F.col("method") == method))
+    t = pool_forecasts(c).where((F.col("kind") == "test") & (F.col("method") == method))
     return t.select("series", "origin", "horizon", "week_start", "method", "forecast")
 
 
 def _rescale_out(c: Ctx) -> DataFrame:
-    """Ratio -> units for the forest at the test origin: max(0, ratio) * scale."""
-    s = ml.scoring_frame(panel(c), cal(c).test_origin)
-    f = all_forecasts(c).where((F.col("kind") == "test") & (F.col("method") == "random_forest"))
-    j = f.join(s.select("series", F.col("target_week").alias("week_start"), "scale"), ["series", "week_start"])
-    return j.select("series", "week_start", "scale", (F.col("forecast") / F.col("scale")).alias("ratio"),
-                    "forecast")
+    """Predicted ratio -> units for the forest at the test origin."""
+    f = pool_forecasts(c).where((F.col("kind") == "test") & (F.col("method") == "random_forest"))
+    return ml.rescale(f.drop("forecast")).select("series", "week_start", "scale", "prediction", "forecast")
 
 
 def _backtest_out(c: Ctx) -> DataFrame:
@@ -143,6 +137,31 @@ def _backtest_out(c: Ctx) -> DataFrame:
         "series", "product", "origin", "method", "absolute_error", "actual_total", "wape")
 
 
+def _stat_scores(c: Ctx) -> DataFrame:
+    """Pooled scores of the statistical methods alone."""
+    return fc.pooled_scores(folds(c))
+
+
+def _stat_scores_out(c: Ctx) -> DataFrame:
+    return _r6(_stat_scores(c).select("series", "method", "absolute_error", "actual_total", "validation_wape"),
+               "absolute_error", "actual_total", "validation_wape")
+
+
+def _stat_selection_out(c: Ctx) -> DataFrame:
+    chosen = fc.select_method(_stat_scores(c))
+    return chosen.join(names(c), "series").select(
+        "series", "product", F.col("method").alias("selected_by_validation"), dround("validation_wape", 6).alias("validation_wape"))
+
+
+def _stat_methods_wide(c: Ctx) -> DataFrame:
+    weeks = stat_forecasts(c).where(F.col("kind") == "test").select(
+        "series", "week_start", "method", F.col("actual").cast("double").alias("actual_units"),
+        F.col("forecast").alias("forecast_units"))
+    wide = methods_wide(weeks, {"four_week_mean": "mean_forecast", "four_week_repeat": "repeat_forecast",
+                                "eight_week_damped_trend": "damped_forecast"})
+    return _r6(wide, "mean_forecast", "repeat_forecast", "damped_forecast")
+
+
 def _scores_out(c: Ctx) -> DataFrame:
     return ml_scores(c).select("series", "method", "absolute_error", "actual_total", "validation_wape")
 
@@ -163,11 +182,13 @@ def _vs_baseline(c: Ctx) -> DataFrame:
         "wape_change", F.col("selected_holdout_wape") - F.col("baseline_holdout_wape"))
 
 
-def methods_wide(weeks: DataFrame) -> DataFrame:
+METHOD_COLUMNS = {"four_week_mean": "mean_forecast", "eight_week_damped_trend": "damped_forecast",
+                  "random_forest": "random_forest_forecast", "xgboost": "xgboost_forecast"}
+
+
+def methods_wide(weeks: DataFrame, cols: dict[str, str] = METHOD_COLUMNS) -> DataFrame:
     """All-products test weeks, one column per method (RS2)."""
     a = weeks.where(F.col("series") == fc.ALL_SERIES)
-    cols = {"four_week_mean": "mean_forecast", "eight_week_damped_trend": "damped_forecast",
-            "random_forest": "random_forest_forecast", "xgboost": "xgboost_forecast"}
     wide = a.groupBy("week_start").pivot("method", list(cols)).agg(F.first("forecast_units"))
     actual = a.where(F.col("method") == "four_week_mean").select("week_start", "actual_units")
     return actual.join(wide, "week_start").select(
@@ -188,4 +209,7 @@ QUERIES = {
     "ml_holdout_weeks": ml_holdout_weeks,
     "ml_vs_baseline": _vs_baseline,
     "ml_methods_wide": lambda c: methods_wide(ml_holdout_weeks(c)),
+    "stat_scores": _stat_scores_out,
+    "stat_selection": _stat_selection_out,
+    "stat_methods_wide": _stat_methods_wide,
 }

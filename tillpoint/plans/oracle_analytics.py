@@ -33,11 +33,9 @@ SELECT month, {R(M('rc'), 2)} AS revenue, orders, active_customers,
        {R(D(M('rc'), 'orders'), 2)} AS average_order_value,
        {R(f"100.0 * ({D(M('rc'), 'LAG(' + M('rc') + ') OVER (ORDER BY month)')} - 1)", 1)} AS revenue_growth_pct,
        {R(f"100.0 * ({D('orders', 'LAG(orders) OVER (ORDER BY month)')} - 1)", 1)} AS order_growth_pct
-FROM (SELECT invoice_month AS month, CAST(sum(rc) AS BIGINT) AS rc, count(*) AS orders,
+FROM (SELECT invoice_month AS month, CAST(sum(revenue_cents) AS BIGINT) AS rc, count(DISTINCT invoice_no) AS orders,
              count(DISTINCT customer_id) AS active_customers
-      FROM (SELECT invoice_month, invoice_no, sum(revenue_cents) AS rc, min(customer_id) AS customer_id
-            FROM lines GROUP BY invoice_month, invoice_no) t
-      GROUP BY invoice_month) m""")
+      FROM lines GROUP BY invoice_month) m""")
 
 q("monthly_summary", f"""
 SELECT {MLABEL('month')} AS month, {M('rc')} AS revenue, orders, active_customers, units,
@@ -257,8 +255,48 @@ SELECT check_name, detail_total, summary_total, round(detail_total - summary_tot
          (SELECT CAST(count(*) AS DOUBLE) FROM customers)
 ) t0) t""")
 
-q("assert_many_to_one", """
-SELECT customer_id, count(*) AS n FROM first_seen GROUP BY customer_id HAVING count(*) > 1""")
+q("assert_many_to_one", " UNION ALL ".join(f"""
+SELECT '{table}' AS right_table, count(*) AS right_rows, count(DISTINCT {key}) AS distinct_keys,
+       (SELECT count(*) FROM (SELECT {key} FROM {table} GROUP BY {key} HAVING count(*) > 1) r) AS repeated_keys
+FROM {table}""" for table, key in (("orders", "o_orderkey"), ("part", "p_partkey"), ("customer", "c_custkey"),
+                                   ("nation", "n_nationkey"))))
+
+q("dq_required_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS required_column, TRUE AS present, count({c}) AS values FROM raw"
+    for c in ("invoice_no", "stock_code", "description", "quantity", "unit_price", "customer_id", "country",
+              "invoice_date_text")))
+
+q("dq_violations", """
+SELECT count(*) AS rows, count(*) FILTER (WHERE invoice_date_text IS NULL) AS null_invoice_date,
+       count(*) FILTER (WHERE invoice_no IS NULL) AS null_invoice_no,
+       count(*) FILTER (WHERE customer_id IS NULL) AS null_customer_id,
+       count(*) FILTER (WHERE quantity <= 0) AS non_positive_quantity,
+       count(*) FILTER (WHERE unit_price <= 0) AS non_positive_price,
+       (SELECT count(*) FROM invoice_checks WHERE multi_customer) AS invoices_multi_customer,
+       (SELECT count(*) FROM invoice_checks WHERE multi_country) AS invoices_multi_country
+FROM raw""")
+
+q("dq_orphan_lines", """
+SELECT count(*) AS lines,
+       count(*) FILTER (WHERE o_orderkey IS NULL) AS without_order,
+       count(*) FILTER (WHERE p_partkey IS NULL) AS without_part,
+       count(*) FILTER (WHERE o_orderkey IS NOT NULL AND c_custkey IS NULL) AS without_customer,
+       count(*) FILTER (WHERE c_custkey IS NOT NULL AND n_nationkey IS NULL) AS without_nation,
+       count(*) FILTER (WHERE o_orderkey IS NULL OR p_partkey IS NULL OR c_custkey IS NULL OR n_nationkey IS NULL)
+         AS left_out
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
+LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
+
+_RAW_COLUMNS = ("invoice_no", "stock_code", "description", "quantity", "unit_price", "customer_id", "country",
+                "invoice_date_text", "original_year", "original_month", "original_week", "original_day",
+                "original_weekday")
+q("table_fingerprint", f"""
+SELECT count(*) AS rows, CAST(sum(nulls) AS BIGINT) AS null_values, bit_xor(h) AS xor_hash,
+       CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS sum_hash
+FROM (SELECT CAST('0x' || substr(md5(concat_ws('|', {", ".join(
+    f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in _RAW_COLUMNS)})), 1, 15) AS BIGINT) AS h,
+             {" + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in _RAW_COLUMNS)} AS nulls
+      FROM raw) t""")
 
 q("headline_metrics", f"""
 SELECT l.rows, i.customers, i.invoices, p.products, i.countries, {M('l.rc')} AS revenue,

@@ -51,7 +51,8 @@ def cte(name: str, sql: str) -> None:
 
 cte("raw", f"""
   SELECT o.o_orderkey AS invoice_no,
-         p.p_brand || '/' || p.p_type AS stock_code,
+         CAST(p.p_partkey AS VARCHAR) AS stock_code,
+         p.p_brand || '/' || p.p_type AS product_line,
          p.p_name AS description,
          CAST(l.l_quantity AS INTEGER) AS quantity,
          CAST(p.p_retailprice AS DECIMAL(14,2)) AS unit_price,
@@ -80,6 +81,8 @@ cte("lines", f"""
   FROM (SELECT a.*, {SWAP('parsed_ts')} AS invoice_date
         FROM (SELECT r.*, strptime(invoice_date_text, '%Y-%m-%d %H:%M:%S') AS parsed_ts FROM raw r) a) b""")
 
+cte("series_lines", "SELECT * REPLACE (product_line AS stock_code) FROM lines")
+
 cte("invoices", """
   SELECT invoice_no, min(customer_id) AS customer_id, min(country) AS country,
          min(invoice_date) AS invoice_date,

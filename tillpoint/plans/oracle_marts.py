@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tillpoint.operators.marts import measure_digits
+from tillpoint.plans import oracle_forecasting  # noqa: F401  (its CTEs are used here)
+from tillpoint.plans.oracle_analytics import SQL as A
 from tillpoint.plans.oracle_base import D, M, MLABEL, R, cte, with_ctes
 
 cte("sales_mart", f"""
@@ -84,8 +85,12 @@ MEASURE_SQL = {
 }
 
 
-def _m(name: str) -> str:
-    return f"{R(f'CAST({MEASURE_SQL[name][1]} AS DOUBLE)', measure_digits(name))} AS {name}"
+# Totals of money to the cent, the rest to six places.
+_MONEY = ("recorded_sales", "later_month_buyer_sales", "customer_sales")
+
+
+def _m(name: str, expr: str | None = None) -> str:
+    return f"{R(f'CAST({expr or MEASURE_SQL[name][1]} AS DOUBLE)', 2 if name in _MONEY else 6)} AS {name}"
 
 
 SQL: dict[str, str] = {}
@@ -105,3 +110,27 @@ SQL["bi_customers_by_segment"] = _grouped(
 SQL["bi_cohort_next_month"] = _grouped("cohort_month1", ["next_month_cohort_retention"], ["cohort_month"])
 SQL["bi_forecast_weekly"] = _grouped(
     "forecast_all", ["weekly_observed_units", "weekly_selected_forecast", "weekly_baseline_forecast"], ["week_start"])
+
+SQL["m_recorded_sales_sliced"] = with_ctes(f"SELECT {_m('recorded_sales')} FROM sales_mart WHERE country = 'FRANCE'")
+# KEEPFILTERS: the measure's own condition and the slicer both hold.
+SQL["m_multiple_order_buyers_sliced"] = with_ctes(
+    f"SELECT {_m('multiple_order_buyers', 'count(*) FILTER (WHERE orders >= 2 AND orders <= 3)')} FROM customers_mart")
+# CALCULATE replaces the slicer of the same column; FILTER iterates what the slicer leaves.
+SQL["m_actual_holdout_units_sliced"] = with_ctes(f"SELECT {_m('actual_holdout_units')} FROM forecast_all")
+SQL["m_selected_holdout_wape_sliced"] = with_ctes(f"""SELECT {_m('selected_holdout_wape', D(
+    f"sum(CASE WHEN {YES} AND is_holdout = 'No' THEN abs(observed_units - forecast_units) END)",
+    f"sum(CASE WHEN {YES} THEN observed_units END)"))} FROM forecast_all""")
+
+SQL["mart_sales"] = A["monthly_country"]
+SQL["mart_customers"] = A["customer_metrics"]
+SQL["mart_cohort_month1"] = A["cohort_next_month"]
+SQL["mart_forecast_all"] = with_ctes(
+    "SELECT week_start, observed_units, forecast_units, baseline_units, is_holdout FROM forecast_all")
+SQL["mart_forecast_sku_errors"] = with_ctes(f"""
+SELECT * FROM (
+SELECT series, product, method AS selected_method,
+       {R("CASE WHEN CAST(sum(abs(actual_units)) AS DOUBLE) <> 0 THEN 100.0 * sum(abs(actual_units - forecast)) / CAST(sum(abs(actual_units)) AS DOUBLE) END", 2)} AS holdout_wape,
+       {R("CASE WHEN CAST(sum(abs(actual_units)) AS DOUBLE) <> 0 THEN 100.0 * sum(abs(actual_units - baseline)) / CAST(sum(abs(actual_units)) AS DOUBLE) END", 2)} AS baseline_holdout_wape,
+       CAST(sum(actual_units) AS BIGINT) AS actual_total, {R('sum(forecast)', 1)} AS forecast_total,
+       {R('sum(baseline)', 1)} AS baseline_forecast_total
+FROM holdout GROUP BY series, product, method) t WHERE series <> 'All products'""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tillpoint.operators.ml import FEATURE_NAMES
 from tillpoint.plans.oracle_base import R, cte, with_ctes
 from tillpoint.plans.oracle_forecasting import LIT, lagged_sql, weekly_sql
 
@@ -76,7 +75,7 @@ cte("panel", f"""
     WHERE b.week_idx >= 8) p""")
 
 SQL: dict[str, str] = {}
-_f6 = ", ".join(f"{R(n, 6)} AS {n}" for n in FEATURE_NAMES)
+_f6 = ", ".join(f"{R(n, 6)} AS {n}" for n in _feats)
 
 SQL["panel_features"] = with_ctes(f"""
 SELECT series, anchor_week, target_week, {R('target_units', 6)} AS target_units, {R('scale', 6)} AS scale, {_f6}
@@ -91,3 +90,18 @@ FROM panel, cal WHERE anchor_week <= test_origin - 28""")
 SQL["scoring_frame"] = with_ctes(f"""
 SELECT series, anchor_week, target_week, {R('scale', 6)} AS scale, {_f6}
 FROM panel, cal WHERE anchor_week = test_origin""")
+
+SQL["stat_scores"] = with_ctes(f"""
+SELECT series, method, {R('absolute_error', 6)} AS absolute_error, {R('actual_total', 6)} AS actual_total,
+       {R('validation_wape', 6)} AS validation_wape FROM scores""")
+
+SQL["stat_selection"] = with_ctes(f"""
+SELECT c.series, n.product, c.method AS selected_by_validation, {R('c.validation_wape', 6)} AS validation_wape
+FROM chosen c JOIN names n USING (series)""")
+
+SQL["stat_methods_wide"] = with_ctes(f"""
+SELECT week_start, CAST(first(actual) AS DOUBLE) AS actual_units,
+       {R("max(CASE WHEN method = 'four_week_mean' THEN forecast END)", 6)} AS mean_forecast,
+       {R("max(CASE WHEN method = 'four_week_repeat' THEN forecast END)", 6)} AS repeat_forecast,
+       {R("max(CASE WHEN method = 'eight_week_damped_trend' THEN forecast END)", 6)} AS damped_forecast
+FROM fca_top WHERE kind = 'test' AND series = 'All products' GROUP BY week_start""")

@@ -6,21 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.plans import analytics, oracle_analytics
+from tillpoint.plans import (
+    analytics,
+    dashboard,
+    forecasting,
+    marts,
+    ml,
+    oracle_analytics,
+    oracle_dashboard,
+    oracle_forecasting,
+    oracle_marts,
+    oracle_ml,
+)
 from tillpoint.plans.context import Ctx
 
-_PLAN_MODULES = [analytics]
-_ORACLE_MODULES = [oracle_analytics]
-
-for _mod in ("forecasting", "ml", "marts", "dashboard"):
-    try:
-        _PLAN_MODULES.append(__import__(f"tillpoint.plans.{_mod}", fromlist=["QUERIES"]))
-    except ImportError:
-        pass
-    try:
-        _ORACLE_MODULES.append(__import__(f"tillpoint.plans.oracle_{_mod}", fromlist=["SQL"]))
-    except ImportError:
-        pass
+_PLAN_MODULES = [analytics, forecasting, ml, marts, dashboard]
+_ORACLE_MODULES = [oracle_analytics, oracle_forecasting, oracle_ml, oracle_marts, oracle_dashboard]
 
 
 def _bind(fn) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,15 +32,8 @@ def _bind(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for m in _PLAN_MODULES:
-        for k, fn in m.QUERIES.items():
-            out[k] = _bind(fn)
-    return out
+    return {k: _bind(fn) for m in _PLAN_MODULES for k, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _ORACLE_MODULES:
-        out.update(m.SQL)
-    return out
+    return {k: sql for m in _ORACLE_MODULES for k, sql in m.SQL.items()}

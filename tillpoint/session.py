@@ -44,29 +44,33 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def apply_sql_conf(spark: SparkSession) -> None:
     """Apply the package's SQL settings to a session created elsewhere."""
     for k, v in _SQL_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static or locked config: leave as configured
-            pass
+        spark.conf.set(k, v)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure reliable ``DataFrame.checkpoint()`` has a directory.
+_SCRATCH: dict[str, str] = {}
+
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; that is
-    always used when present.  Only a local-mode session (tests, bench) may
-    fall back to a private temporary folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session with a local master (tests, bench) may do without one; it
+    gets a private temporary folder.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder on the cluster")
-    path = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    if sc.applicationId not in _SCRATCH:
+        _SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
+    return _SCRATCH[sc.applicationId]
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make sure reliable ``DataFrame.checkpoint()`` has a directory, the one
+    of ``shared_folder`` unless the session has one already."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(spark))
+    return sc.getCheckpointDir()

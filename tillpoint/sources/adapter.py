@@ -3,7 +3,8 @@
 Mapping (one invoice line per lineitem row):
 
 * invoice_no   <- orders.o_orderkey
-* stock_code   <- part.p_brand || '/' || part.p_type   (150 product lines)
+* stock_code   <- part.p_partkey
+* product_line <- part.p_brand || '/' || part.p_type   (150; the series that are forecast)
 * description  <- part.p_name
 * quantity     <- lineitem.l_quantity
 * unit_price   <- part.p_retailprice as DECIMAL(14,2)
@@ -30,12 +31,12 @@ def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Data
 def read_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw 13-column extract built from the test tables.
 
-    Join order keeps the big side partitioned by order key at the end:
-    lineitem x part on part key, orders x (customer x nation) on customer
-    key, then the two on order key.  The invoice grain that follows groups
-    by the same key and so needs no further exchange.  Only ``nation``
-    (25 rows by definition) is broadcast explicitly; AQE decides for the
-    others from their measured sizes.
+    Joins lineitem x part on part key, orders x (customer x nation) on
+    customer key, then the two on order key.  Only ``nation`` (25 rows by
+    definition) is broadcast explicitly; AQE decides for the others from
+    their measured sizes.  Lines without their order, part, customer or
+    nation have no invoice and are left out; ``orphan_lines`` counts them.
+    ``product_line`` follows the 13 columns of the contract.
     """
     t = load_tables(spark, sf_dir, "orders", "lineitem", "part", "customer", "nation")
     nation = t["nation"].select("n_nationkey", F.col("n_name").alias("country"))
@@ -56,7 +57,8 @@ def read_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(customer, "customer_id"))
     part = t["part"].select(
         F.col("p_partkey").alias("partkey"),
-        F.concat(F.col("p_brand"), F.lit("/"), F.col("p_type")).alias("stock_code"),
+        F.col("p_partkey").cast("string").alias("stock_code"),
+        F.concat(F.col("p_brand"), F.lit("/"), F.col("p_type")).alias("product_line"),
         F.col("p_name").alias("description"),
         F.col("p_retailprice").cast("decimal(14,2)").alias("unit_price"))
     items = (t["lineitem"].select(F.col("l_orderkey").alias("invoice_no"),
@@ -64,4 +66,42 @@ def read_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.col("l_quantity").cast("int").alias("quantity"))
              .join(part, "partkey"))
     raw = items.join(orders, "invoice_no")
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields])
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields], "product_line")
+
+
+def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the lines, and those that the extract leaves out because their
+    order, part, customer or nation is missing."""
+    t = load_tables(spark, sf_dir, "orders", "lineitem", "part", "customer", "nation")
+
+    def known(table: str, key: str, *more: str) -> DataFrame:
+        # One row a key, so that a repeated key cannot multiply the lines.
+        return t[table].groupBy(key).agg(F.lit(True).alias(f"has_{table}"), *[F.min(c).alias(c) for c in more])
+
+    lines = (t["lineitem"].select("l_orderkey", "l_partkey")
+             .join(known("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+             .join(known("part", "p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left")
+             .join(known("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+             .join(known("nation", "n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+    missing = {name: F.col(f"has_{name}").isNull() for name in ("orders", "part", "customer", "nation")}
+    left_out = missing["orders"] | missing["part"] | missing["customer"] | missing["nation"]
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(missing["orders"]).alias("without_order"),
+                     F.count_if(missing["part"]).alias("without_part"),
+                     F.count_if(~missing["orders"] & missing["customer"]).alias("without_customer"),
+                     F.count_if(~missing["customer"] & missing["nation"]).alias("without_nation"),
+                     F.count_if(left_out).alias("left_out"))
+
+
+def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each table that lines are joined to: its rows, its distinct keys, and
+    the keys that stand more than once (a many-to-one join needs none)."""
+    keys = {"orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey", "nation": "n_nationkey"}
+    tables = load_tables(spark, sf_dir, *keys)
+    out = None
+    for table, key in keys.items():
+        one = (tables[table].groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+               .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("right_rows"),
+                    F.count(key).alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"))
+               .select(F.lit(table).alias("right_table"), "*"))
+        out = one if out is None else out.unionByName(one)
+    return out

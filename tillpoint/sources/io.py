@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 
 def round_money(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Cast every double column to DECIMAL(38, digits): the ``%.2f`` of the
-    CSV marts, exact in the file."""
+    """Cast every double column to DECIMAL(38, digits), exact in the file.  A
+    double is rounded half-up from its shortest decimal form, so 1.005 becomes
+    1.01 where ``%.2f`` prints 1.00; money is cents-exact and has no such ties."""
     return df.select(*[
         F.col(f.name).cast(f"decimal(38,{digits})").alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
@@ -46,8 +47,11 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def write_metrics_json(df: DataFrame, path: str) -> None:
-    """A one-row metrics frame as a JSON document (single part file)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A one-row metrics frame as a JSON document; more rows are refused."""
+    row = df.limit(2).collect()
+    if len(row) != 1:
+        raise ValueError("A metrics document has exactly one row")
+    df.sparkSession.createDataFrame(row, df.schema).repartition(1).write.mode("overwrite").json(path)
 
 
 def read_metrics_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

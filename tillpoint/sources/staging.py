@@ -1,13 +1,14 @@
-"""Stage the raw extract once per input as a Parquet table.
+"""Stage tables that many queries read, once per input.
 
 The marts all start from the same extract.  Like loading the CSV into a
 table before querying it, the adapter join (or CSV parse) runs once; every
 query then scans the staged Parquet with column pruning and predicate
-pushdown.  The table lives under the cluster's shared checkpoint folder,
-named by a fingerprint of the input files, so a changed input is staged
-again and a lost executor never loses it.
+pushdown.  The tables live in a fixed folder under the cluster's shared
+checkpoint folder, named by a fingerprint of the input files, so a later
+application finds them and a changed input is staged again.  A table is
+written beside its place and renamed into it when complete.
 
-The table is deliberately *not* bucketed by invoice.  Bucketing would let
+The tables are deliberately *not* bucketed by invoice.  Bucketing would let
 invoice-keyed aggregates skip their exchange, but a bucket is one scan
 task: an invoice (or a group of exact copies) holding a third of all lines
 would put a third of the extract into one task.  Unbucketed files are
@@ -20,16 +21,27 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.session import ensure_checkpoint_dir
+from tillpoint.session import shared_folder
 
-_LOCK = threading.RLock()
+# Part of every staged name: raise it when the staged columns change.
+LAYOUT = 2
+TABLES = ("orders", "lineitem", "part", "customer", "nation")
+
+_LOCKS: dict[tuple, threading.RLock] = defaultdict(threading.RLock)
 _STAGED: dict[tuple, str] = {}
 _SHARED: dict[tuple, object] = {}
 _FINGERPRINTS: dict[tuple, str] = {}
-TABLES = ("orders", "lineitem", "part", "customer", "nation")
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -37,45 +49,54 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     time, read through the Hadoop file system (any cluster storage).
     Listed once per application: the inputs are read-only while it runs."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    with _LOCK:
+    with _LOCKS[key]:
         if key not in _FINGERPRINTS:
-            _FINGERPRINTS[key] = _list_fingerprint(spark, sf_dir)
+            h = hashlib.sha256(f"{LAYOUT}:{sf_dir.rstrip('/')}".encode())
+            for t in TABLES:
+                path, fs = _path(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+                h.update(f"{t}:{fs.getContentSummary(path).getLength()}:{fs.getFileStatus(path).getModificationTime()}".encode())
+            _FINGERPRINTS[key] = h.hexdigest()[:24]
         return _FINGERPRINTS[key]
 
 
-def _list_fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    h = hashlib.sha256(sf_dir.rstrip("/").encode())
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for t in TABLES:
-            path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
-            fs = path.getFileSystem(conf)
-            size = fs.getContentSummary(path).getLength()
-            h.update(f"{t}:{size}:{fs.getFileStatus(path).getModificationTime()}".encode())
-    except Exception:  # unreadable metadata: the path alone names the input
-        h.update(",".join(TABLES).encode())
-    return h.hexdigest()[:24]
-
-
 def staging_enabled() -> bool:
     return os.environ.get("TILLPOINT_STAGE", "1") != "0"
 
 
-def staged(spark: SparkSession, sf_dir: str, build, name: str = "extract") -> DataFrame:
-    """Return the staged table ``name`` for ``sf_dir``, building it with
-    ``build()`` the first time in this application."""
+def staged_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tillpoint-staged"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove every staged table of this checkpoint folder."""
+    path, fs = _path(spark, staged_folder(spark))
+    fs.delete(path, True)
+    _STAGED.clear()
+
+
+def staged(spark: SparkSession, sf_dir: str, build, name: str = "extract", check=None) -> DataFrame:
+    """The staged table ``name`` for ``sf_dir``; ``build()`` makes it unless
+    this or an earlier application has.  ``check`` sees the written table
+    before it takes its place and may refuse it by raising."""
     if not staging_enabled():
         return build()
     key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), name)
-    with _LOCK:
-        path = _STAGED.get(key)
-        if path is None:
-            root = ensure_checkpoint_dir(spark)
-            path = f"{root.rstrip('/')}/staged-{name}-{key[1]}"
-            build().write.mode("overwrite").parquet(path)
-            _STAGED[key] = path
-    return spark.read.parquet(path)
+    with _LOCKS[key]:
+        if key not in _STAGED:
+            place = f"{staged_folder(spark)}/{name}-{key[1]}"
+            done, fs = _path(spark, f"{place}/_SUCCESS")
+            if not fs.exists(done):
+                beside = f"{place}.{uuid.uuid4().hex}"
+                build().write.parquet(beside)
+                if check is not None:
+                    check(spark.read.parquet(beside))
+                source, target = _path(spark, beside)[0], _path(spark, place)[0]
+                if not fs.rename(source, target) or fs.exists(_path(spark, f"{place}/{source.getName()}")[0]):
+                    # Another application was first; its table is the same.
+                    fs.delete(_path(spark, f"{place}/{source.getName()}")[0], True)
+                    fs.delete(source, True)
+            _STAGED[key] = place
+        return spark.read.parquet(_STAGED[key])
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build):
@@ -89,8 +110,8 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build):
     """
     if not staging_enabled():
         return build()
-    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), name)
-    with _LOCK:
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), f"shared:{name}")
+    with _LOCKS[key]:
         if key not in _SHARED:
             _SHARED[key] = build()
         return _SHARED[key]

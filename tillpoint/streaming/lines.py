@@ -13,8 +13,8 @@ def repaired_line_stream(spark: SparkSession, path: str, max_files_per_trigger:
     """Streaming DataFrame of repaired lines from CSV files arriving in ``path``.
 
     Fixed schema (no inference on a stream) and the same column expressions
-    as the batch view; malformed timestamps fail the micro-batch (ANSI)."""
-    raw = (spark.readStream.schema(RAW_SCHEMA).option("header", True)
+    as the batch view; a malformed value or timestamp fails the micro-batch."""
+    raw = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("mode", "FAILFAST")
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(path))
     return lines_repaired(raw)
 
