@@ -41,6 +41,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ K = 64
 RUN = 40
 SHORT = 32
 LONG_SHARE = 0.15
+MAX_BROADCAST_IDS = 500_000
 SLICE_BYTES = 16 << 20
 _ESTIMATE_SLACK = 0.3
 
@@ -139,24 +141,33 @@ class Search:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int):
         self.docs, self.classes, self.width, self.percent, self.k = docs, classes, width, percent, k
         self.links: list[DataFrame] = []
+        self.sets: list[DataFrame] = []  # (id, whole), each id in one of them
         self.nodes: DataFrame | None = None
 
     def verified(self, candidates: DataFrame) -> DataFrame:
         """The links among ``candidates`` (a, b)."""
-        own = self.classes.select("id", "n", "sketch")
-        small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+        own = self.classes.select("id", "sketch")
         near = cut(candidates.join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), F.col("b") == F.col("y.id"))
-                   .filter(100 * small >= self.percent * large)
                    .filter(_estimate(F.col("x.sketch"), F.col("y.sketch"), self.k) >= self.percent / 100 - _ESTIMATE_SLACK)
                    .select("a", "b"))
-        wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = (self.docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-                 .withColumn("key", F.xxhash64("text")).dropDuplicates(["id", "key"]))
-        sets = full_sets(texts, self.width)
+        self._read_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sets = reduce(DataFrame.unionByName, self.sets)
         pairs = (near.join(sets.select(F.col("id").alias("a"), F.col("whole").alias("set_a")), "a")
                  .join(sets.select(F.col("id").alias("b"), F.col("whole").alias("set_b")), "b"))
         return linked(pairs, self.percent)
 
+    def _read_sets(self, wanted: DataFrame) -> None:
+        """Read the full sets of the ids that no earlier round has read."""
+        for known in self.sets:
+            wanted = wanted.join(known.select("id"), "id", "left_anti")
+        wanted = cut(wanted)
+        n = wanted.count()
+        if n or not self.sets:
+            few = F.broadcast(wanted) if n <= MAX_BROADCAST_IDS else wanted
+            texts = (self.docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
+                     .filter(F.col("id").isNotNull()))
+            self.sets.append(cut(full_sets(texts, self.width).distinct()))
+
     def add(self, candidates: DataFrame) -> tuple[DataFrame, bool]:
         """Verify; the components of all links so far as (node, component), and
         whether any of the candidates is a link."""
@@ -170,32 +181,39 @@ class Search:
         return self.nodes, True
 
 
-def _tied(lists: DataFrame, pivots: DataFrame) -> DataFrame:
-    """The pairs of each member of ``lists`` (key, id, component) with its
+def _may_link(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _tied(lists: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """The pairs of each member of ``lists`` (key, id, n, component) with its
     list's pivot, where the two are not yet in one component."""
     return (lists.join(pivots, "key").filter("id <> pivot and component <> pivot_component")
+            .filter(_may_link("n", "pivot_n", percent))
             .select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct())
 
 
 def _best(lists: DataFrame) -> DataFrame:
-    best = F.max_by(F.struct("id", "component"), F.struct("quality", -F.col("id")))
+    best = F.max_by(F.struct("id", "n", "component"), F.struct("quality", -F.col("id")))
     return lists.groupBy("key").agg(best.alias("best")).select(
-        "key", F.col("best.id").alias("pivot"), F.col("best.component").alias("pivot_component"))
+        "key", F.col("best.id").alias("pivot"), F.col("best.n").alias("pivot_n"),
+        F.col("best.component").alias("pivot_component"))
 
 
 def _open(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """``lists`` with the components of their members, where they differ."""
     named = (lists.join(nodes, F.col("id") == F.col("node"), "left")
-             .select("key", "id", "m", "quality", "long", F.coalesce("component", "id").alias("component")))
+             .select("key", "id", "n", "m", "quality", "long", F.coalesce("component", "id").alias("component")))
     several = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low <> high").select("key"))
     return cut(named.join(several, "key", "left_semi"))
 
 
-def _expanded(lists: DataFrame) -> DataFrame:
+def _expanded(lists: DataFrame, percent: int) -> DataFrame:
     x, y = lists.alias("x"), lists.alias("y")
     return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id"))
-                   & (F.col("x.component") != F.col("y.component")))
+                   & (F.col("x.component") != F.col("y.component")) & _may_link("x.n", "y.n", percent))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
 
@@ -208,25 +226,25 @@ def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: i
     pairs = F.zip_with(F.expr(f"slice(sketch, 1, least({run}, size(sketch)) - 1)"),
                        F.expr(f"slice(sketch, 2, least({run}, size(sketch)) - 1)"), lambda x, y: F.xxhash64(x, y))
     every = classes.filter("size(sketch) > 1").select(
-        "id", (F.least(F.lit(run), F.size("sketch")) - 1).alias("own"), F.explode(pairs).alias("key"))
+        "id", "n", (F.least(F.lit(run), F.size("sketch")) - 1).alias("own"), F.explode(pairs).alias("key"))
     counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = cut(every.join(counts, "key"))
     # A pair that no short list holds shares long lists only, and many of its own.
     quality = several.groupBy("id").agg(
         F.sum("m").alias("quality"),
         (F.sum((F.col("m") > short).cast("long")) >= F.max("own") * LONG_SHARE).alias("long"))
-    lists = cut(several.select("key", "id", "m").join(quality, "id"))
+    lists = cut(several.select("key", "id", "n", "m").join(quality, "id"))
 
     alone = lists.withColumn("component", F.col("id"))
     pivots = cut(_best(alone))
-    nodes, _ = search.add(_tied(alone, pivots))
+    nodes, _ = search.add(_tied(alone, pivots, percent))
     unfinished = _open(lists, nodes)
     used = pivots.select(F.col("pivot").alias("id")).distinct()
-    expanded = _expanded(unfinished.filter(F.col("m") <= short))
+    expanded = _expanded(unfinished.filter(F.col("m") <= short), percent)
     while True:
         fresh = unfinished.filter((F.col("m") > short) & F.col("long"))
         pivots = cut(_best(fresh.join(used, "id", "left_anti")))
-        tied = _tied(fresh, pivots)
+        tied = _tied(fresh, pivots, percent)
         nodes, found = search.add(tied if expanded is None else tied.unionByName(expanded).distinct())
         if not found:
             return nodes
