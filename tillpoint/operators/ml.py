@@ -36,9 +36,9 @@ RF_PARAMS = dict(numTrees=140, maxDepth=9, minInstancesPerNode=6, featureSubsetS
 GBT_PARAMS = dict(maxIter=170, maxDepth=4, stepSize=0.055, subsamplingRate=0.9,
                   featureSubsetStrategy="0.85")
 # Candidate splits of a feature, and the statistics a tree level may hold.
-MAX_BINS = 128
-MAX_MEMORY_MB = 32
-FIT_PARTITIONS = 4
+MAX_BINS = 64
+MAX_MEMORY_MB = 128
+FIT_PARTITIONS = 2
 
 
 def _mean(ks) -> Column:

@@ -19,8 +19,9 @@ from tillpoint.plans.forecasting import (cal, folds, materialized, memo, names,
 ALL_METHODS = fc.METHODS + ml.ML_METHODS
 
 
-# Fits in flight: each is a chain of small jobs with its own bounded memory.
-MAX_FITS = 4
+# Fits in flight: each is a chain of small jobs with its own bounded memory,
+# and waits for the driver more than for tasks.
+MAX_FITS = 12
 
 
 def pool_weekly(c: Ctx) -> DataFrame:
