@@ -23,5 +23,18 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="module")
+def small_trees():
+    """Few trees: for tests of plans, and of rows that no tree takes part in."""
+    from tillpoint.operators import ml
+
+    kept = dict(ml.RF_PARAMS), dict(ml.GBT_PARAMS)
+    ml.RF_PARAMS.update(numTrees=3)
+    ml.GBT_PARAMS.update(maxIter=2)
+    yield
+    ml.RF_PARAMS.update(kept[0])
+    ml.GBT_PARAMS.update(kept[1])
+
+
 def reference_csv(name: str) -> str:
     return os.path.join(GOLDEN_DIR, name)

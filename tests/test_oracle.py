@@ -31,6 +31,6 @@ def test_entry_smoke(spark):
 
 
 @pytest.mark.parametrize("key", KEYS)
-def test_oracle(spark, con, key):
+def test_oracle(spark, con, small_trees, key):
     ok, msg = compare(spark, key, registry.queries()[key], registry.oracle_sql()[key], SF01, con)
     assert ok, msg

@@ -13,7 +13,7 @@ def _plan(df) -> str:
 
 
 @pytest.fixture(scope="module")
-def plans(spark):
+def plans(spark, small_trees):
     # The reference's own queries; tests/llm holds the training-data operators.
     return {k: _plan(fn(spark, SF001)) for k, fn in registry.queries().items()}
 
