@@ -143,9 +143,11 @@ def find(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     base = F.concat(*KINDS)
     looks = F.regexp_like(F.col("o.token"), F.lit("[0-9]")) & (
         F.length(F.regexp_replace(F.col("o.token"), r"[^\p{L}0-9]", "")) >= 6)
+    # A seed's instance is the whole entity, of which the token may be a part.
+    entity = F.get(F.filter("base", lambda s: s["start"] == F.col("o.start")), F.lit(0))["hit"]
     uses = (rows.select("doc_id", "key", F.explode("labelled").alias("o"), base.alias("base"))
-            .select("doc_id", "key", "o.label", "o.token", "o.start", "o.end", looks.alias("looks"),
-                    F.exists("base", lambda s: s["start"] == F.col("o.start")).alias("seed"),
+            .select("doc_id", "key", "o.label", F.coalesce(entity, F.col("o.token")).alias("token"), "o.start", "o.end",
+                    looks.alias("looks"), entity.isNotNull().alias("seed"),
                     F.exists("base", lambda s: (s["start"] < F.col("o.end")) & (F.col("o.start") < s["end"]))
                     .alias("taken")))
     edges = cut(uses.groupBy("label", "token").agg(

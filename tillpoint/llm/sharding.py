@@ -14,7 +14,9 @@ ends when every cell near a cut is an atom, and the result is then the same
 as the search over all groups one by one.
 
 A group larger than the capacity takes a shard for itself, so one hot group
-does not widen the other shards.
+does not widen the other shards.  A greedy fill leaves its remainder in the
+last shard, and in the one before such a group; the others are full but for
+the size of a group.
 
 Defined results: a null text counts as 0 bytes and all null and empty texts
 form one group; null ids sort first in their slice; repeated rows get
