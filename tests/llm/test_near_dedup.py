@@ -71,6 +71,34 @@ def test_large_group_of_near_copies(spark):
     assert got(near_dedup.near_groups(docs, 2).collect()) == brute(texts, 2)
 
 
+def test_long_near_copies_in_long_lists(spark):
+    """Texts of thousands of words: copies of one, and a copy of each copy that
+    is near enough to that copy alone.  Many such pairs share long lists only."""
+    rnd = random.Random(11)
+    base = " ".join(words(21, 2000))
+    texts = {k: edits(base, 20, rnd) for k in range(60)}
+    texts |= {100 + k: edits(texts[k], 100, rnd) for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = brute(texts, 2)
+    assert {c for _, c in expected.values()} == {0}
+    assert got(near_dedup.near_groups(docs, 2).collect()) == expected
+
+
+def test_last_join_misses_no_link(spark):
+    """The join on full sets against all pairs, sizes on both sides of the bound."""
+    rnd = random.Random(12)
+    pool = list(range(1, 120))
+    own = {k: set(rnd.sample(pool, rnd.randint(1, 60))) for k in range(60)}
+    for k in range(200):
+        some = sorted(own[rnd.randrange(len(own))])
+        own[len(own)] = set(rnd.sample(some, max(1, len(some) - rnd.randint(0, 6)))) | set(rnd.sample(pool, rnd.randint(0, 4)))
+    held = spark.createDataFrame([(i, x) for i, s in own.items() for x in s], "id long, shingle long")
+    members = spark.createDataFrame([(i, len(s), i % 7) for i, s in own.items()], "id long, n long, component long")
+    pairs = {(r.a, r.b) for r in near_dedup._prefix_join(held, members, 80).collect()}
+    links = {(a, b) for a in own for b in own if a > b and a % 7 != b % 7 and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+    assert links and links <= pairs and all(a % 7 != b % 7 for a, b in pairs)
+
+
 def test_short_texts_and_exact_threshold(spark):
     five = words(5, 6)
     texts = {1: " ".join(five[:5]), 2: " ".join(five), 3: " ".join(five[1:]), 4: "a", 5: "A", 6: "b", 7: "a b", 8: "A  B\n", 9: ""}

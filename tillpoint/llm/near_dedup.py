@@ -20,16 +20,14 @@ verified on the full sets, and verified links give components.  Candidates:
 - A list of at most ``SHORT`` members that then spans several components is
   expanded, between components only.
 - Longer lists that span several components get another pivot, one that has
-  not been a pivot before, for as long as a round finds a new link.
-
-What this leaves out needs two documents that are not joined through any
-pivot and meet in long lists only.  Let p be a pivot that u is not linked
-with, and B another document.  With x and y the numbers of shingles added to
-and missing from p, u and B are linked only if they share at least
-c(u) + c(B) - |p| / 9 of these differences, where c = (4 x + 5 y) / 9, and
-c(u) > |p| / 9 as u is not linked with p.  So they share more than 4 / 9 of
-B's differences from p, and each shared difference within the run, an added
-or a missing value, gives both a pair that most of the group lacks.
+  not been a pivot before, for as long as a round leaves at most half of the
+  components there.
+- The members of the long lists that still span several components are joined
+  on their full sets, between components only: with the shingles of a set
+  ordered from rare to frequent, the first common one of a linked pair must
+  leave both sides enough shingles after it.  Sizes are part of the key, so a
+  shingle that most of a group holds meets only the sets that are large enough
+  for it, and long keys are split into blocks.
 
 Defined results: null and empty texts and texts without a word have an empty
 set and link with nothing, not even each other; rows with equal ids count as
@@ -46,7 +44,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import cut, read_table
@@ -57,7 +55,9 @@ from tillpoint.llm.words import hashed_runs, hashed_words
 K = 64
 RUN = 40
 SHORT = 32
-LONG_SHARE = 0.15
+LONG_SHARE = 0.15  # of a pivot round's members; the last join has no such bound
+SIZE_STEP = 1.02
+BLOCK = 1000
 MAX_BROADCAST_IDS = 500_000
 SLICE_BYTES = 16 << 20
 _ESTIMATE_SLACK = 0.3
@@ -114,6 +114,20 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, whole binary")
 
 
+def shingles(sets: DataFrame) -> DataFrame:
+    """``id`` and ``shingle`` of ``sets`` (id, whole)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, SLICE_BYTES):
+                sets = [np.frombuffer(v.as_buffer(), "<i8") for v in some.column(1)]
+                ids = np.repeat(some.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets or [ids]), pa.int64())],
+                                                 names=["id", "shingle"])
+
+    return sets.select("id", "whole").mapInArrow(run, "id long, shingle long")
+
+
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b, set_a, set_b) with 100 * common >= percent * union."""
 
@@ -156,6 +170,13 @@ class Search:
                  .join(sets.select(F.col("id").alias("b"), F.col("whole").alias("set_b")), "b"))
         return linked(pairs, self.percent)
 
+    def crossing(self, members: DataFrame) -> DataFrame:
+        """All pairs (a, b) of ``members`` (id, n, component) in different
+        components that their full sets do not rule out as links."""
+        self._read_sets(members.select("id").distinct())
+        held = shingles(reduce(DataFrame.unionByName, self.sets).join(members.select("id"), "id", "left_semi"))
+        return _prefix_join(held, members, self.percent)
+
     def _read_sets(self, wanted: DataFrame) -> None:
         """Read the full sets of the ids that no earlier round has read."""
         for known in self.sets:
@@ -210,6 +231,11 @@ def _open(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(named.join(several, "key", "left_semi"))
 
 
+def _parts(lists: DataFrame, short: int) -> int:
+    """How many components the long ones of ``lists`` span."""
+    return lists.filter(F.col("m") > short).select("component").distinct().count()
+
+
 def _expanded(lists: DataFrame, percent: int) -> DataFrame:
     x, y = lists.alias("x"), lists.alias("y")
     return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id"))
@@ -217,6 +243,42 @@ def _expanded(lists: DataFrame, percent: int) -> DataFrame:
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
 
+def _size_bin(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)))
+
+
+def _prefix_join(held: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``members`` (id, n, component) in different components whose
+    first common shingle, from rare to frequent, leaves room for a link."""
+    several = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    rest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("m"), F.desc("shingle")))
+    # A link of sizes n and o has common * (100 + percent) >= percent * (n + o), and
+    # at most ``rest``, the shingles from the first common one on, are common.
+    lowest = F.ceil(percent * F.col("n") / 100)
+    room = F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")
+    rows = cut(held.join(several, "shingle").select("id", "shingle", rest.alias("rest")).join(members, "id")
+               .withColumn("highest", F.least("n", room)).filter(F.col("highest") >= lowest - 1))
+    large = rows.withColumn("bin", F.explode(F.sequence(
+        _size_bin(F.greatest(F.lit(1), lowest - 1)), _size_bin(F.least("n", F.col("highest") + 1)))))
+    small = rows.filter(F.col("rest") * (100 + percent) >= 2 * percent * F.col("n")).withColumn("bin", _size_bin(F.col("n")))
+    keys = (large.select("shingle", "bin", "component", F.lit(0).alias("small"))
+            .unionByName(small.select("shingle", "bin", "component", F.lit(1).alias("small")))
+            .groupBy("shingle", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                           F.sum("small").alias("smalls")))
+    keys = cut(keys.filter("low <> high and smalls > 0").select(
+        "shingle", "bin", F.ceil(F.col("smalls") / BLOCK).alias("blocks")))
+    x = (large.join(keys, ["shingle", "bin"])
+         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("x"))
+    y = (small.join(keys, ["shingle", "bin"])
+         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("y"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "bin", "block")]
+    return (x.join(y, reduce(Column.__and__, same) & (F.col("x.component") != F.col("y.component"))
+                   & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") > F.col("y.id"))))
+                   & _may_link("x.n", "y.n", percent)
+                   & (F.least("x.rest", "y.rest") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))))
+            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
+
+
 def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: int, k: int = K,
                     run: int = RUN, short: int = SHORT) -> DataFrame:
     """(node, component) of the classes that have a link."""
@@ -241,15 +303,21 @@ def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: i
     unfinished = _open(lists, nodes)
     used = pivots.select(F.col("pivot").alias("id")).distinct()
     expanded = _expanded(unfinished.filter(F.col("m") <= short), percent)
+    left = _parts(unfinished, short)
     while True:
         fresh = unfinished.filter((F.col("m") > short) & F.col("long"))
         pivots = cut(_best(fresh.join(used, "id", "left_anti")))
         tied = _tied(fresh, pivots, percent)
         nodes, found = search.add(tied if expanded is None else tied.unionByName(expanded).distinct())
-        if not found:
-            return nodes
+        if found:
+            unfinished = _open(lists, nodes)
+        before, left = left, _parts(unfinished, short)
+        if not left or 2 * left > before:
+            break
         used = cut(used.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct())
-        unfinished, expanded = _open(lists, nodes), None
+        expanded = None
+    members = cut(unfinished.filter(F.col("m") > short).select("id", "n", "component").distinct())
+    return search.add(search.crossing(members))[0] if left else nodes
 
 
 def near_groups(docs: DataFrame, width: int, percent: int = 80) -> DataFrame:
