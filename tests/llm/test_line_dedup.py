@@ -82,3 +82,18 @@ def test_repeats_within_one_text(spark):
     block = prose(4, 60)
     got = cleaned(spark, {1: block + "\n" + prose(5, 40) + "\n" + block})
     assert got[1].text == block + "\n" + prose(5, 40)
+
+
+def test_long_blocks_of_short_lines(spark):
+    """Blocks whose single lines and small groups of lines are below the word
+    bound; the first text that holds a part of a block is a short quote."""
+    ones, twos = words(31, 90), [" ".join(words(40 + k, 2)) for k in range(60)]
+    texts = {0: "\n".join([prose(600, 24), *twos[20:38], prose(601, 24)])}
+    for i in range(1, 30):
+        block = (ones, twos)[i % 2]
+        texts[i] = "\n".join([prose(700 + i, 24), *block, prose(800 + i, 24)])
+    left = {i: r.text for i, r in cleaned(spark, texts).items()}
+    assert left[0] == texts[0] and left[2] == texts[2]
+    assert left[1] == "\n".join([prose(701, 24), *twos[:20], *twos[38:], prose(801, 24)])
+    for i in range(3, 30):
+        assert left[i] == prose(700 + i, 24) + "\n" + prose(800 + i, 24)

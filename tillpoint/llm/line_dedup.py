@@ -1,21 +1,18 @@
-"""Line dedup by content-defined chunks of lines.
-
-A text's lines are cut into chunks after each line whose rolling hash, over
-the hashes of the last few lines, falls in one of ``DIVISOR`` residues; a
-passage copied into another text is cut alike whatever stands around it.
-``WINDOWS`` gives independent cuttings of that kind; a further one cuts before
-and after every line of ``LONG_LINE`` words or more, so that a passage of few
-lines holds a whole chunk of one of them too.
-
-Chunks of several lines, and single lines of ``LONG_LINE`` words, count.
-Spark counts their hashes over all texts.  Those whose hash repeats are read
-again, with 128-bit hashes of the ``CONTEXT`` lines before and after, and
-every occurrence is compared, byte by byte, with the first one (by document
-id, then line).  Equal chunks are extended over the neighbouring lines that
-are equal too, and the run is removed when it has at least ``MIN_LINES``
-lines and ``MIN_WORDS`` words; a single line of ``ALONE_WORDS`` words is a
-passage by itself.  A removed line always has an equal line at an earlier
-place, so one copy of every passage stays.
+"""Line dedup by content-defined windows of lines.
+
+A passage is a run of lines with at least ``MIN_LINES`` lines and
+``MIN_WORDS`` words, or with ``ALONE_WORDS`` words; an empty line counts as a
+word.  From each line of a text the shortest passage that begins there, and
+the shortest one that ends there, is a window.  A window depends on nothing
+but its own lines, and the windows inside a passage cover all its lines, so
+the lines that stand in a repeated passage, of any length and in any
+surroundings, are those of the windows that repeat.
+
+Spark counts the hashes of the windows over all texts.  Windows whose hash
+repeats are read again, and every occurrence is compared, byte by byte, with
+the first one (by document id, then line).  Equal ones are merged to runs and
+removed.  A removed line always has an equal line at an earlier place, so one
+copy of every passage stays.
 
 Defined results: a null text stays null; an empty text has one empty line;
 a text that loses all its lines is empty; rows with equal ids are ordered by
@@ -31,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.bitfilter import BitFilter, bit_filter
@@ -39,71 +36,54 @@ from tillpoint.llm.common import cut, read_table
 from tillpoint.llm.packing import slices
 from tillpoint.llm.words import mix
 
-WINDOWS = (1, 2)
-DIVISOR = 2
-MAX_CHUNK = 16
 MIN_LINES = 2
 MIN_WORDS = 30
-LONG_LINE = 12
 ALONE_WORDS = 50
-CONTEXT = 4
 MAX_BROADCAST_RUNS = 200_000
 SLICE_BYTES = 16 << 20
 
-_CHUNK = ("hash long, doc_id long, key long, line int, lines int, own string, "
-          "before array<struct<hash:binary,words:int>>, after array<struct<hash:binary,words:int>>")
-_CONTEXT = pa.list_(pa.struct([("hash", pa.binary()), ("words", pa.int32())]))
-
-
-def _rolling_cuts(hashes: np.ndarray, salt: int, window: int) -> list[int]:
-    rolled = np.zeros_like(hashes)
-    for back in range(window):
-        rolled[back:] += mix(hashes[: len(hashes) - back] + np.uint64(2 * back + 1))
-    return (np.flatnonzero(mix(rolled + np.uint64(salt)) % np.uint64(DIVISOR) == 0) + 1).tolist()
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_WINDOW = "hash long, doc_id long, key long, line int, lines int, own string"
 
 
 def _words(line: str) -> int:
     return line.count(" ") + 1
 
 
-def _long_line_cuts(lines: list[str]) -> list[int]:
-    long = [k for k, x in enumerate(lines) if _words(x) >= LONG_LINE]
-    return sorted({*long, *(k + 1 for k in long)})
+def _windows(lines: list[str], min_lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of a text begin and end."""
+    n = len(lines)
+    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(_words, lines), np.int64, n))])
+    at = np.arange(n + 1)
+    end = np.minimum(np.maximum(np.searchsorted(upto, upto + min_words), at + min_lines),
+                     np.searchsorted(upto, upto + ALONE_WORDS))
+    begin = np.maximum(np.minimum(np.searchsorted(upto, upto - min_words, "right") - 1, at - min_lines),
+                       np.searchsorted(upto, upto - ALONE_WORDS, "right") - 1)
+    ahead, behind = end <= n, begin >= 0
+    both = np.unique(np.concatenate([at[ahead] * (n + 1) + end[ahead], begin[behind] * (n + 1) + at[behind]]))
+    return both // (n + 1), both % (n + 1)
 
 
-def _chunk_ends(cuts: list[int], n: int) -> list[int]:
-    """Where the chunks of one cutting end; none is longer than ``MAX_CHUNK``."""
-    ends, at = [], 0
-    for end in [*cuts, n]:
-        while end - at > MAX_CHUNK:
-            at += MAX_CHUNK
-            ends.append(at)
-        if end > at:
-            ends.append(end)
-            at = end
-    return ends
+def _hashes(lines: list[str], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each window, from sums over the lines before its ends."""
+    n = len(lines)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, n)
+    powers, back = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x))]) for x in (_BASE, _BACK))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * powers[:n], dtype=np.uint64)])
+    return mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
 
 
-def chunks(docs: DataFrame, known: BitFilter | None = None) -> DataFrame:
-    """The chunks of ``docs`` (doc_id, key, text): only their ``hash``, or, for
+def windows(docs: DataFrame, min_lines: int, min_words: int, known: BitFilter | None = None) -> DataFrame:
+    """The windows of ``docs`` (doc_id, key, text): only their ``hash``, or, for
     the hashes that may be in ``known``, with their place and lines."""
     shared = docs.sparkSession.sparkContext.broadcast(known and tuple(known))
 
-    def anchors(lines: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """The line ranges of the chunks of all cuttings, and their hashes."""
-        own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
-        found = set()
-        for cuts in (*(_rolling_cuts(own, salt, window) for salt, window in enumerate(WINDOWS)), _long_line_cuts(lines)):
-            ends = _chunk_ends(cuts, len(lines))
-            found.update(zip([0, *ends], ends))
-        ranges = [(a, b) for a, b in found if b - a > 1 or _words(lines[a]) >= LONG_LINE]
-        raw = own.tobytes()
-        return ranges, np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a: 8 * b]) for a, b in ranges), np.uint64, len(ranges))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, SLICE_BYTES, 2):
-                found = [anchors(t.split("\n"))[1] for t in some.column(2).to_pylist() if t is not None]
+                texts = [t.split("\n") for t in some.column(2).to_pylist() if t is not None]
+                found = [_hashes(x, *_windows(x, min_lines, min_words)) for x in texts]
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["hash"])
 
@@ -113,60 +93,47 @@ def chunks(docs: DataFrame, known: BitFilter | None = None) -> DataFrame:
             for some in slices(batch, SLICE_BYTES, 2):
                 rows: list[tuple] = []
                 for doc, key, text in zip(*(c.to_pylist() for c in some.columns)):
-                    lines = text.split("\n") if text is not None else []
-                    ranges, hashes = anchors(lines) if lines else ([], np.zeros(0, np.uint64))
+                    if text is None:
+                        continue
+                    lines = text.split("\n")
+                    begin, end = _windows(lines, min_lines, min_words)
+                    hashes = _hashes(lines, begin, end)
                     for k in np.flatnonzero(known.may_hold(hashes)).tolist():
-                        a, b = ranges[k]
-                        near = [[{"hash": xxhash.xxh3_128_digest(x), "words": _words(x)} for x in some_lines]
-                                for some_lines in (lines[max(0, a - CONTEXT): a], lines[b: b + CONTEXT])]
-                        rows.append((int(hashes[k].view(np.int64)), doc, key, a, b - a, "\n".join(lines[a:b]), *near))
-                cols = list(zip(*rows)) if rows else [()] * 8
-                kinds = [*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.string(), _CONTEXT, _CONTEXT]
+                        a, b = int(begin[k]), int(end[k])
+                        rows.append((int(hashes[k].view(np.int64)), doc, key, a, b - a, "\n".join(lines[a:b])))
+                cols = list(zip(*rows)) if rows else [()] * 6
+                kinds = [*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[
-                    "hash", "doc_id", "key", "line", "lines", "own", "before", "after"])
+                    "hash", "doc_id", "key", "line", "lines", "own"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "key", "text")
-    return rows.mapInArrow(count, "hash long") if known is None else rows.mapInArrow(show, _CHUNK)
+    return rows.mapInArrow(count, "hash long") if known is None else rows.mapInArrow(show, _WINDOW)
 
 
-def _compare(pairs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """The repeated runs of lines (doc_id, key, first, end) of joined occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, key, line, lines, own, before, after, own2, before2, after2 in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != own2:
-                    continue
-                up = next((k for k, (x, y) in enumerate(zip(before[::-1], before2[::-1])) if x != y),
-                          min(len(before), len(before2)))
-                down = next((k for k, (x, y) in enumerate(zip(after, after2)) if x != y), min(len(after), len(after2)))
-                words = (sum(_words(x) for x in own.split("\n"))
-                         + sum(x["words"] for x in (*before[len(before) - up:], *after[:down])))
-                if up + lines + down >= min_lines and words >= min_words or words >= ALONE_WORDS:
-                    rows.append((doc, key, line - up, line + lines + down))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                             names=["doc_id", "key", "first", "end"])
-
-    return pairs.mapInArrow(run, "doc_id long, key long, first int, end int")
+def _merged(found: DataFrame) -> DataFrame:
+    """The line ranges ``found`` (doc_id, key, first, end) as runs that neither
+    overlap nor touch."""
+    order = Window.partitionBy("doc_id", "key").orderBy("first", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(F.col("first") <= F.col("reach"), 0).otherwise(1)).over(order)
+    return (found.withColumn("reach", reach).withColumn("run", run)
+            .groupBy("doc_id", "key", "run").agg(F.min("first").alias("first"), F.max("end").alias("end")))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id``, ``key`` and ``runs``, the array of line ranges to remove, of
     the documents (doc_id, text) that have any."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    repeated = cut(chunks(keyed).groupBy("hash").count().filter("count > 1").select("hash"))
-    seen = cut(chunks(keyed, bit_filter(repeated)))
+    repeated = cut(windows(keyed, min_lines, min_words).groupBy("hash").count().filter("count > 1").select("hash"))
+    seen = cut(windows(keyed, min_lines, min_words, bit_filter(repeated)))
     place = F.struct("doc_id", "key", "line")
     first = seen.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     placed = seen.join(first, "hash")
     kept = (placed.filter(place == F.col("first")).dropDuplicates(["hash"])
-            .select("hash", *[F.col(c).alias(f"{c}2") for c in ("own", "before", "after")]))
-    pairs = (placed.filter(place != F.col("first")).join(kept, "hash")
-             .select("doc_id", "key", "line", "lines", "own", "before", "after", "own2", "before2", "after2"))
-    return (_compare(pairs, min_lines, min_words).distinct()
+            .select("hash", F.col("own").alias("own2")))
+    found = (placed.filter(place != F.col("first")).join(kept, "hash").filter("own = own2")
+             .select("doc_id", "key", F.col("line").alias("first"), (F.col("line") + F.col("lines")).alias("end")))
+    return (_merged(found.distinct())
             .groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "end")).alias("runs")))
 
 
