@@ -97,3 +97,19 @@ def test_long_blocks_of_short_lines(spark):
     assert left[1] == "\n".join([prose(701, 24), *twos[:20], *twos[38:], prose(801, 24)])
     for i in range(3, 30):
         assert left[i] == prose(700 + i, 24) + "\n" + prose(800 + i, 24)
+
+
+def test_no_passage_of_few_short_lines_is_left(spark):
+    """Passages of five to eight lines of six to eleven words, each between
+    different neighbours in several texts."""
+    rnd = random.Random(9)
+    passages = [[" ".join(words(9000 + 10 * p + k, rnd.randint(6, 11))) for k in range(5 + p % 4)] for p in range(100)]
+    texts = {}
+    for p, passage in enumerate(passages):
+        for copy in range(3):
+            i = 3 * p + copy
+            texts[i] = "\n".join([prose(20_000 + i, 24, 8), *passage, prose(30_000 + i, 24, 8)])
+    left = {i: r.text for i, r in cleaned(spark, texts).items()}
+    for i, t in texts.items():
+        assert left[i] == (t if i % 3 == 0 else prose(20_000 + i, 24, 8) + "\n" + prose(30_000 + i, 24, 8))
+    assert not repeated_runs_left(left, 1)
