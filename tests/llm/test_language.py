@@ -78,3 +78,14 @@ def test_sample_is_bounded_and_whole(spark):
     texts = {t for _, t in rows}
     assert set(got["en"]) <= texts and 4000 <= sum(map(len, got["en"])) < 4000 + 3000
     assert got["de"] == [prose(99, 40)] and "x" * 5000 not in got["en"]
+
+
+def test_sample_of_long_and_of_repeated_texts(spark):
+    """A language of long texts only is learned, from their beginnings; copies
+    of one text take the place of one."""
+    rows = [("fr", prose(k, 800)) for k in range(5)] + [("en", prose(50, 100))] * 40 + [("en", prose(60 + k, 50)) for k in range(9)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = lid.sample(docs, most_bytes=4000, longest=2000)
+    starts = {t[:2000] for lang, t in rows if lang == "fr"}
+    assert len(got["fr"]) == 2 and set(got["fr"]) <= starts
+    assert len(got["en"]) == len(set(got["en"])) == 10

@@ -8,8 +8,9 @@ after fitting, and a text's code length under a language is exact: the sum
 over all its bytes.  The shortest code names the language.
 
 The trees are fitted on a bounded sample: per language up to
-``SAMPLE_BYTES`` bytes of whole training texts of at most
-``SAMPLE_TEXT_BYTES`` each, taken in the order of a hash.  All trees together
+``SAMPLE_BYTES`` bytes of distinct training texts, taken in the order of a
+hash: whole ones of at most ``SAMPLE_TEXT_BYTES`` and, where a language has too
+few of these, the first ``SAMPLE_TEXT_BYTES`` of longer ones.  All trees together
 are one table, a row for each context that any tree has and in it, for each
 byte, the code lengths under all languages, so a byte costs two look-ups.
 Its size is bounded by the sample, and it is broadcast.
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import read_table
@@ -134,23 +135,34 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(labelled: DataFrame, most_bytes: int = SAMPLE_BYTES, longest: int = SAMPLE_TEXT_BYTES) -> dict[str, list[str]]:
-    """Up to ``most_bytes`` of texts for each language of ``labelled`` (lang,
-    text), in the order of a hash of the text."""
-    size, place = F.octet_length("text"), F.xxhash64(F.lit("sample"), F.col("text"))
-    fit_for = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size <= longest))
-    totals = {r["lang"]: r["bytes"] for r in fit_for.groupBy("lang").agg(F.sum(size).alias("bytes")).collect()}
+    """Up to ``most_bytes`` of distinct texts for each language of ``labelled``
+    (lang, text), in the order of a hash of the text; longer texts than
+    ``longest`` come last and are cut there."""
+    size = F.octet_length("text")
+    keyed = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64(F.lit("sample"), F.col("text")).alias("place"),
+        F.least(size, F.lit(longest)).alias("bytes"), (size > longest).alias("long"))
+    each = keyed.groupBy("lang", "place").agg(F.min("bytes").alias("bytes"), F.min("long").alias("long"))
+    totals: dict[str, dict[bool, int]] = {}
+    for r in each.groupBy("lang", "long").agg(F.sum("bytes").alias("total")).collect():
+        totals.setdefault(r["lang"], {})[r["long"]] = r["total"]
     # Twice the wanted share, so that the drawn texts nearly always reach the bound.
     share = F.lit(0.0)
-    for lang, total in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(2.0 * most_bytes / max(1, total))).otherwise(share)
-    drawn = (fit_for.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
-             .select("lang", "text", place.alias("place")).collect())
+    for lang, own in totals.items():
+        wanted = {False: most_bytes, True: max(0, most_bytes - own.get(False, 0))}
+        for long, total in own.items():
+            share = F.when((F.col("lang") == lang) & (F.col("long") == long),
+                           F.lit(2.0 * wanted[long] / max(1, total))).otherwise(share)
+    before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("long", "place")) - F.col("bytes")
+    drawn = (each.filter(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30))
+             .withColumn("before", before).filter(F.col("before") < most_bytes).select("lang", "place"))
+    rows = (keyed.join(F.broadcast(drawn), ["lang", "place"], "left_semi")
+            .groupBy("lang", "place").agg(F.first(F.substring("text", 1, longest)).alias("text"), F.min("long").alias("long"))
+            .collect())
     out: dict[str, list[str]] = {lang: [] for lang in totals}
-    left = dict.fromkeys(totals, most_bytes)
-    for r in sorted(drawn, key=lambda r: (r["place"], r["text"])):
-        if left[r["lang"]] > 0:
-            out[r["lang"]].append(r["text"])
-            left[r["lang"]] -= len(r["text"].encode("utf-8", "replace"))
+    for r in sorted(rows, key=lambda r: (r["long"], r["place"])):
+        text = r["text"]
+        out[r["lang"]].append(text.encode("utf-8", "replace")[:longest].decode("utf-8", "ignore") if r["long"] else text)
     return out
 
 
