@@ -1,7 +1,7 @@
 """Training-data operators: packing, fingerprints, near-duplicate search,
 page extraction, line dedup, chat formatting, personal data, language ID,
-benchmark decontamination and sharding.  Nothing else in the library
-imports this subpackage.
+benchmark decontamination, sharding, hard negatives, license scan and periodic
+runs.  Nothing else in the library imports this subpackage.
 
 Functions that run in Python workers are sent by value, so executors need
 the public libraries but no copy of this package.

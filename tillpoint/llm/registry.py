@@ -6,17 +6,20 @@ from tillpoint.llm import (
     chat,
     decontamination,
     fingerprints,
+    hard_negatives,
     html_extraction,
     language_id,
+    license_scan,
     line_dedup,
     near_dedup,
     packing,
+    periodic_runs,
     personal_data,
     sharding,
 )
 
 _MODULES = [packing, fingerprints, near_dedup, html_extraction, line_dedup, chat, personal_data, language_id,
-            decontamination, sharding]
+            decontamination, sharding, hard_negatives, license_scan, periodic_runs]
 
 
 def queries() -> dict:
