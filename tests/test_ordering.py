@@ -1,22 +1,73 @@
 """Distributed ordered operators equal their single-partition window form."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillpoint.functions.ordering import count_order_inversions, sequential_key
+from conftest import SF001
+from tillpoint.functions.ordering import bucket_bounds, bucket_of, count_order_inversions, sequential_key
+from tillpoint.plans import registry
 
+# Keys: even, half of them in a thousandth of the range, and exponential.
+SPREADS = {"even": "id * 7919 % 5003", "crowded": "if(id % 2 = 0, id, id * 1000000)",
+           "exponential": "floor(exp(id / 200)) * 5000 + id", "negative": "-id * id"}
 
-def test_sequential_key_matches_row_number(spark):
-    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"))
+
+def keys(spark, spread, n=5000):
+    return spark.range(0, n).select(F.expr(SPREADS[spread]).cast("long").alias("k"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
+
+
+@pytest.mark.parametrize("spread", SPREADS)
+def test_sequential_key_matches_row_number(spark, spread):
+    df = keys(spark, spread).select("k")
     ours = sequential_key(df, "k", "key", num_partitions=7)
     ref = df.select("k", F.row_number().over(Window.orderBy("k")).alias("key"))
     assert ours.count() == 5000
     assert ours.exceptAll(ref).count() == 0
 
 
-def test_inversions_match_lag(spark):
-    df = spark.range(0, 4000).select(F.col("id").alias("k"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
+@pytest.mark.parametrize("spread", SPREADS)
+def test_inversions_match_lag(spark, spread):
+    df = keys(spark, spread)
     ours = count_order_inversions(df, "k", ["v"], num_partitions=6).first()["v"]
-    w = Window.orderBy("k")
-    ref = df.select((F.col("v") < F.lag("v").over(w)).alias("x")).where("x").count()
+    ref = df.select((F.col("v") < F.lag("v").over(Window.orderBy("k"))).alias("x")).where("x").count()
     assert ours == ref
+
+
+@pytest.mark.parametrize("spread", SPREADS)
+@pytest.mark.parametrize("buckets", [1, 2, 7, 64])
+def test_buckets_are_even_and_ordered(spark, spread, buckets):
+    df = keys(spark, spread)
+    rows = (df.withColumn("bounds", bucket_bounds(df, "k", buckets))
+            .select("k", bucket_of(F.col("k"), F.col("bounds"), buckets).alias("b")))
+    found = rows.groupBy("b").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n")).orderBy("b").collect()
+    assert [r.b for r in found] == list(range(buckets))
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))
+    assert max(r.n for r in found) <= 2 * 5000 / buckets
+
+
+def test_few_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(k,) for k in [3, None, 3, 3, 1, None, 2, 3, 3]], "k long")
+    found = sequential_key(df, "k", "key", num_partitions=4).orderBy("key").collect()
+    assert [(r.k, r.key) for r in found] == list(zip([None, None, 1, 2, 3, 3, 3, 3, 3], range(1, 10)))
+    assert sequential_key(df.limit(0), "k", "key").collect() == []
+    assert count_order_inversions(spark.createDataFrame([], "k long, v long"), "k", ["v"]).first()["v"] == 0
+
+
+def _jobs(spark) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+@pytest.mark.parametrize("key", ["customer_surrogate_key", "customer_metrics", "dq_chronology_inversions"])
+def test_nothing_runs_while_planned(spark, key):
+    registry.queries()[key](spark, SF001)  # stages its tables
+    before = _jobs(spark)
+    registry.queries()[key](spark, SF001)
+    # Reading a staged table's footer is the one job that opening it takes.
+    assert _jobs(spark) - before <= 1
+
+
+def test_rows_are_exchanged_once(spark):
+    plan = registry.queries()["dq_chronology_inversions"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("Subquery")[0]
+    assert main.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan

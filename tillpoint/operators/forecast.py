@@ -96,8 +96,14 @@ def origins(spark, cal: Calendar) -> DataFrame:
 
 
 def _in_window(lines: DataFrame, lo: datetime.date, hi: datetime.date, hi_inclusive: bool) -> DataFrame:
+    """Lines of the weeks ``lo`` to ``hi``.  The bounds on the month say nothing
+    new about the rows; they leave out the folders of all other months."""
+    last = hi + datetime.timedelta(days=6) if hi_inclusive else hi - datetime.timedelta(days=1)
     upper = F.col("week_start") <= F.lit(hi) if hi_inclusive else F.col("week_start") < F.lit(hi)
-    return lines.where((F.col("week_start") >= F.lit(lo)) & upper)
+    window = (F.col("week_start") >= F.lit(lo)) & upper
+    if "invoice_month" in lines.columns:
+        window = F.col("invoice_month").between(F.lit(lo.replace(day=1)), F.lit(last.replace(day=1))) & window
+    return lines.where(window)
 
 
 def sku_popularity(lines: DataFrame, cal: Calendar) -> DataFrame:

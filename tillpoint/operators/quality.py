@@ -4,13 +4,16 @@ checks that refuse an extract."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.functions.columns import dround, money
+from tillpoint.functions.columns import dround, money, segment_expr
 from tillpoint.functions.ordering import count_order_inversions
 from tillpoint.sources.extract import RAW_SCHEMA, REQUIRED_COLUMNS
 
+# A segment only asks whether a customer has 3 or 5 orders.
+ORDERS_THAT_MATTER = 5
+
 
 def required_columns(raw: DataFrame) -> DataFrame:
     """One row per required column: whether the table has it, and how many
@@ -144,17 +147,62 @@ def chronology_inversions(invoices: DataFrame) -> DataFrame:
                       F.col("invoice_date").alias("inversions_corrected"))
 
 
-def reconcile(checks: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Each check is a pair of one-row, one-column frames (detail, summary)."""
-    parts = []
-    for name, (detail, summary) in checks.items():
-        # Totals are sums of cent-exact values: round to cents so the
-        # summation order of doubles cannot show up as a difference.
-        d = detail.select(dround(F.col(detail.columns[0]).cast("double"), 2).alias("detail_total"))
-        s = summary.select(dround(F.col(summary.columns[0]).cast("double"), 2).alias("summary_total"))
-        parts.append(d.select(F.lit(name).alias("check_name"), "detail_total",
-                              s.select("summary_total").scalar().alias("summary_total")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("difference", F.round(F.col("detail_total") - F.col("summary_total"), 6))
+def reconcile(lines: DataFrame, activity_df: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Five pairs of totals that must agree, across the three stores the marts
+    are made of; each is read once.
+
+    The lines give the total; the activity table, by grouping sets, the
+    monthly and the month x country totals; and the invoice grain, by customer
+    and then by grouping sets, the segments and the cohorts.  Money is cents
+    until the last step, so no order of summation shows."""
+    total = lines.agg(F.sum("revenue_cents").alias("total"))
+    level = F.when(F.grouping("country") == 1, "month").otherwise("month_country")
+    months = (activity_df.groupingSets([["month"], ["month", "country"]], "month", "country")
+              .agg(level.alias("level"), *[F.sum(c).alias(c) for c in (
+                  "revenue_cents", "orders", "first_revenue_cents", "later_revenue_cents")]))
+
+    def of(which: str, value: Column) -> Column:
+        return F.sum(F.when(F.col("level") == which, value))
+
+    split = F.col("first_revenue_cents") + F.col("later_revenue_cents")
+    monthly = months.agg(of("month", F.col("revenue_cents")).alias("monthly"), of("month", F.col("orders")).alias("monthly_orders"),
+                         of("month_country", F.col("orders")).alias("country_orders"), of("month", split).alias("status"),
+                         of("month_country", split).alias("pivot"))
+    people = customer_groups(invoices).agg(
+        F.sum(F.when(F.col("segment").isNotNull(), F.col("revenue_cents"))).alias("segments"),
+        F.sum(F.when(F.col("segment").isNotNull(), F.col("customers"))).alias("customers"),
+        F.sum(F.when(F.col("segment").isNull(), F.col("customers"))).alias("cohorts"))
+    packed = {name: df.select(F.struct(*df.columns).alias("s")).scalar() for name, df in (("m", monthly), ("p", people))}
+    one = total.select("total", *[e.alias(name) for name, e in packed.items()]).select(
+        "total", *[f"m.{c}" for c in monthly.columns], *[f"p.{c}" for c in people.columns])
+    checks = {"monthly_revenue_vs_total": (money("monthly"), money("total")),
+              "country_orders_vs_monthly_orders": (F.col("country_orders"), F.col("monthly_orders")),
+              "segment_revenue_vs_total": (money("segments"), money("total")),
+              "status_revenue_vs_country_pivot": (money("status"), money("pivot")),
+              "cohort_sizes_vs_customers": (F.col("cohorts"), F.col("customers"))}
+    rows = [F.struct(F.lit(name).alias("check_name"), dround(detail.cast("double"), 2).alias("detail_total"),
+                     dround(summary.cast("double"), 2).alias("summary_total")) for name, (detail, summary) in checks.items()]
+    return (one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            .withColumn("difference", F.round(F.col("detail_total") - F.col("summary_total"), 6)))
+
+
+def customer_groups(invoices: DataFrame) -> DataFrame:
+    """``customers`` and ``revenue_cents`` by segment (``segment``), and again by
+    cohort (``first_month``, with a NULL segment), from one scan.
+
+    A segment needs the day after the last timestamp, which is known only when
+    all is read; so customers are first counted by the two numbers that decide
+    it, the last day and the orders up to ``ORDERS_THAT_MATTER``, whose groups
+    are bounded by the calendar, and the labels are given to those."""
+    customer = invoices.groupBy("customer_id").agg(
+        F.sum("revenue_cents").alias("revenue_cents"), F.least(F.count(F.lit(1)), F.lit(ORDERS_THAT_MATTER)).alias("orders"),
+        F.to_date(F.max("invoice_date")).alias("last_day"), F.min("month").alias("first_month"), F.max("last_ts").alias("last_ts"))
+    groups = (customer.groupingSets([["last_day", "orders"], ["first_month"]], "last_day", "orders", "first_month")
+              .agg(F.grouping("first_month").alias("by_day"), F.count(F.lit(1)).alias("customers"),
+                   F.sum("revenue_cents").alias("revenue_cents"), F.max("last_ts").alias("last_ts")))
+    as_of = F.date_add(F.to_date(F.max("last_ts").over(Window.partitionBy(F.lit(1)))), 1)
+    recency = F.datediff(as_of, "last_day")
+    return (groups.select("first_month", F.when(F.col("by_day") == 1, segment_expr(recency, "orders")).alias("segment"),
+                          "customers", "revenue_cents")
+            .groupBy("first_month", "segment")
+            .agg(F.sum("customers").alias("customers"), F.sum("revenue_cents").alias("revenue_cents")))

@@ -10,6 +10,7 @@ from tillpoint.operators import products as pr
 from tillpoint.operators import quality as q
 from tillpoint.operators import repair
 from tillpoint.operators import revenue as rv
+from tillpoint.operators import rollups as ru
 from tillpoint.operators.metrics import headline_metrics
 from tillpoint.plans.context import Ctx
 from tillpoint.sources.adapter import key_counts, orphan_lines
@@ -20,27 +21,6 @@ def _invoices_out(c: Ctx):
                              money("revenue_cents").alias("revenue"), "items")
 
 
-def _reconcile(c: Ctx):
-    total = c.lines.agg(money(F.sum("revenue_cents")).alias("v"))
-    monthly = rv.monthly_summary(c.invoices)
-    mc = rv.monthly_country(c.status)
-    seg = cu.rfm_segments(c.customers)
-    status = rv.status_by_month(c.status)
-    ret = cu.cohort_retention(c.invoices)
-    checks = {
-        "monthly_revenue_vs_total": (monthly.agg(F.sum("revenue")), total),
-        "country_orders_vs_monthly_orders": (mc.agg(F.sum("orders")), monthly.agg(F.sum("orders"))),
-        "segment_revenue_vs_total": (seg.agg(F.sum("observed_revenue")), total),
-        "status_revenue_vs_country_pivot": (
-            status.agg(F.sum("revenue")),
-            mc.agg(F.sum(F.col("first_observed_month_revenue") + F.col("returning_later_month_revenue")))),
-        "cohort_sizes_vs_customers": (
-            ret.where("month_index = 0").agg(F.sum("cohort_size")),
-            c.customers.agg(F.count(F.lit(1)))),
-    }
-    return q.reconcile(checks)
-
-
 def _fingerprint(c: Ctx):
     """Order-insensitive fingerprint of the raw extract.  A row is hashed with
     the place of each value, and a NULL is told from an empty text, so a value
@@ -70,6 +50,8 @@ QUERIES = {
     "returning_revenue": lambda c: rv.returning_revenue(c.status),
     "status_by_month": lambda c: rv.status_by_month(c.status),
     "monthly_country": lambda c: rv.monthly_country(c.status),
+    "sales_rollup": lambda c: ru.sales_rollup(c.activity),
+    "quarterly_customers": lambda c: ru.quarterly_customers(c.activity),
     "cohort_retention": lambda c: cu.cohort_retention(c.invoices),
     "cohort_matrix": lambda c: cu.cohort_matrix(cu.cohort_retention(c.invoices)),
     "cohort_next_month": lambda c: cu.cohort_next_month(cu.cohort_retention(c.invoices)),
@@ -98,7 +80,7 @@ QUERIES = {
     "dq_duplicate_sensitivity": lambda c: q.duplicate_sensitivity(c.raw),
     "dq_multi_timestamp_invoices": lambda c: q.multi_timestamp_invoices(c.invoice_facts, c.lines),
     "dq_chronology_inversions": lambda c: q.chronology_inversions(c.invoice_facts),
-    "dq_reconcile": _reconcile,
+    "dq_reconcile": lambda c: q.reconcile(c.lines, c.activity, c.invoice_facts),
     "table_fingerprint": _fingerprint,
     "assert_many_to_one": lambda c: key_counts(c.spark, c.sf_dir),
 }

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.operators import grains, quality, repair
+from tillpoint.operators import grains, quality, repair, rollups
 from tillpoint.session import apply_sql_conf
 from tillpoint.sources.adapter import read_extract
 from tillpoint.sources.extract import RAW_SCHEMA
@@ -26,9 +26,10 @@ class Ctx:
 
     @cached_property
     def extract(self) -> DataFrame:
-        """Raw extract plus its repaired line columns, staged once per input."""
+        """Raw extract plus its repaired line columns, staged once per input and
+        clustered by month, so that a date window reads its months alone."""
         return staged(self.spark, self.sf_dir,
-                      lambda: repair.repaired_extract(read_extract(self.spark, self.sf_dir)))
+                      lambda: repair.repaired_extract(read_extract(self.spark, self.sf_dir)), clustered_by="invoice_month")
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -52,6 +53,12 @@ class Ctx:
         return staged(self.spark, self.sf_dir, lambda: grains.invoice_full(self.lines), name="invoices",
                       check=lambda invoices: quality.validate(self.raw, invoices))
 
+    @cached_property
+    def activity(self) -> DataFrame:
+        """Customer bitmaps and sums by month and country, staged once per
+        input: every roll-up of months or countries reads it alone."""
+        return staged(self.spark, self.sf_dir, lambda: rollups.activity(self.invoices), name="activity")
+
     @cached_property
     def invoices(self) -> DataFrame:
         return self.invoice_facts.select(*grains.INVOICE_COLUMNS)

@@ -344,3 +344,19 @@ CROSS JOIN (SELECT {MLABEL('f.from_month')} AS focus_from_month, {MLABEL('f.to_m
                    {R(D(M('sum(CASE WHEN m.month = f.from_month THEN m.rc END)'), 'sum(CASE WHEN m.month = f.from_month THEN m.orders END)'), 2)} AS focus_from_aov,
                    {R(D(M('sum(CASE WHEN m.month = f.to_month THEN m.rc END)'), 'sum(CASE WHEN m.month = f.to_month THEN m.orders END)'), 2)} AS focus_to_aov
             FROM monthly m CROSS JOIN focus f GROUP BY f.from_month, f.to_month) fo""")
+
+q("sales_rollup", f"""
+SELECT CASE g WHEN 0 THEN 'month and country' WHEN 1 THEN 'month' WHEN 2 THEN 'country' ELSE 'all' END AS level,
+       {MLABEL('month')} AS month, country, active_customers, orders, units, {M('rc')} AS revenue,
+       {M('first_rc')} AS first_observed_month_revenue, {M('later_rc')} AS returning_later_month_revenue,
+       {R(D(M('rc'), 'orders'), 2)} AS aov
+FROM (SELECT grouping_id(month, country) AS g, month, country, count(DISTINCT customer_id) AS active_customers,
+             count(*) AS orders, CAST(sum(items) AS BIGINT) AS units, sum(revenue_cents) AS rc,
+             sum(CASE WHEN status = 'First observed month' THEN revenue_cents ELSE 0 END) AS first_rc,
+             sum(CASE WHEN status = 'Returning (later month)' THEN revenue_cents ELSE 0 END) AS later_rc
+      FROM status GROUP BY GROUPING SETS ((month, country), (month), (country), ())) t""")
+
+q("quarterly_customers", f"""
+SELECT CAST(year(month) AS BIGINT) AS year, CAST(quarter(month) AS BIGINT) AS quarter, country,
+       count(DISTINCT customer_id) AS active_customers, count(*) AS orders, {M('sum(revenue_cents)')} AS revenue
+FROM invoices GROUP BY year(month), quarter(month), country""")

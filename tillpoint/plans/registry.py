@@ -17,10 +17,11 @@ from tillpoint.plans import (
     oracle_forecasting,
     oracle_marts,
     oracle_ml,
+    views,
 )
 from tillpoint.plans.context import Ctx
 
-_PLAN_MODULES = [analytics, forecasting, ml, marts, dashboard]
+_PLAN_MODULES = [analytics, views, forecasting, ml, marts, dashboard]
 _ORACLE_MODULES = [oracle_analytics, oracle_forecasting, oracle_ml, oracle_marts, oracle_dashboard]
 
 
@@ -36,4 +37,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for m in _ORACLE_MODULES for k, sql in m.SQL.items()}
+    own = {k: sql for m in _ORACLE_MODULES for k, sql in m.SQL.items()}
+    return own | {name: own[key] for name, key in views.EQUALS.items()}

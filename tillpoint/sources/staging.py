@@ -8,6 +8,12 @@ checkpoint folder, named by a fingerprint of the input files, so a later
 application finds them and a changed input is staged again.  A table is
 written beside its place and renamed into it when complete.
 
+A table may be clustered by a column of few values (the extract: by month).
+Its rows are then rebalanced by that column before they are written to one
+folder for each value, so a filter on it prunes whole folders; a value that
+holds a large share of the rows is split over several tasks and files, by size
+and not by key, and small ones share a task.
+
 The tables are deliberately *not* bucketed by invoice.  Bucketing would let
 invoice-keyed aggregates skip their exchange, but a bucket is one scan
 task: an invoice (or a group of exact copies) holding a third of all lines
@@ -25,15 +31,18 @@ import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillpoint.session import shared_folder
 
 # Part of every staged name: raise it when the staged columns change.
-LAYOUT = 2
+LAYOUT = 3
 TABLES = ("orders", "lineitem", "part", "customer", "nation")
 
 _LOCKS: dict[tuple, threading.RLock] = defaultdict(threading.RLock)
 _STAGED: dict[tuple, str] = {}
+_SCHEMAS: dict[tuple, T.StructType] = {}
 _SHARED: dict[tuple, object] = {}
 _FINGERPRINTS: dict[tuple, str] = {}
 
@@ -44,7 +53,7 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Name of the input: its path plus each table's size and modification
     time, read through the Hadoop file system (any cluster storage).
     Listed once per application: the inputs are read-only while it runs."""
@@ -74,29 +83,47 @@ def clear_staged(spark: SparkSession) -> None:
     _STAGED.clear()
 
 
-def staged(spark: SparkSession, sf_dir: str, build, name: str = "extract", check=None) -> DataFrame:
+def _write(df: DataFrame, path: str, clustered_by: str | None) -> None:
+    if clustered_by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", F.col(clustered_by)).write.partitionBy(clustered_by).parquet(path)
+
+
+def staged(spark: SparkSession, sf_dir: str, build, name: str = "extract", check=None,
+           clustered_by: str | None = None) -> DataFrame:
     """The staged table ``name`` for ``sf_dir``; ``build()`` makes it unless
     this or an earlier application has.  ``check`` sees the written table
-    before it takes its place and may refuse it by raising."""
+    before it takes its place and may refuse it by raising.  A filter on
+    ``clustered_by`` reads only the folders it admits."""
     if not staging_enabled():
         return build()
-    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), name)
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir), name)
+
+    def read(path: str) -> DataFrame:
+        # A clustered table without rows has no file that tells its columns.
+        if clustered_by is None:
+            return spark.read.parquet(path)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = build().schema
+        return spark.read.schema(_SCHEMAS[key]).parquet(path).select(*_SCHEMAS[key].names)
+
     with _LOCKS[key]:
         if key not in _STAGED:
             place = f"{staged_folder(spark)}/{name}-{key[1]}"
             done, fs = _path(spark, f"{place}/_SUCCESS")
             if not fs.exists(done):
                 beside = f"{place}.{uuid.uuid4().hex}"
-                build().write.parquet(beside)
+                _write(build(), beside, clustered_by)
                 if check is not None:
-                    check(spark.read.parquet(beside))
+                    check(read(beside))
                 source, target = _path(spark, beside)[0], _path(spark, place)[0]
                 if not fs.rename(source, target) or fs.exists(_path(spark, f"{place}/{source.getName()}")[0]):
                     # Another application was first; its table is the same.
                     fs.delete(_path(spark, f"{place}/{source.getName()}")[0], True)
                     fs.delete(source, True)
             _STAGED[key] = place
-        return spark.read.parquet(_STAGED[key])
+        return read(_STAGED[key])
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build):
@@ -110,7 +137,7 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build):
     """
     if not staging_enabled():
         return build()
-    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), f"shared:{name}")
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir), f"shared:{name}")
     with _LOCKS[key]:
         if key not in _SHARED:
             _SHARED[key] = build()
