@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.sources.extract import RAW_SCHEMA, read_csv_extract
 from tillpoint.sources.io import read_csv_typed, read_metrics_json, write_mart, write_metrics_json
+from tillpoint.sources.publish import read_published
 
 
 def test_csv_mart_roundtrip(spark):
@@ -85,16 +86,16 @@ def test_exported_files_read_back_as_their_queries(spark, tmp_path):
     assert set(files) == {*exports.ANALYTICS, "verified_metrics"}
     queries = registry.queries()
     for name, query in exports.ANALYTICS.items():
-        back, want = spark.read.parquet(str(tmp_path / name)), queries[query](spark, SF001)
+        back, want = read_published(spark, str(tmp_path), name), queries[query](spark, SF001)
         assert back.columns == want.columns and back.count() == want.count()
         doubles = [f.name for f in want.schema.fields if f.dataType.typeName() == "double"]
         for c in doubles:
             a, b = back.agg(F.sum(c)).first()[0], want.agg(F.sum(c)).first()[0]
             assert abs(float(a or 0) - (b or 0)) <= 0.01 * want.count()
-    metrics = read_metrics_json(spark, str(tmp_path / "verified_metrics")).first()
+    metrics = read_published(spark, str(tmp_path), "verified_metrics").first()
     assert metrics.rows == queries["headline_metrics"](spark, SF001).first()["rows"]
     assert exports.export_bi_marts(spark, SF001, str(tmp_path / "bi"), ("sales", "cohort_month1")) == ["sales", "cohort_month1"]
-    sales = spark.read.option("header", True).csv(str(tmp_path / "bi" / "sales"))
+    sales = read_published(spark, str(tmp_path / "bi"), "sales")
     assert sales.count() == queries["mart_sales"](spark, SF001).count()
 
 

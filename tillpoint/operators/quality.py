@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions.columns import dround, money, segment_expr
+from tillpoint.functions.joins import many_to_one, unique_key  # noqa: F401  (checks that refuse, beside the others)
 from tillpoint.functions.ordering import count_order_inversions
 from tillpoint.sources.extract import RAW_SCHEMA, REQUIRED_COLUMNS
 
@@ -53,17 +54,6 @@ def validate(raw: DataFrame, invoices: DataFrame) -> None:
         raise ValueError(f"The extract breaks its contract: {bad}")
 
 
-def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` joined to ``right`` on ``key``, refused when a key of ``right``
-    stands more than once: the check runs with the join, on the key's rows."""
-    once = right.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in right.columns if c != key])
-    checked = once.withColumn(key, F.when(F.col("_n") > 1, F.raise_error(F.concat(
-        F.lit(f"Not many-to-one, {key} repeats: "), F.col(key).cast("string"))).cast(right.schema[key].dataType))
-        .otherwise(F.col(key)))
-    return left.join(checked.drop("_n"), key)
-
-
 def _null_counts() -> list:
     return [F.count_if(F.col("invoice_no").isNull()).cast("bigint").alias("null_invoice_no"),
             F.count_if(F.col("customer_id").isNull()).cast("bigint").alias("null_customer_id")]

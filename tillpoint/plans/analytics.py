@@ -13,6 +13,7 @@ from tillpoint.operators import revenue as rv
 from tillpoint.operators import rollups as ru
 from tillpoint.operators.metrics import headline_metrics
 from tillpoint.plans.context import Ctx
+from tillpoint.sources import quarantine
 from tillpoint.sources.adapter import key_counts, orphan_lines
 
 
@@ -38,6 +39,11 @@ def _headline(c: Ctx):
     return headline_metrics(c.raw, c.lines, c.invoice_facts)
 
 
+def _quarantine(c: Ctx):
+    """The split of the extract as it would be delivered, all values as texts."""
+    return quarantine.counts(quarantine.judged(c.raw.select(*[F.col(x).cast("string").alias(x) for x in c.raw.columns])))
+
+
 QUERIES = {
     "lines_repaired": lambda c: repair.public_view(c.lines),
     "invoices": _invoices_out,
@@ -75,6 +81,7 @@ QUERIES = {
     "dq_functional_dependency": lambda c: q.functional_dependency(c.invoice_facts),
     "dq_orphan_lines": lambda c: orphan_lines(c.spark, c.sf_dir),
     "dq_violations": lambda c: q.violations(c.raw, c.invoice_facts),
+    "dq_quarantine": _quarantine,
     "dq_date_bounds": lambda c: q.date_bounds(c.lines),
     "dq_repair_summary": lambda c: q.repair_summary(c.invoice_facts, c.lines),
     "dq_duplicate_sensitivity": lambda c: q.duplicate_sensitivity(c.raw),

@@ -29,7 +29,8 @@ class Ctx:
         """Raw extract plus its repaired line columns, staged once per input and
         clustered by month, so that a date window reads its months alone."""
         return staged(self.spark, self.sf_dir,
-                      lambda: repair.repaired_extract(read_extract(self.spark, self.sf_dir)), clustered_by="invoice_month")
+                      lambda: repair.repaired_extract(read_extract(self.spark, self.sf_dir, many_to_one=True)),
+                      clustered_by="invoice_month")
 
     @cached_property
     def raw(self) -> DataFrame:

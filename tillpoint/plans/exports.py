@@ -1,4 +1,6 @@
-"""Export jobs: the published marts, the metrics document and the forecast facts."""
+"""Export jobs: the published marts, the metrics document and the forecast
+facts.  Each job publishes one set (``sources.publish``): readers see all of
+its files or those of the set before."""
 
 from __future__ import annotations
 
@@ -6,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from tillpoint.plans import analytics, forecasting, marts, ml
 from tillpoint.plans.context import Ctx
-from tillpoint.sources.io import write_mart, write_metrics_json
+from tillpoint.sources.publish import Table, publish
 
 # file name -> query
 ANALYTICS = {
@@ -25,31 +27,31 @@ TREES = {
 }
 
 
-def _write(c: Ctx, queries: dict, files: dict[str, str], out: str, fmt: str, money_digits: int | None = None) -> list[str]:
-    for name, query in files.items():
-        write_mart(queries[query](c), f"{out.rstrip('/')}/{name}", fmt=fmt, money_digits=money_digits)
-    return list(files)
+def _tables(c: Ctx, queries: dict, files: dict[str, str], fmt: str, money_digits: int | None = None) -> dict[str, Table]:
+    return {name: Table(queries[query](c), fmt, money_digits=money_digits) for name, query in files.items()}
+
+
+def _published(spark: SparkSession, tables: dict[str, Table], out: str) -> list[str]:
+    publish(spark, tables, out)
+    return list(tables)
 
 
 def export_analytics(spark: SparkSession, sf_dir: str, out: str, fmt: str = "csv") -> list[str]:
     """The eight marts, with money to the cent, and the headline metrics."""
     c = Ctx(spark, sf_dir)
-    done = _write(c, analytics.QUERIES, ANALYTICS, out, fmt, money_digits=2)
-    write_metrics_json(analytics.QUERIES["headline_metrics"](c), f"{out.rstrip('/')}/verified_metrics")
-    return [*done, "verified_metrics"]
+    tables = _tables(c, analytics.QUERIES, ANALYTICS, fmt, money_digits=2)
+    return _published(spark, tables | {"verified_metrics": Table(analytics.QUERIES["headline_metrics"](c), "json")}, out)
 
 
 def export_forecasts(spark: SparkSession, sf_dir: str, out: str, fmt: str = "csv") -> list[str]:
-    return _write(Ctx(spark, sf_dir), forecasting.QUERIES, STATISTICAL, out, fmt)
+    return _published(spark, _tables(Ctx(spark, sf_dir), forecasting.QUERIES, STATISTICAL, fmt), out)
 
 
 def export_trees(spark: SparkSession, sf_dir: str, out: str, fmt: str = "csv") -> list[str]:
-    return _write(Ctx(spark, sf_dir), ml.QUERIES, TREES, out, fmt)
+    return _published(spark, _tables(Ctx(spark, sf_dir), ml.QUERIES, TREES, fmt), out)
 
 
 def export_bi_marts(spark: SparkSession, sf_dir: str, out: str, names: tuple[str, ...] = tuple(marts.PUBLISHED)) -> list[str]:
     """The typed BI marts as compressed CSV."""
     c = Ctx(spark, sf_dir)
-    for name in names:
-        write_mart(marts.PUBLISHED[name](c), f"{out.rstrip('/')}/{name}", fmt="csv", compression="gzip", money_digits=2)
-    return list(names)
+    return _published(spark, {name: Table(marts.PUBLISHED[name](c), "csv", "gzip", 2) for name in names}, out)

@@ -360,3 +360,12 @@ q("quarterly_customers", f"""
 SELECT CAST(year(month) AS BIGINT) AS year, CAST(quarter(month) AS BIGINT) AS quarter, country,
        count(DISTINCT customer_id) AS active_customers, count(*) AS orders, {M('sum(revenue_cents)')} AS revenue
 FROM invoices GROUP BY year(month), quarter(month), country""")
+
+q("dq_quarantine", """
+SELECT count(*) AS rows, count(*) FILTER (WHERE reasons = 0) AS accepted, count(*) FILTER (WHERE reasons > 0) AS refused,
+       CAST(sum(reasons) AS BIGINT) AS reasons
+FROM (SELECT CAST(invoice_no IS NULL AS INTEGER) + CAST(customer_id IS NULL AS INTEGER)
+             + CAST(invoice_date_text IS NULL AS INTEGER)
+             + CAST(invoice_date_text IS NOT NULL AND try_strptime(invoice_date_text, '%Y-%m-%d %H:%M:%S') IS NULL AS INTEGER)
+             + CAST(coalesce(quantity <= 0, FALSE) AS INTEGER) + CAST(coalesce(unit_price <= 0, FALSE) AS INTEGER) AS reasons
+      FROM raw) t""")

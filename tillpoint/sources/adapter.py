@@ -21,24 +21,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.functions.columns import TS_FORMAT, swap_day_month
+from tillpoint.functions.joins import unique_key
 from tillpoint.sources.extract import RAW_SCHEMA
 
 
+# The tables that lines are joined to, and their keys.
+KEYS = {"orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey", "nation": "n_nationkey"}
+
+
 def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-def read_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_extract(spark: SparkSession, sf_dir: str, many_to_one: bool = False) -> DataFrame:
     """Raw 13-column extract built from the test tables.
 
     Joins lineitem x part on part key, orders x (customer x nation) on
     customer key, then the two on order key.  Only ``nation`` (25 rows by
     definition) is broadcast explicitly; AQE decides for the others from
-    their measured sizes.  Lines without their order, part, customer or
+    their measured sizes.  With ``many_to_one`` a key that repeats in orders,
+    part, customer or nation fails the load; else it repeats lines.  Lines without their order, part, customer or
     nation have no invoice and are left out; ``orphan_lines`` counts them.
     ``product_line`` follows the 13 columns of the contract.
     """
-    t = load_tables(spark, sf_dir, "orders", "lineitem", "part", "customer", "nation")
+    t = load_tables(spark, sf_dir, "lineitem", *KEYS)
+    if many_to_one:
+        t |= {name: unique_key(t[name], key) for name, key in KEYS.items()}
     nation = t["nation"].select("n_nationkey", F.col("n_name").alias("country"))
     customer = (t["customer"].select(F.col("c_custkey").alias("customer_id"), "c_nationkey")
                 .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -95,10 +103,9 @@ def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each table that lines are joined to: its rows, its distinct keys, and
     the keys that stand more than once (a many-to-one join needs none)."""
-    keys = {"orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey", "nation": "n_nationkey"}
-    tables = load_tables(spark, sf_dir, *keys)
+    tables = load_tables(spark, sf_dir, *KEYS)
     out = None
-    for table, key in keys.items():
+    for table, key in KEYS.items():
         one = (tables[table].groupBy(key).agg(F.count(F.lit(1)).alias("n"))
                .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("right_rows"),
                     F.count(key).alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"))

@@ -47,7 +47,7 @@ _SHARED: dict[tuple, object] = {}
 _FINGERPRINTS: dict[tuple, str] = {}
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """A Hadoop path and its file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -62,7 +62,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
         if key not in _FINGERPRINTS:
             h = hashlib.sha256(f"{LAYOUT}:{sf_dir.rstrip('/')}".encode())
             for t in TABLES:
-                path, fs = _path(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+                path, fs = hadoop_path(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
                 h.update(f"{t}:{fs.getContentSummary(path).getLength()}:{fs.getFileStatus(path).getModificationTime()}".encode())
             _FINGERPRINTS[key] = h.hexdigest()[:24]
         return _FINGERPRINTS[key]
@@ -78,7 +78,7 @@ def staged_folder(spark: SparkSession) -> str:
 
 def clear_staged(spark: SparkSession) -> None:
     """Remove every staged table of this checkpoint folder."""
-    path, fs = _path(spark, staged_folder(spark))
+    path, fs = hadoop_path(spark, staged_folder(spark))
     fs.delete(path, True)
     _STAGED.clear()
 
@@ -111,16 +111,16 @@ def staged(spark: SparkSession, sf_dir: str, build, name: str = "extract", check
     with _LOCKS[key]:
         if key not in _STAGED:
             place = f"{staged_folder(spark)}/{name}-{key[1]}"
-            done, fs = _path(spark, f"{place}/_SUCCESS")
+            done, fs = hadoop_path(spark, f"{place}/_SUCCESS")
             if not fs.exists(done):
                 beside = f"{place}.{uuid.uuid4().hex}"
                 _write(build(), beside, clustered_by)
                 if check is not None:
                     check(read(beside))
-                source, target = _path(spark, beside)[0], _path(spark, place)[0]
-                if not fs.rename(source, target) or fs.exists(_path(spark, f"{place}/{source.getName()}")[0]):
+                source, target = hadoop_path(spark, beside)[0], hadoop_path(spark, place)[0]
+                if not fs.rename(source, target) or fs.exists(hadoop_path(spark, f"{place}/{source.getName()}")[0]):
                     # Another application was first; its table is the same.
-                    fs.delete(_path(spark, f"{place}/{source.getName()}")[0], True)
+                    fs.delete(hadoop_path(spark, f"{place}/{source.getName()}")[0], True)
                     fs.delete(source, True)
             _STAGED[key] = place
         return read(_STAGED[key])
