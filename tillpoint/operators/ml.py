@@ -10,6 +10,8 @@ every anchor sees only weeks strictly before it.
 from __future__ import annotations
 
 import datetime
+import hashlib
+import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -38,6 +40,8 @@ GBT_PARAMS = dict(maxIter=170, maxDepth=4, stepSize=0.055, subsamplingRate=0.9,
 # Candidate splits of a feature, and the statistics a tree level may hold.
 MAX_BINS = 64
 MAX_MEMORY_MB = 128
+# A fit stage has a task for so many training rows, and two at least.
+ROWS_PER_FIT_TASK = 8_000
 FIT_PARTITIONS = 2
 
 
@@ -143,6 +147,20 @@ def rescale(scored: DataFrame) -> DataFrame:
     return scored.withColumn("forecast", F.greatest(F.lit(0.0), F.col("prediction")) * F.col("scale"))
 
 
+def fit_partitions(rows: int) -> int:
+    """Tasks of a fit stage over a panel of ``rows``: by the rows alone, so that
+    a fit does not depend on the cluster it runs on."""
+    return max(FIT_PARTITIONS, math.ceil(rows / ROWS_PER_FIT_TASK))
+
+
+def model_key(method: str) -> str:
+    """Names the model that ``method`` fits: all that decides its predictions
+    but the panel."""
+    params = dict(RF_PARAMS if method == "random_forest" else GBT_PARAMS)
+    said = repr((sorted(params.items()), SEED, MAX_BINS, LABEL_CAP, ALL_WEIGHT, FEATURE_NAMES, ROWS_PER_FIT_TASK))
+    return hashlib.sha256(said.encode()).hexdigest()[:12]
+
+
 def ml_forecasts(panel: DataFrame, origin: datetime.date, method: str,
                  train_partitions: int = FIT_PARTITIONS, **overrides) -> DataFrame:
     """Fit on the panel before ``origin`` and forecast the 4 weeks from it, for

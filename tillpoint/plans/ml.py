@@ -15,15 +15,11 @@ from tillpoint.operators import ml
 from tillpoint.plans.context import Ctx
 from tillpoint.plans.forecasting import (cal, folds, materialized, memo, names, origins, selection,
                                          stat_forecasts, top)
+from tillpoint.sources.staging import staged
 
 ALL_METHODS = fc.METHODS + ml.ML_METHODS
 
 
-# Fits in flight: each is a chain of small jobs with its own bounded memory,
-# and waits for the driver more than for tasks.
-MAX_FITS = 12
-
-
 def pool_weekly(c: Ctx) -> DataFrame:
     return materialized(c, "pool_weekly", lambda: fc.weekly_units(c.series_lines, cal(c), fc.pool_codes(selection(c))))
 
@@ -37,17 +33,35 @@ def reported_series(c: Ctx) -> DataFrame:
     return s.unionByName(c.spark.createDataFrame([(fc.ALL_SERIES,)], "series string"))
 
 
+def fits_in_flight(c: Ctx, partitions: int, fits: int) -> int:
+    """Fits that run side by side: each is a chain of small stages that keeps
+    its tasks busy about half the time, with bounded memory of its own."""
+    return min(fits, max(1, 2 * c.spark.sparkContext.defaultParallelism // partitions))
+
+
+def tree_tasks(c: Ctx) -> list[tuple]:
+    return [(o[0], m) for o in cal(c).origin_rows() for m in ml.ML_METHODS]
+
+
+def stored_forecasts(c: Ctx, panel_df: DataFrame, partitions: int, origin, method: str) -> DataFrame:
+    """The forecasts of one fit from the prediction store, a staged table for
+    each (input, origin, model): a fit that an earlier application completed is
+    read, so a restarted driver goes on where the last one stopped."""
+    return staged(c.spark, c.sf_dir, lambda: ml.ml_forecasts(panel_df, origin, method, partitions),
+                  name=f"trees-{method}-{ml.model_key(method)}-{origin:%Y%m%d}")
+
+
 def pool_forecasts(c: Ctx) -> DataFrame:
-    """Tree forecasts of the whole pool at every origin, written once per input
-    and application.  A bounded number of fits run side by side."""
+    """Tree forecasts of the whole pool at every origin.  A bounded number of
+    fits run side by side."""
     return materialized(c, "pool_forecasts", lambda: _pool_forecasts(c))
 
 
 def _pool_forecasts(c: Ctx) -> DataFrame:
     p = materialized(c, "panel", lambda: panel(c))  # every fit reads it
-    tasks = [(o[0], m) for o in cal(c).origin_rows() for m in ml.ML_METHODS]
-    with ThreadPoolExecutor(max_workers=MAX_FITS) as pool:
-        tree = list(pool.map(lambda task: ml.ml_forecasts(p, *task), tasks))
+    partitions, tasks = ml.fit_partitions(p.count()), tree_tasks(c)
+    with ThreadPoolExecutor(max_workers=fits_in_flight(c, partitions, len(tasks))) as pool:
+        tree = list(pool.map(lambda task: stored_forecasts(c, p, partitions, *task), tasks))
     return reduce(DataFrame.unionByName, tree).join(F.broadcast(origins(c)), "origin").select(
         "series", "origin", "kind", "fold", "horizon", "week_start", "method", "prediction", "scale", "forecast")
 

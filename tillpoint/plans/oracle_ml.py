@@ -105,3 +105,61 @@ SELECT week_start, CAST(first(actual) AS DOUBLE) AS actual_units,
        {R("max(CASE WHEN method = 'four_week_repeat' THEN forecast END)", 6)} AS repeat_forecast,
        {R("max(CASE WHEN method = 'eight_week_damped_trend' THEN forecast END)", 6)} AS damped_forecast
 FROM fca_top WHERE kind = 'test' AND series = 'All products' GROUP BY week_start""")
+
+
+# The tree comparison over stored predictions.  The models themselves are not
+# SQL; their forecasts are a table of the prediction store, and all that the
+# comparison does with it is.  The caller registers that table as the view
+# ``stored`` (series, origin, horizon, week_start, method, forecast).
+cte("fca_all", """
+  SELECT series, origin, kind, method, week_start, forecast, actual FROM fca_top
+  UNION ALL
+  SELECT s.series, s.origin, o.kind, s.method, s.week_start, s.forecast, w.units
+  FROM stored s JOIN origins o ON o.origin = s.origin
+  JOIN weekly_top w ON w.series = s.series AND w.week_start = s.week_start""")
+
+_WAPE = "CASE WHEN {at} <> 0 THEN 100.0 * {ae} / {at} END"
+
+cte("folds_all", f"""
+  SELECT series, origin, method, ae AS absolute_error, total AS actual_total, {_WAPE.format(ae="ae", at="total")} AS wape
+  FROM (SELECT series, origin, method, sum(abs(actual - forecast)) AS ae, CAST(sum(abs(actual)) AS DOUBLE) AS total
+        FROM fca_all WHERE kind = 'validation' GROUP BY series, origin, method) t""")
+
+cte("scores_all", f"""
+  SELECT series, method, ae AS absolute_error, total AS actual_total, {_WAPE.format(ae="ae", at="total")} AS validation_wape
+  FROM (SELECT series, method, sum(absolute_error) AS ae, sum(actual_total) AS total
+        FROM folds_all GROUP BY series, method) t""")
+
+cte("chosen_all", """
+  SELECT series, method, validation_wape FROM scores_all
+  QUALIFY row_number() OVER (PARTITION BY series ORDER BY validation_wape NULLS LAST, list_position(
+    ['four_week_mean', 'four_week_repeat', 'eight_week_damped_trend', 'random_forest', 'xgboost'], method)) = 1""")
+
+cte("holdout_all", f"""
+  SELECT t.series, n.product, t.method, s.validation_wape, {_WAPE.format(ae="ae", at="total")} AS holdout_wape,
+         total AS actual_total, forecast_total, t.method = c.method AS selected_by_validation
+  FROM (SELECT series, method, sum(abs(actual - forecast)) AS ae, CAST(sum(abs(actual)) AS DOUBLE) AS total,
+               sum(forecast) AS forecast_total
+        FROM fca_all WHERE kind = 'test' GROUP BY series, method) t
+  JOIN scores_all s ON s.series = t.series AND s.method = t.method
+  JOIN chosen_all c ON c.series = t.series JOIN names n ON n.series = t.series""")
+
+STORED_SQL = {
+    "ml_backtest": with_ctes("""
+SELECT f.series, n.product, f.origin, f.method, f.absolute_error, f.actual_total, f.wape
+FROM folds_all f JOIN names n USING (series)"""),
+    "ml_scores": with_ctes("SELECT * FROM scores_all"),
+    "ml_selection": with_ctes("""
+SELECT c.series, n.product, c.method AS selected_by_validation, c.validation_wape
+FROM chosen_all c JOIN names n USING (series)"""),
+    "ml_holdout": with_ctes("SELECT * FROM holdout_all"),
+    "ml_vs_baseline": with_ctes("""
+SELECT h.series, h.product, h.method AS selected_method, h.holdout_wape AS selected_holdout_wape,
+       b.holdout_wape AS baseline_holdout_wape, h.holdout_wape - b.holdout_wape AS wape_change
+FROM holdout_all h JOIN holdout_all b ON b.series = h.series AND b.method = 'four_week_mean'
+WHERE h.selected_by_validation"""),
+    "ml_holdout_weeks": with_ctes("""
+SELECT a.series, n.product, a.week_start, a.method, CAST(a.actual AS DOUBLE) AS actual_units,
+       a.forecast AS forecast_units, a.method = c.method AS selected_by_validation
+FROM fca_all a JOIN chosen_all c ON c.series = a.series JOIN names n ON n.series = a.series WHERE a.kind = 'test'"""),
+}
