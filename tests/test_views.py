@@ -83,7 +83,7 @@ def test_cube_is_one_scan_of_the_activity(spark):
     assert len(scans(df)) == 1 and "Expand" in text and "revenue_cents" in next(iter(scans(df)))
 
 
-@pytest.mark.parametrize("key,most", [("dq_reconcile", 3), ("headline_metrics", 5), ("quarterly_customers", 1)])
+@pytest.mark.parametrize("key,most", [("dq_reconcile", 3), ("headline_metrics", 5), ("quarterly_customers", 1), ("product_summary", 1)])
 def test_scans(spark, key, most):
     df = registry.queries()[key](spark, SF001)
     df.collect()
@@ -137,3 +137,12 @@ def test_a_hot_month_is_split_over_files(spark, tmp_path):
     assert back.count() == 400_000
     files = [f for f in back.inputFiles() if "2020-01-01" in f]
     assert len(files) >= 3
+
+
+def test_labels(spark):
+    from tillpoint.functions.columns import label_number, plain_label, relabelled
+    rows = spark.createDataFrame([(" 2011-09 ",), ("x",), (None,), ("a_b_c",)], "t string").select(
+        label_number("t", 1, 4).alias("y"), label_number("t", -2, 2).alias("m"), plain_label("t").alias("p"),
+        relabelled("t", {"x": "known"}).alias("r")).collect()
+    assert [tuple(r) for r in rows] == [(2011, 9, "2011-09", " 2011-09 "), (None, None, "x", "known"), (None,) * 4,
+                                        (None, None, "a b c", "a_b_c")]

@@ -64,11 +64,6 @@ def swap_day_month(ts: str | Column) -> Column:
     return F.when(swap, swapped).otherwise(t)
 
 
-def is_swappable(ts: str | Column) -> Column:
-    t = col(ts)
-    return (F.dayofmonth(t) <= 12) & (F.month(t) <= 12) & (F.dayofmonth(t) != F.month(t))
-
-
 def month_start(ts: str | Column) -> Column:
     """DATE of the first day of the month."""
     return F.trunc(F.to_date(col(ts)), "MM")
@@ -119,3 +114,19 @@ def customer_status(month: str | Column, first_month: str | Column) -> Column:
 def wape_expr(abs_error_sum: Column, actual_sum: Column) -> Column:
     """100 * sum|a-p| / sum|a|; NULL when the denominator is 0."""
     return F.when(actual_sum != 0, F.lit(100.0) * abs_error_sum / actual_sum)
+
+
+def label_number(c: str | Column, start: int, length: int) -> Column:
+    """The number in part of a label; ``start`` counts from 1, or from the end
+    if negative.  Surrounding blanks do not count; no number there is NULL."""
+    return F.substring(F.trim(col(c)), start, length).try_cast("int")
+
+
+def plain_label(c: str | Column) -> Column:
+    """A label for people: trimmed, with spaces for underscores."""
+    return F.replace(F.trim(col(c)), F.lit("_"), F.lit(" "))
+
+
+def relabelled(c: str | Column, labels: dict[str, str]) -> Column:
+    """``labels`` of the values that have one, all other values as they are."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), col(c)), col(c))

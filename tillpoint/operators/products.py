@@ -40,20 +40,26 @@ def product_modal_description(lines: DataFrame, empty: str = "") -> DataFrame:
 
 
 def product_summary(lines: DataFrame) -> DataFrame:
-    """Totals and modal description of every stock code, from one pass over
-    the lines: both sides start from the same (stock, invoice, description)
-    counts."""
+    """Totals and modal description of every stock code, from one scan of the
+    lines: their (stock, invoice, description) counts are rolled up to invoices
+    and to descriptions by grouping sets, and both meet again by stock code."""
     sid = (lines.groupBy("stock_code", "invoice_no", "description")
            .agg(F.sum("quantity").alias("q"), F.sum("revenue_cents").alias("rc"), F.count(F.lit(1)).alias("n")))
-    si = sid.groupBy("stock_code", "invoice_no").agg(
-        F.sum("q").alias("q"), F.sum("rc").alias("rc"), F.sum("n").alias("n"))
-    p = si.groupBy("stock_code").agg(
-        F.sum("rc").alias("rc"), F.sum("q").cast("bigint").alias("units"),
-        F.sum("n").alias("line_items"), F.count(F.lit(1)).alias("orders"))
-    names = _modal(sid.groupBy("stock_code", "description").agg(F.sum("n").alias("n")))
-    return (p.join(names, "stock_code")
-            .select("stock_code", money("rc").alias("revenue"), "units", "line_items",
-                    "orders", F.coalesce("description", F.lit("")).alias("description")))
+    sets = (sid.groupingSets([["stock_code", "invoice_no"], ["stock_code", "description"]],
+                             "stock_code", "invoice_no", "description")
+            .agg((F.grouping("description") == 1).alias("of_invoice"), F.sum("q").alias("q"), F.sum("rc").alias("rc"),
+                 F.sum("n").alias("n")))
+    # Most frequent first, then the smallest; NULL only where there is no other.
+    rank = F.struct(F.col("description").isNull().alias("none"), (-F.col("n")).alias("n"), F.col("description").alias("d"))
+
+    def over_invoices(c: str) -> Column:
+        return F.sum(F.when(F.col("of_invoice"), F.col(c)))
+
+    p = sets.groupBy("stock_code").agg(
+        over_invoices("rc").alias("rc"), over_invoices("q").cast("bigint").alias("units"), over_invoices("n").alias("line_items"),
+        F.count_if("of_invoice").alias("orders"), F.min(F.when(~F.col("of_invoice"), rank)).alias("modal"))
+    return p.select("stock_code", money("rc").alias("revenue"), "units", "line_items", "orders",
+                    F.coalesce("modal.d", F.lit("")).alias("description"))
 
 
 def top_products_named(lines: DataFrame, n: int = 6) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.functions.columns import (STATUS_FIRST, STATUS_RETURNING, dround, money,
-                                         month_label, safe_div)
+from tillpoint.functions.columns import (STATUS_FIRST, STATUS_RETURNING, dround, label_number, money,
+                                         month_label, plain_label, relabelled, safe_div)
 
 
 def _global(order_col: str) -> Window:
@@ -141,3 +141,29 @@ def monthly_country(status_df: DataFrame) -> DataFrame:
         money("first_rc").alias("first_observed_month_revenue"),
         money("later_rc").alias("returning_later_month_revenue"),
         dround(safe_div(rev, "orders"), 2).alias("aov"))
+
+
+def months_between(monthly: DataFrame, first: str | Column, last: str | Column) -> DataFrame:
+    """The months from ``first`` to ``last``, both included; labels ``yyyy-MM``
+    sort as the months do."""
+    return monthly.where(F.col("month").between(first, last))
+
+
+def months_in(monthly: DataFrame, months: list) -> DataFrame:
+    """The months whose labels are listed."""
+    return monthly.where(F.col("month").isin(*months))
+
+
+def focus_labels(invoices_df: DataFrame) -> tuple[Column, Column]:
+    """The labels of the two focus months, as scalar subqueries."""
+    fm = focus_months(invoices_df)
+    return tuple(fm.select(month_label(c).alias("m")).scalar() for c in ("from_month", "to_month"))
+
+
+def labelled_months(monthly: DataFrame) -> DataFrame:
+    """Months taken apart by their labels."""
+    return monthly.select("month", label_number("month", 1, 4).alias("year"), label_number("month", -2, 2).alias("month_number"),
+                          relabelled(F.col("complete_month").cast("string"), {"true": "complete_month", "false": "partial_month"})
+                          .alias("status"),
+                          plain_label(relabelled(F.col("complete_month").cast("string"), {
+                              "true": "complete_month", "false": "partial_month"})).alias("status_label"))

@@ -52,6 +52,9 @@ QUERIES = {
         money("revenue_cents").alias("revenue"), "items", "first_observed_month", "status"),
     "revenue_decomposition": lambda c: rv.revenue_decomposition(c.lines),
     "monthly_summary": lambda c: rv.monthly_summary(c.invoices),
+    "focus_range": lambda c: rv.months_between(rv.monthly_summary(c.invoices), *rv.focus_labels(c.invoices)),
+    "focus_months_listed": lambda c: rv.months_in(rv.monthly_summary(c.invoices), rv.focus_labels(c.invoices)),
+    "labelled_months": lambda c: rv.labelled_months(rv.monthly_summary(c.invoices)),
     "period_comparison": lambda c: rv.period_comparison(c.invoices),
     "returning_revenue": lambda c: rv.returning_revenue(c.status),
     "status_by_month": lambda c: rv.status_by_month(c.status),

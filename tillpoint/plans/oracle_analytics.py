@@ -43,6 +43,26 @@ SELECT {MLABEL('month')} AS month, {M('rc')} AS revenue, orders, active_customer
        (month <> min(month) OVER () AND month <> max(month) OVER ()) AS complete_month
 FROM monthly""")
 
+_MONTHS = f"""
+SELECT {MLABEL('month')} AS month, {M('rc')} AS revenue, orders, active_customers, units,
+       {R(D(M('rc'), 'orders'), 2)} AS aov, CAST(year(month) AS BIGINT) AS year,
+       (month <> min(month) OVER () AND month <> max(month) OVER ()) AS complete_month
+FROM monthly"""
+
+q("focus_range", f"""
+SELECT t.* FROM ({_MONTHS}) t
+WHERE t.month BETWEEN (SELECT {MLABEL('from_month')} FROM focus) AND (SELECT {MLABEL('to_month')} FROM focus)""")
+
+q("focus_months_listed", f"""
+SELECT t.* FROM ({_MONTHS}) t
+WHERE t.month IN ((SELECT {MLABEL('from_month')} FROM focus), (SELECT {MLABEL('to_month')} FROM focus))""")
+
+q("labelled_months", f"""
+SELECT t.month, CAST(t.month[1:4] AS INTEGER) AS year, CAST(t.month[6:7] AS INTEGER) AS month_number,
+       CASE WHEN t.complete_month THEN 'complete_month' ELSE 'partial_month' END AS status,
+       CASE WHEN t.complete_month THEN 'complete month' ELSE 'partial month' END AS status_label
+FROM ({_MONTHS}) t""")
+
 q("period_comparison", f"""
 SELECT {MLABEL('from_month')} AS from_month, {MLABEL('to_month')} AS to_month, metric,
        {R('from_value', 2)} AS from_value, {R('to_value', 2)} AS to_value,
