@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy and exact code lengths."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,3 +90,27 @@ def test_sample_of_long_and_of_repeated_texts(spark):
     starts = {t[:2000] for lang, t in rows if lang == "fr"}
     assert len(got["fr"]) == 2 and set(got["fr"]) <= starts
     assert len(got["en"]) == len(set(got["en"])) == 10
+
+
+def test_blocks_give_the_same_code_lengths(monkeypatch):
+    """Texts across, at and far over block borders, empty ones among them."""
+    rnd = random.Random(5)
+    trees = lid.fit({"a": ["abc abd " * 30, "cab dab"], "b": ["xyz zyx " * 30], "c": ["abc xyz é"]})
+    texts = ["".join(rnd.choice("abcdxyzé \n") for _ in range(n)).encode() for n in (0, 1, 2, 3, 0, 50, 7, 8, 0, 0, 200, 1, 0)]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = trees.code_lengths(data, starts)
+    for k, t in enumerate(texts):
+        alone = trees.code_lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert np.allclose(whole[k], alone[0])
+    for block in (1, 2, 3, 4, 7, 8, 64):
+        monkeypatch.setattr(lid, "BLOCK_BYTES", block)
+        assert np.allclose(trees.code_lengths(data, starts), whole)
+
+
+def test_bytes_of_sliced_and_null_texts():
+    import pyarrow as pa
+    column = pa.array(["skip", None, "é1", "", "abc"], pa.string()).slice(1)
+    data, starts = lid._bytes_of(column)
+    assert [bytes(data[a:b]) for a, b in zip(starts[:-1], starts[1:])] == [b"", "é1".encode(), b"", b"abc"]
+    assert lid._bytes_of(pa.array([None, None], pa.string()))[1].tolist() == [0, 0, 0]
+    assert [lid._has_letter(np.frombuffer(t.encode(), np.uint8)) for t in ("12 é", "1 2!", "", "x")] == [True, False, False, True]

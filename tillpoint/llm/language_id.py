@@ -23,11 +23,13 @@ are predicted each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ ORDER = 3
 SAMPLE_BYTES = 400_000
 SAMPLE_TEXT_BYTES = 40_000
 UNDETERMINED = "und"
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 SLICE_BYTES = 4 << 20
+BLOCK_BYTES = 256 << 10
 
 
 @dataclass
@@ -55,23 +59,29 @@ class Trees:
         return int(self.symbol.max()) + 2  # and the one before the start of a text
 
     def code_lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Bits of each text under each language; text k is data[starts[k]:starts[k + 1]]."""
-        if not len(data):
-            return np.zeros((len(starts) - 1, len(self.languages)))
-        sym = self.symbol[data]
-        context = np.zeros(len(sym), np.int32)
-        first = starts[:-1]
-        for back in range(ORDER, 0, -1):
-            before = np.empty_like(sym)
-            before[back:] = sym[:-back]
-            for k in range(back):  # places with fewer than `back` bytes before them
-                at = first + k
-                before[at[at < len(sym)]] = self.symbols - 1
-            context = context * np.int32(self.symbols) + before
-        bits = self.bits[self.row_of[context] * self.symbols + sym]
-        full = np.flatnonzero(np.diff(starts))
+        """Bits of each text under each language; text k is data[starts[k]:starts[k + 1]].
+
+        Works on ``BLOCK_BYTES`` at a time, each with the bytes before it that
+        its contexts need, and adds up the parts of a text."""
         out = np.zeros((len(starts) - 1, len(self.languages)))
-        out[full] = np.add.reduceat(bits, starts[:-1][full], axis=0, dtype=np.float64)
+        for a in range(0, len(data), BLOCK_BYTES):
+            b = min(len(data), a + BLOCK_BYTES)
+            back = min(a, ORDER)
+            sym = self.symbol[data[a - back: b]]
+            first = starts[np.searchsorted(starts, a - back): np.searchsorted(starts, b)] - (a - back)
+            context = np.zeros(b - a, np.int32)
+            for far in range(ORDER, 0, -1):
+                before = np.full(len(sym), self.symbols - 1, np.int32)
+                before[far:] = sym[:-far]
+                for k in range(far):  # places with fewer than `far` bytes before them
+                    at = first + k
+                    before[at[at < len(sym)]] = self.symbols - 1
+                context = context * np.int32(self.symbols) + before[back:]
+            bits = self.bits[self.row_of[context] * self.symbols + sym[back:]]
+            # Texts with bytes in this block, and where each begins in it.
+            texts = np.arange(np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b))
+            texts = texts[starts[texts + 1] > np.maximum(starts[texts], a)]
+            out[texts] += np.add.reduceat(bits, np.maximum(starts[texts], a) - a, axis=0, dtype=np.float64)
         return out
 
 
@@ -166,6 +176,21 @@ def sample(labelled: DataFrame, most_bytes: int = SAMPLE_BYTES, longest: int = S
     return out
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, without a copy, and where each text's begin; a
+    null text has none."""
+    whole = pc.fill_null(texts, "").cast(pa.large_binary())
+    starts = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset: whole.offset + len(whole) + 1]
+    held = whole.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[starts[0]: starts[-1]] if held is not None else np.zeros(0, np.uint8)
+    return data, starts - starts[0]
+
+
+def _has_letter(raw: np.ndarray) -> bool:
+    text = raw.tobytes()
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text",
             keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``text`` and the columns ``keep`` with ``lang_pred``,
@@ -178,11 +203,8 @@ def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_c
         trees = shared.value and Trees(*shared.value)
         for batch in batches:
             for some in slices(batch, SLICE_BYTES):
-                texts = some.column(1).cast(pa.large_binary())
-                # One buffer of all bytes; a null text has none.
-                starts = np.concatenate([[0], np.cumsum([len(t or b"") for t in texts.to_pylist()])])
-                data = np.frombuffer(b"".join(t or b"" for t in texts.to_pylist()), np.uint8)
-                lettered = [t is not None and any(map(str.isalpha, t)) for t in some.column(1).to_pylist()]
+                data, starts = _bytes_of(some.column(1))
+                lettered = [_has_letter(data[a:b]) for a, b in zip(starts[:-1], starts[1:])]
                 langs, scores, rates = [], [], []
                 bits = trees.code_lengths(data, starts) if trees else None
                 for k, yes in enumerate(lettered):
