@@ -32,7 +32,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import cut, read_table
+from tillpoint.llm.common import read_table, written
 
 SHARDS = 24
 ROW_OVERHEAD = 8
@@ -180,7 +180,7 @@ def with_shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text",
                shard_col: str = "shard") -> DataFrame:
     """``docs`` with the shard of each row, balanced by bytes."""
     text = F.col(text_col)
-    cuts = minimax_cuts(cut(docs.select(text_key(text).alias("key"), row_size(text).alias("size"))), shards)
+    cuts = minimax_cuts(written(docs.select(text_key(text).alias("key"), row_size(text).alias("size")), "sizes"), shards)
     return docs.withColumn(shard_col, shard_of(text_key(text), cuts))
 
 
@@ -192,9 +192,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, text_col: str
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.col("text")
-    rows = cut(docs.select(
+    rows = written(docs.select(
         "doc_id", text_key(text).alias("key"), row_size(text).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")))
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")), "sizes")
     cuts = minimax_cuts(rows, SHARDS)
     placed = rows.withColumn("shard", shard_of(F.col("key"), cuts))
     return slots(placed, rows.count()).select(
