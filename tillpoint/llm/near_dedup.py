@@ -23,11 +23,13 @@ verified on the full sets, and verified links give components.  Candidates:
   not been a pivot before, for as long as a round leaves at most half of the
   components there.
 - The members of the long lists that still span several components are joined
-  on their full sets, between components only: with the shingles of a set
-  ordered from rare to frequent, the first common one of a linked pair must
-  leave both sides enough shingles after it.  Sizes are part of the key, so a
-  shingle that most of a group holds meets only the sets that are large enough
-  for it, and long keys are split into blocks.
+  on sketches of ``WIDE`` values, which for most texts are their whole sets,
+  between components only.  With the values of a sketch ordered from rare to
+  frequent, the first common one of a pair must stand early enough in both to
+  leave what a link has in common: exactly where both sketches are whole sets,
+  else up to ``_WIDE_SLACK``, six deviations of the estimate.  Sizes are part of
+  the key, and long keys are split into blocks.  The same bound on the two
+  sketches then drops the rest before the full sets are compared.
 
 Defined results: null and empty texts and texts without a word have an empty
 set and link with nothing, not even each other; rows with equal ids count as
@@ -56,11 +58,12 @@ K = 64
 RUN = 40
 SHORT = 32
 LONG_SHARE = 0.15  # of a pivot round's members; the last join has no such bound
-SIZE_STEP = 1.02
 BLOCK = 1000
 MAX_BROADCAST_IDS = 500_000
 SLICE_BYTES = 16 << 20
-_ESTIMATE_SLACK = 0.3
+WIDE = 256
+_ESTIMATE_SLACK = 0.3  # six deviations of an estimate of 0.8 from K values
+_WIDE_SLACK = 0.15  # the same from WIDE values
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -114,20 +117,6 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, whole binary")
 
 
-def shingles(sets: DataFrame) -> DataFrame:
-    """``id`` and ``shingle`` of ``sets`` (id, whole)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, SLICE_BYTES):
-                sets = [np.frombuffer(v.as_buffer(), "<i8") for v in some.column(1)]
-                ids = np.repeat(some.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets or [ids]), pa.int64())],
-                                                 names=["id", "shingle"])
-
-    return sets.select("id", "whole").mapInArrow(run, "id long, shingle long")
-
-
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b, set_a, set_b) with 100 * common >= percent * union."""
 
@@ -172,22 +161,30 @@ class Search:
 
     def crossing(self, members: DataFrame) -> DataFrame:
         """All pairs (a, b) of ``members`` (id, n, component) in different
-        components that their full sets do not rule out as links."""
-        self._read_sets(members.select("id").distinct())
-        held = shingles(reduce(DataFrame.unionByName, self.sets).join(members.select("id"), "id", "left_semi"))
-        return _prefix_join(held, members, self.percent)
+        components that their wide sketches admit as links."""
+        own = sketches(self._texts(cut(members.select("id").distinct())).withColumnRenamed("id", "doc_id"), self.width, WIDE)
+        wide = cut(own.select(F.col("doc_id").alias("id"), "n", "sketch").distinct())
+        pairs = _prefix_join(members.join(wide, ["id", "n"]), self.percent)
+        x, y = wide.alias("x"), wide.alias("y")
+        both = (pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")))
+        common = F.size(F.array_intersect("x.sketch", "y.sketch"))
+        whole = (F.col("x.n") <= WIDE) & (F.col("y.n") <= WIDE)
+        return both.filter(F.when(whole, common * (100 + self.percent) >= self.percent * (F.col("x.n") + F.col("y.n"))).otherwise(
+            _estimate(F.col("x.sketch"), F.col("y.sketch"), WIDE) >= self.percent / 100 - _WIDE_SLACK)).select("a", "b")
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """(id, text) of the ids ``wanted`` (a written table)."""
+        few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+        return (self.docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few, "id", "left_semi")
+                .filter(F.col("id").isNotNull()))
 
     def _read_sets(self, wanted: DataFrame) -> None:
         """Read the full sets of the ids that no earlier round has read."""
         for known in self.sets:
             wanted = wanted.join(known.select("id"), "id", "left_anti")
         wanted = cut(wanted)
-        n = wanted.count()
-        if n or not self.sets:
-            few = F.broadcast(wanted) if n <= MAX_BROADCAST_IDS else wanted
-            texts = (self.docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
-                     .filter(F.col("id").isNotNull()))
-            self.sets.append(cut(full_sets(texts, self.width).distinct()))
+        if not self.sets or not wanted.isEmpty():
+            self.sets.append(cut(full_sets(self._texts(wanted), self.width).distinct()))
 
     def add(self, candidates: DataFrame) -> tuple[DataFrame, bool]:
         """Verify; the components of all links so far as (node, component), and
@@ -243,39 +240,44 @@ def _expanded(lists: DataFrame, percent: int) -> DataFrame:
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
 
-def _size_bin(n: Column) -> Column:
-    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)))
-
-
-def _prefix_join(held: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs of ``members`` (id, n, component) in different components whose
-    first common shingle, from rare to frequent, leaves room for a link."""
-    several = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("m"), F.desc("shingle")))
-    # A link of sizes n and o has common * (100 + percent) >= percent * (n + o), and
-    # at most ``rest``, the shingles from the first common one on, are common.
-    lowest = F.ceil(percent * F.col("n") / 100)
-    room = F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")
-    rows = cut(held.join(several, "shingle").select("id", "shingle", rest.alias("rest")).join(members, "id")
-               .withColumn("highest", F.least("n", room)).filter(F.col("highest") >= lowest - 1))
-    large = rows.withColumn("bin", F.explode(F.sequence(
-        _size_bin(F.greatest(F.lit(1), lowest - 1)), _size_bin(F.least("n", F.col("highest") + 1)))))
-    small = rows.filter(F.col("rest") * (100 + percent) >= 2 * percent * F.col("n")).withColumn("bin", _size_bin(F.col("n")))
-    keys = (large.select("shingle", "bin", "component", F.lit(0).alias("small"))
-            .unionByName(small.select("shingle", "bin", "component", F.lit(1).alias("small")))
-            .groupBy("shingle", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                           F.sum("small").alias("smalls")))
+def _size_bin(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(100 / percent)))
+
+
+def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> DataFrame:
+    """The pairs of ``members`` (id, n, component, sketch of ``wide`` values) in
+    different components whose first common value, from rare to frequent, leaves
+    room for a link."""
+    wide = wide or WIDE
+    share = percent / 100 - _WIDE_SLACK
+    held = cut(members.select("id", "n", "component", F.size("sketch").alias("s"), F.explode("sketch").alias("value")))
+    several = held.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # How many values of the sketch may still be common from this one on.
+    rest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("m"), F.desc("value")))
+    # No partner is longer than n * 100 / percent; up to there all are whole sets.
+    exact = F.col("n") * 100 <= wide * percent
+    rows = cut(held.join(several, "value").withColumn("rest", rest).drop("m")
+               .filter(F.when(exact, F.col("rest") * 100 >= percent * F.col("n")).otherwise(F.col("rest") >= share * F.col("s"))))
+    lowest = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100))
+    left, right = F.least("x.rest", "y.rest"), F.col("x.n") + F.col("y.n")
+    room = F.when(F.greatest("x.n", "y.n") <= wide, left * (100 + percent) >= percent * right).otherwise(
+        left >= share * F.greatest("x.s", "y.s"))
+    large = rows.withColumn("bin", F.explode(F.sequence(_size_bin(lowest, percent), _size_bin(F.col("n"), percent))))
+    small = rows.withColumn("bin", _size_bin(F.col("n"), percent))
+    keys = (large.select("value", "bin", "component", F.lit(0).alias("small"))
+            .unionByName(small.select("value", "bin", "component", F.lit(1).alias("small")))
+            .groupBy("value", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                         F.sum("small").alias("smalls")))
     keys = cut(keys.filter("low <> high and smalls > 0").select(
-        "shingle", "bin", F.ceil(F.col("smalls") / BLOCK).alias("blocks")))
-    x = (large.join(keys, ["shingle", "bin"])
+        "value", "bin", F.ceil(F.col("smalls") / BLOCK).alias("blocks")))
+    x = (large.join(keys, ["value", "bin"])
          .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("x"))
-    y = (small.join(keys, ["shingle", "bin"])
+    y = (small.join(keys, ["value", "bin"])
          .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("y"))
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "bin", "block")]
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("value", "bin", "block")]
     return (x.join(y, reduce(Column.__and__, same) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") > F.col("y.id"))))
-                   & _may_link("x.n", "y.n", percent)
-                   & (F.least("x.rest", "y.rest") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))))
+                   & _may_link("x.n", "y.n", percent) & room)
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
 
 
