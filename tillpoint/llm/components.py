@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import cut
+from tillpoint.llm.common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         linked = cut(linked)
         changed = linked.exceptAll(edges).isEmpty() and edges.exceptAll(linked).isEmpty()
         edges = linked
+        del both, least, large, small, linked
+        release(edges.sparkSession)
         if changed:
             break
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import cut, read_table
+from tillpoint.llm.common import cut, read_table, release
 from tillpoint.llm.components import components
 from tillpoint.llm.packing import slices
 from tillpoint.llm.words import hashed_runs, hashed_words
@@ -190,6 +190,7 @@ class Search:
         """Verify; the components of all links so far as (node, component), and
         whether any of the candidates is a link."""
         self.links.append(cut(self.verified(candidates).distinct()))
+        release(self.docs.sparkSession)
         if len(self.links) > 1 and self.links[-1].isEmpty():
             return self.nodes, False
         edges = self.links[0]
@@ -298,6 +299,8 @@ def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: i
         F.sum("m").alias("quality"),
         (F.sum((F.col("m") > short).cast("long")) >= F.max("own") * LONG_SHARE).alias("long"))
     lists = cut(several.select("key", "id", "n", "m").join(quality, "id"))
+    del every, counts, several, quality
+    release(docs.sparkSession)
 
     alone = lists.withColumn("component", F.col("id"))
     pivots = cut(_best(alone))
