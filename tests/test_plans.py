@@ -66,7 +66,8 @@ def test_scans_prune_columns_and_never_reparse_dates(plans):
     # The growth decomposition reads 4 of the 26 staged columns, all typed.
     assert sorted(map(sorted, _scan_columns(plans["revenue_decomposition"]))) == [
         ["customer_id", "invoice_month"], ["invoice_month", "invoice_no", "revenue_cents"]]
-    bad = [k for k, p in plans.items() if "gettimestamp" in p or "to_timestamp" in p]
+    # The quarantine judges texts, dates among them; all others read typed dates.
+    bad = [k for k, p in plans.items() if ("gettimestamp" in p or "to_timestamp" in p) and k != "dq_quarantine"]
     assert not bad, bad
 
 
