@@ -70,10 +70,67 @@ def test_classes_group_tokens_with_equal_vectors(spark):
 def test_many_hosts_are_joined_by_salted_keys(spark):
     pages = spark.createDataFrame([(k, f"u{k}", f"h{k % 3}") for k in range(60)], "page_id long, url string, host string")
     slots = spark.createDataFrame([("h0", "/a"), ("h1", "/b")], "host string, slot string")
-    few, many = (sorted(hx.with_slots(pages, slots, most, 4).select("page_id", "slot").collect()) for most in (5, 1))
+    few, many = (sorted(hx.with_hosts(pages, slots, most, 4).select("page_id", "slot").collect()) for most in (5000, 1))
     assert few == many and len(few) == 60
 
 
+def varying(k, name, n=20):
+    return " ".join(f"{name}{k}x{j}" for j in range(n))
+
+
+def test_every_slot_of_a_host_without_named_elements(spark, tmp_path):
+    """A lead of a quarter of the text, a body, a caption; texts of the template
+    and menus go, whatever the elements are called."""
+    def body(k):
+        return (f"<div class=wrap><div class=brand>The Daily</div><div class=lead>{varying(k, 'lead', 10)}</div>"
+                f"<div class=body><p>{varying(k, 'p', 30)}<p>Read on<p>{varying(k, 'q')}</div>"
+                f"<ul class=more><li><a>{varying(k, 'l', 3)}</a> | <li><a>b</a></ul><table><tr><td>{varying(k, 't', 4)}</table>"
+                f"<div class='post-comments'>{varying(k, 'c', 300)}</div></div>")
+    got = texts(spark, tmp_path, [(k, "https://d.example/", page(body(k))) for k in range(20)])
+    for k, text in got.items():
+        assert text.split("\n") == [varying(k, "lead", 10), varying(k, "p", 30), varying(k, "q"), varying(k, "t", 4)]
+
+
+def test_copies_do_not_become_template(spark, tmp_path):
+    one = page(f"<div><p>{varying(0, 'a')}</p><p>{varying(0, 'b')}</p></div>")
+    pages = [(k, "https://e.example/", one) for k in range(6)] + [
+        (10 + k, "https://e.example/", page(f"<div><p>{varying(k, 'y')}</p><p>{varying(k, 'z')}</p></div>")) for k in range(1, 4)]
+    got = texts(spark, tmp_path, pages)
+    assert all(got[k] == f"{varying(0, 'a')}\n{varying(0, 'b')}" for k in range(6))
+
+
+def test_names_of_another_meaning_stay_in_the_article(spark, tmp_path):
+    body = lambda k: (f"<article class='social-history'><div class='post-header'><h1>T{k}</h1></div>"
+                      f"<p>{varying(k, 'p')}<br>and on</p><div class='share-price-related'>{varying(k, 's', 14)}</div>"
+                      f"<div id='ad-1' class='box'>buy</div><div class='share-buttons'>tweet</div></article>")
+    got = texts(spark, tmp_path, [(k, "https://f.example/", page(body(k))) for k in range(4)])
+    assert all(got[k] == f"T{k}\n{varying(k, 'p')} and on\n{varying(k, 's', 14)}" for k in got)
+
+
+def test_template_of_random_hosts_against_brute_force(spark):
+    """Texts that stand once on at least half of a host's pages, and with them
+    another token of the same vector, are its template."""
+    import random
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for h in range(8):
+        fixed = [(f"s{j}", " ".join(rnd.choice("abcdef") * 3 for _ in range(4)) + f" {j}", rnd.random()) for j in range(6)]
+        shown = [[f for f in fixed if rnd.random() < f[2]] for _ in range(rnd.randint(3, 12))]
+        for k, some in enumerate(shown):
+            rows.append((100 * h + k, "u", "<body>" + "".join(f"<div class={c}>{t}</div>" for c, t, _ in some)
+                         + f"<p>{varying(100 * h + k, 'v')}</p></body>", f"h{h}"))
+        often = {f: sum(f in some for some in shown) for f in fixed}
+        vectors = {(f"/body/div.{hx._DIGITS.sub('0', c)}", t): tuple((c, t, x) in some for some in shown) for c, t, x in fixed}
+        vectors |= {("/body", None): (1,) * len(shown), ("/body/div.s0", None): tuple(map(len, shown))}
+        want[f"h{h}"] = {hx._text_hash(*key) for key, v in vectors.items() if key[1] and 2 * sum(v) >= len(shown)
+                         and sum(w == v for w in vectors.values()) > 1}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.host: r for r in hx.main_slots(hx.token_sums(pages)).collect()}
+    for h, texts_of in want.items():
+        assert set(got[h].constant) == texts_of and got[h].slot == "/body"
+    assert any(want.values())
+
+
 def test_given_pages(spark):
     import re
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
