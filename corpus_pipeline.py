@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the one
 before kept, and returns the columns of ``documents``; the last one returns
 the pieces of the packed sequences.
+
+Defined results: a null or empty text, or one without a letter, goes in the
+language stage; rows with equal ids and texts go through the first two stages
+each, with the same result, and the near-dedup stage keeps one of them; rows
+with equal ids and other texts count as one document there; rows with a null
+id link with nothing and stay, one for each text; a null language or source
+stays null; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,15 +22,18 @@ from tillpoint.llm.common import read_table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE_WORDS = 5
-PLAIN_BITS = 8.0
+PLAIN_BITS = 8
+SLACK_BITS = 64
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language.  Rejected are those without a letter, and
-    those that no language's statistics code in fewer bits than plain bytes."""
+    those that plain bytes code in ``SLACK_BITS`` bits fewer than any language's
+    statistics.  The slack is on the whole text, so a short one with a number or
+    a key in it stays, while an unlearned language exceeds it within a line."""
     known = language_id.identify(docs, keep=COLUMNS[2:])
-    return (known.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("bits_per_byte") < PLAIN_BITS))
-            .select(*COLUMNS))
+    excess = (F.col("bits_per_byte") - PLAIN_BITS) * F.octet_length("text")
+    return known.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (excess < SLACK_BITS)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
