@@ -50,6 +50,16 @@ def test_given_documents(spark):
     assert truth <= got and len(got - truth) <= 0.1 * len(truth) and truth
 
 
+def test_short_items_match_as_a_whole(spark, tmp_path):
+    items = {1: "Capital of France is Paris?", 2: "two words", 3: "what is it", 4: words(3, 1)[0], 5: "the capital of france was paris"}
+    texts = {1: "x the capital of FRANCE, is Paris. " + prose(1, 30), 2: "capital of france", 3: "two words", 4: "tell what\nis it",
+             5: "what it is", 6: "capital of france is", 7: prose(7, 50), 8: "is paris"}
+    truth = {k: set() for k in texts} | {1: {1, 5}, 4: {3}}
+    got = flagged(spark, tmp_path, texts, items)
+    assert {k: v - {5} for k, v in got.items()} == {k: v - {5} for k, v in truth.items()}
+    assert all(5 not in got[k] for k in (3, 4, 5, 7, 8))
+
+
 def test_odd_tables(spark, tmp_path):
     items = {1: None, 2: "", 3: "too short", 4: prose(6, 60), None: prose(8, 90)}
     sf = write_documents(spark, tmp_path)

@@ -10,10 +10,15 @@ place, so each joined pair is verified as it stands: some ``STRETCH`` aligned
 words around the seed (the whole item when it is shorter), of which at least
 ``SHARE`` are equal.
 
+An item shorter than the shortest mask, of ``MIN_ITEM`` words or more, has one
+seed, all its words; the texts' runs of that many words are hashed too, only
+for the lengths that the benchmark has.
+
 Words are compared without case, punctuation and white space.
 
 Defined results: null and empty texts and items match nothing, nor do items
-with fewer words than the shortest mask; documents with equal ids and texts
+of fewer than ``MIN_ITEM`` words, which name a thing rather than ask for it;
+documents with equal ids and texts
 share their result; null ids are kept; repeated rows are reported each; an
 empty table gives no rows; other columns are ignored.
 """
@@ -37,9 +42,11 @@ from tillpoint.llm.words import hashed_runs, hashed_words, mix
 MASKS = ("111111", "11011011", "1101001101", "11001010011")
 STRETCH = 13
 SHARE = 0.8
+MIN_ITEM = 3
 SLICE_BYTES = 4 << 20
 
 _OFFSETS = [[k for k, one in enumerate(m) if one == "1"] for m in MASKS]
+_SHORT = tuple(range(MIN_ITEM, len(MASKS[0])))  # the first mask is the shortest
 _BEFORE = STRETCH - 1
 _AROUND = _BEFORE + max(map(len, MASKS)) + _BEFORE
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -56,13 +63,15 @@ def _around(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.arange(_AROUND)].view(np.int32)
 
 
-def seeds(texts: DataFrame, keep: list[str], known: BitFilter | None = None) -> DataFrame:
+def seeds(texts: DataFrame, keep: list[str], known: BitFilter | None = None, short: tuple[int, ...] = _SHORT) -> DataFrame:
     """A row for each place and mask of ``texts`` (``keep`` and last ``text``):
     ``hash``, ``place``, ``around``; only those that may be in the filter
-    ``known`` if it is given."""
+    ``known`` if it is given.  Runs of as many words as in ``short`` are seeds
+    too: with ``known`` those of all texts, else whole texts only."""
     names = [*keep, "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keep).schema)
     shared = texts.sparkSession.sparkContext.broadcast(known and tuple(known))
+    masks = [*enumerate(_OFFSETS), *((len(MASKS) + n, list(range(n))) for n in short)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value and BitFilter(*shared.value)
@@ -71,11 +80,13 @@ def seeds(texts: DataFrame, keep: list[str], known: BitFilter | None = None) ->
                 words, starts = hashed_words(some.column(len(keep)), _word)
                 row = np.repeat(np.arange(some.num_rows), np.diff(starts))
                 found = []
-                for mask, taken in enumerate(_OFFSETS):
+                for mask, taken in masks:
                     hashes = mix(hashed_runs(words, taken) + np.uint64(mask))
                     inside = row[taken[-1]:][: len(hashes)] == row[: len(hashes)]
                     if known is not None:
                         inside &= known.may_hold(hashes)
+                    elif mask >= len(MASKS):
+                        inside &= np.diff(starts)[row[: len(hashes)]] == len(taken)
                     at = np.flatnonzero(inside)
                     found.append((hashes[at], at))
                 hashes, at = (np.concatenate(x) for x in zip(*found))
@@ -108,8 +119,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, shar
     """``doc_id``, ``key`` (hash of the text), ``item_id`` of the verified
     overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text)."""
     known_seeds = cut(seeds(benchmark, ["item_id"]))
+    size = F.size(F.filter("around", lambda y: y != 0))
+    short = tuple(sorted(r["n"] for r in known_seeds.select(size.alias("n")).filter(F.col("n") < len(MASKS[0])).distinct().collect()))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    found = seeds(keyed, ["doc_id", "key"], bit_filter(known_seeds))
+    found = seeds(keyed, ["doc_id", "key"], bit_filter(known_seeds), short)
     return (found.alias("s").join(known_seeds.alias("b"), F.col("s.hash") == F.col("b.hash"))
             .filter(_aligned(stretch, share)).select("s.doc_id", "s.key", "b.item_id").distinct())
 
