@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.llm.bitfilter import BitFilter, bit_filter
-from tillpoint.llm.common import cut, read_table
+from tillpoint.llm.common import cut, frugal, read_table
 from tillpoint.llm.packing import slices
 from tillpoint.llm.words import hashed_runs, hashed_words, mix
 
@@ -103,7 +103,7 @@ def seeds(texts: DataFrame, keep: list[str], known: BitFilter | None = None, sho
                     [*(some.column(k).take(own) for k in range(len(keep))), pa.array(hashes.view(np.int64)),
                      pa.array(at - starts[row[at]]), lists], names=[*keep, "hash", "place", "around"])
 
-    return texts.select(*names).mapInArrow(run, f"{schema}, hash long, place long, around array<int>")
+    return texts.select(*names).mapInArrow(frugal(run), f"{schema}, hash long, place long, around array<int>")
 
 
 def _aligned(stretch: int, share: float) -> Column:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import read_table
+from tillpoint.llm.common import frugal, read_table
 from tillpoint.llm.packing import slices
 
 ORDER = 3
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_c
                      pa.array(rates, pa.float64())],
                     names=[*names, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(*names).mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*names).mapInArrow(frugal(run), f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.bitfilter import BitFilter, bit_filter
-from tillpoint.llm.common import cut, read_table
+from tillpoint.llm.common import cut, frugal, read_table
 from tillpoint.llm.packing import slices
 from tillpoint.llm.words import mix
 
@@ -145,7 +145,7 @@ def chunk_hashes(docs: DataFrame, min_words: int) -> DataFrame:
                 own = Lines([t for t in some.column(0).to_pylist() if t is not None])
                 yield pa.RecordBatch.from_arrays([pa.array(own.hashes(*own.chunks(reach)).view(np.int64))], names=["hash"])
 
-    return docs.select("text").mapInArrow(run, "hash long")
+    return docs.select("text").mapInArrow(frugal(run), "hash long")
 
 
 def windows(docs: DataFrame, min_lines: int, min_words: int, chunks: BitFilter, known: BitFilter | None = None) -> DataFrame:
@@ -181,7 +181,7 @@ def windows(docs: DataFrame, min_lines: int, min_words: int, chunks: BitFilter,
                      pa.array(texts, pa.string())], names=["hash", "doc_id", "key", "line", "lines", "own"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "key", "text")
-    return rows.mapInArrow(count, "hash long") if known is None else rows.mapInArrow(show, _WINDOW)
+    return rows.mapInArrow(frugal(count), "hash long") if known is None else rows.mapInArrow(frugal(show), _WINDOW)
 
 
 def _repeated(hashes: DataFrame) -> BitFilter:

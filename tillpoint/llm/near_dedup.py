@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import cut, read_table, release
+from tillpoint.llm.common import cut, frugal, read_table, release
 from tillpoint.llm.components import components
 from tillpoint.llm.packing import slices
 from tillpoint.llm.words import hashed_runs, hashed_words
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
                      pa.array(whole[1::2]), _lists([s[:k] for s in sets])], names=["doc_id", "n", "one", "two", "sketch"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, one long, two long, sketch array<long>")
+        frugal(run), "doc_id long, n long, one long, two long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -114,7 +114,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())],
                                                  names=["id", "whole"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, whole binary")
+    return docs.select("id", "text").mapInArrow(frugal(run), "id long, whole binary")
 
 
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -129,7 +129,7 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
                 yes.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _estimate(a: Column, b: Column, k: int) -> Column:
