@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF01
 from llm_tables import prose, words, write_documents
@@ -148,3 +149,19 @@ def test_components_of_paths_stars_and_rings(spark):
 def test_a_long_text_is_one_row(spark):
     docs = spark.createDataFrame([(1, prose(1, 200_000)), (2, prose(1, 200_000).upper())], "doc_id long, text string")
     assert {r.component_id for r in near_dedup.near_groups(docs, 2).collect()} == {1}
+
+
+def test_last_join_leaves_pairs_to_their_rarest_common_values(spark, monkeypatch):
+    """Edited copies of sets, some of them longer than a wide sketch: the same
+    pairs as the join that meets a pair at each of its common values."""
+    rnd, rows = random.Random(3), []
+    for g in range(25):
+        base = [rnd.getrandbits(62) for _ in range(rnd.choice([3, 10, 40, 204, 240, 400]))]
+        for _ in range(rnd.randint(2, 10)):
+            rate = rnd.choice([0, 0.02, 0.1, 0.2])
+            own = {v if rnd.random() >= rate else rnd.getrandbits(62) for v in base} | set(rnd.sample([1, 2, 3], rnd.randint(0, 3)))
+            rows.append((len(rows), len(own), len(rows) if rnd.random() < 0.8 else 10_000 + g, sorted(own)[:near_dedup.WIDE]))
+    members = spark.createDataFrame(rows, "id long, n long, component long, sketch array<long>")
+    got = set(near_dedup._prefix_join(members, 80).collect())
+    monkeypatch.setattr(F, "arrays_overlap", lambda a, b: F.lit(False))
+    assert len(got) > 50 and got == set(near_dedup._prefix_join(members, 80).collect())

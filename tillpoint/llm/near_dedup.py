@@ -27,8 +27,10 @@ verified on the full sets, and verified links give components.  Candidates:
   between components only.  With the values of a sketch ordered from rare to
   frequent, the first common one of a pair must stand early enough in both to
   leave what a link has in common: exactly where both sketches are whole sets,
-  else up to ``_WIDE_SLACK``, six deviations of the estimate.  Sizes are part of
-  the key, and long keys are split into blocks.  The same bound on the two
+  else up to ``_WIDE_SLACK``, six deviations of the estimate.  A pair with one of
+  the ``RARER`` next rarer values in common is left to that one, so that pairs
+  meet once or a few times and never less.  Sizes are part of the key, and long
+  keys are split into blocks.  The same bound on the two
   sketches then drops the rest before the full sets are compared.
 
 Defined results: null and empty texts and texts without a word have an empty
@@ -62,6 +64,7 @@ BLOCK = 1000
 MAX_BROADCAST_IDS = 500_000
 SLICE_BYTES = 4 << 20
 WIDE = 256
+RARER = 4  # values that a row of the last join carries along
 _ESTIMATE_SLACK = 0.3  # six deviations of an estimate of 0.8 from K values
 _WIDE_SLACK = 0.15  # the same from WIDE values
 
@@ -253,11 +256,14 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
     share = percent / 100 - _WIDE_SLACK
     held = cut(members.select("id", "n", "component", F.size("sketch").alias("s"), F.explode("sketch").alias("value")))
     several = held.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    # How many values of the sketch may still be common from this one on.
-    rest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("m"), F.desc("value")))
+    order = Window.partitionBy("id").orderBy(F.desc("m"), F.desc("value"))
+    # How many values of the sketch may still be common from this one on, and
+    # the next rarer ones: a pair that has one of them in common meets there too.
+    rest = F.row_number().over(order)
+    rarer = F.collect_list("value").over(order.rowsBetween(1, RARER))
     # No partner is longer than n * 100 / percent; up to there all are whole sets.
     exact = F.col("n") * 100 <= wide * percent
-    rows = cut(held.join(several, "value").withColumn("rest", rest).drop("m")
+    rows = cut(held.join(several, "value").withColumn("rest", rest).withColumn("rarer", rarer).drop("m")
                .filter(F.when(exact, F.col("rest") * 100 >= percent * F.col("n")).otherwise(F.col("rest") >= share * F.col("s"))))
     lowest = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100))
     left, right = F.least("x.rest", "y.rest"), F.col("x.n") + F.col("y.n")
@@ -278,7 +284,7 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("value", "bin", "block")]
     return (x.join(y, reduce(Column.__and__, same) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") > F.col("y.id"))))
-                   & _may_link("x.n", "y.n", percent) & room)
+                   & _may_link("x.n", "y.n", percent) & room & ~F.arrays_overlap("x.rarer", "y.rarer"))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
 
 
