@@ -30,8 +30,9 @@ verified on the full sets, and verified links give components.  Candidates:
   else up to ``_WIDE_SLACK``, six deviations of the estimate.  A pair with one of
   the ``RARER`` next rarer values in common is left to that one, so that pairs
   meet once or a few times and never less.  Sizes are part of the key, and long
-  keys are split into blocks.  The same bound on the two
-  sketches then drops the rest before the full sets are compared.
+  keys are split into blocks.  The upper halves of up to ``NARROW`` values, for
+  most texts of the whole set, then drop nearly all that is no link, so that few
+  full sets move: exactly where both are whole, else with ``_NARROW_SLACK``.
 
 Defined results: null and empty texts and texts without a word have an empty
 set and link with nothing, not even each other; rows with equal ids count as
@@ -64,9 +65,11 @@ BLOCK = 1000
 MAX_BROADCAST_IDS = 500_000
 SLICE_BYTES = 4 << 20
 WIDE = 256
+NARROW = 1024
 RARER = 4  # values that a row of the last join carries along
 _ESTIMATE_SLACK = 0.3  # six deviations of an estimate of 0.8 from K values
 _WIDE_SLACK = 0.15  # the same from WIDE values
+_NARROW_SLACK = 0.075  # the same from NARROW values
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -120,6 +123,45 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(frugal(run), "id long, whole binary")
 
 
+def short_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``id``, ``n`` (set size) and ``low``, the bytes of the upper 32 bits of
+    the ``NARROW`` smallest values, of ``docs`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, SLICE_BYTES):
+                sets = shingle_sets(some.column(1), width)
+                low = [(s[:NARROW] >> np.uint64(31)).astype("<u4").tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                                                  pa.array(low, pa.binary())], names=["id", "n", "low"])
+
+    return docs.select("id", "text").mapInArrow(frugal(run), "id long, n long, low binary")
+
+
+def _hopeful(n: int, x: np.ndarray, m: int, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` values with the short forms ``x`` and ``y``
+    may be linked.  Whole sets: values with equal upper bits count as common,
+    so no link is lost; else the union estimate with a slack of six deviations."""
+    if n <= NARROW and m <= NARROW:
+        common = int(np.isin(x, y).sum())
+        return 100 * common >= percent * (n + m - common)
+    union = np.union1d(x, y)[:NARROW]
+    common = np.isin(union, x) & np.isin(union, y)
+    return common.mean() >= percent / 100 - _NARROW_SLACK
+
+
+def hopeful(pairs: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, set_a, set_b as n and low) that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[(n.as_py(), np.frombuffer(v.as_buffer(), "<u4")) for n, v in zip(*batch.column(k).flatten())] for k in (2, 3)]
+            yes = [_hopeful(*x, *y, percent) for x, y in zip(*sides)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(frugal(run), "a long, b long")
+
+
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b, set_a, set_b) with 100 * common >= percent * union."""
 
@@ -163,17 +205,16 @@ class Search:
         return linked(pairs, self.percent)
 
     def crossing(self, members: DataFrame) -> DataFrame:
-        """All pairs (a, b) of ``members`` (id, n, component) in different
-        components that their wide sketches admit as links."""
+        """The pairs (a, b) of ``members`` (id, n, component) in different
+        components that their wide sketches and short sets admit as links."""
         own = sketches(self._texts(cut(members.select("id").distinct())).withColumnRenamed("id", "doc_id"), self.width, WIDE)
-        wide = cut(own.select(F.col("doc_id").alias("id"), "n", "sketch").distinct())
-        pairs = _prefix_join(members.join(wide, ["id", "n"]), self.percent)
-        x, y = wide.alias("x"), wide.alias("y")
-        both = (pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")))
-        common = F.size(F.array_intersect("x.sketch", "y.sketch"))
-        whole = (F.col("x.n") <= WIDE) & (F.col("y.n") <= WIDE)
-        return both.filter(F.when(whole, common * (100 + self.percent) >= self.percent * (F.col("x.n") + F.col("y.n"))).otherwise(
-            _estimate(F.col("x.sketch"), F.col("y.sketch"), WIDE) >= self.percent / 100 - _WIDE_SLACK)).select("a", "b")
+        wide = own.select(F.col("doc_id").alias("id"), "n", "sketch").distinct()
+        pairs = cut(_prefix_join(members.join(wide, ["id", "n"]), self.percent))
+        release(self.docs.sparkSession)
+        some = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        short = cut(short_sets(self._texts(some), self.width).distinct())
+        x, y = (short.select(F.col("id").alias(c), F.struct("n", "low").alias(f"set_{c}")) for c in ("a", "b"))
+        return hopeful(pairs.join(x, "a").join(y, "b"), self.percent)
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """(id, text) of the ids ``wanted`` (a written table)."""
