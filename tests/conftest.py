@@ -10,7 +10,6 @@ SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
 # Folder with published result CSVs for the golden tests (opt-in).
 GOLDEN_DIR = os.environ.get("TILLPOINT_GOLDEN_DIR")
-collect_ignore = [] if GOLDEN_DIR else ["test_golden.py"]
 
 
 @pytest.fixture(scope="session")

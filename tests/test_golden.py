@@ -3,18 +3,20 @@
 The published weekly history is the input of its statistical backtest and
 the published folds are the input of its ML scoring; these tests feed the
 same inputs through our operators and compare with the published outputs.
-Collected when TILLPOINT_GOLDEN_DIR names their folder; test_forecast_methods
-holds the same operators against numpy on inputs of its own.
+Reported as skipped unless TILLPOINT_GOLDEN_DIR names their folder;
+test_forecast_methods holds the same operators against numpy on its own inputs.
 """
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from conftest import reference_csv
+from conftest import GOLDEN_DIR, reference_csv
 from tillpoint.operators import forecast as fc
 from tillpoint.operators.ml import ML_METHODS
 
+pytestmark = pytest.mark.skipif(not GOLDEN_DIR, reason="TILLPOINT_GOLDEN_DIR is not set")
 FOLD_SCHEMA = "Series string, Origin date, Method string, AbsoluteError double, ActualTotal double, WAPE double"
 
 

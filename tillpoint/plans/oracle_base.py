@@ -34,6 +34,7 @@ def MLABEL(d: str) -> str:
     return f"strftime({d}, '%Y-%m')"
 
 
+# The rules and their labels.
 SEGMENT = """CASE
    WHEN recency_days <= 30 AND orders >= 5 THEN 'Champions'
    WHEN recency_days <= 90 AND orders >= 5 THEN 'Loyal active'
