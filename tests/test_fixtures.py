@@ -228,6 +228,20 @@ def test_orphan_lines_are_counted_and_repeated_keys_found(spark, tmp_path):
         "orders": 1, "part": 0, "customer": 0, "nation": 0}
 
 
+def test_rows_move_narrow_and_a_rebalance_changes_none(spark, tmp_path):
+    """What follows from a row is derived after the last exchange."""
+    swapped, late = dt.datetime(2010, 3, 4, 5, 6, 7), dt.datetime(2010, 5, 31, 23, 59, 59)
+    sf = write_tables(spark, tmp_path, [(1, 1, 1.0), (1, 1, 1.0), (2, 2, None), (3, 1, 4.0), (None, 1, 1.0), (4, None, 1.0), (5, 1, 1.0)],
+                      [(1, 7, swapped), (2, 7, late), (3, 7, None), (4, 7, late), (5, 8, late)])
+    plain, dealt = (adapter.read_extract(spark, sf, many_to_one=True, by_month=m) for m in (False, True))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    assert {(r.invoice_no, r.stock_code, r.invoice_date_text, r.original_month, r.country) for r in dealt.collect()} == {
+        (1, "1", "2010-04-03 05:06:07", 4, "NORWAY"), (2, "2", "2010-05-31 23:59:59", 5, "NORWAY"), (3, "1", None, None, "NORWAY")}
+    moved = plan[plan.index("REBALANCE_PARTITIONS_BY_COL"):]
+    assert "date_format" in plan and "date_format" not in moved and "weekofyear" not in moved
+
+
 def test_fingerprint_sees_moved_values(spark, tmp_path):
     from tillpoint.plans.analytics import _fingerprint
 
