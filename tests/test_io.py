@@ -119,3 +119,19 @@ def test_stream_repairs_like_batch(spark):
     rows = {r.invoice_no: r for r in spark.read.parquet(os.path.join(d, "out")).collect()}
     assert str(rows[1].invoice_date) == "2010-12-01 08:26:00" and rows[1].revenue == 3.0
     assert str(rows[2].invoice_date) == "2011-11-15 09:10:00"
+
+
+def test_a_scan_task_reads_a_bounded_split(spark):
+    """Grouping the lines holds ten times what their files take."""
+    from tillpoint.session import apply_sql_conf
+
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.unset(key)
+        apply_sql_conf(spark)
+        assert spark.conf.get(key) == "32m"
+        spark.conf.set(key, "1m")
+        apply_sql_conf(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
