@@ -1,10 +1,12 @@
 """Packing: every id lies in one piece, sequences are gapless and full."""
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from llm_tables import write_documents
@@ -62,6 +64,36 @@ def test_ids_equal_the_library_for_unusual_text():
     assert [list(x) for x in vocabulary.encode(texts)] == [e.ids for e in want]
 
 
+def test_ids_equal_the_library_for_every_character_coded_by_words():
+    vocabulary = packing.Vocabulary()
+    texts = [f"ab{chr(c)}d, 'x{chr(c)}. {chr(c)}'s" for c in range(0x21, 0x200)]
+    want = vocabulary.lib.encode_batch(texts, add_special_tokens=False)
+    assert [list(x) for x in vocabulary.encode(texts)] == [e.ids for e in want]
+
+
+def test_memory_of_coding_a_large_batch_is_bounded():
+    """A batch of 12 MB in 1.5 million words, as much as Spark may hand to a task at once."""
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(map("w{}".format, rnd.integers(0, 3000, 15_000))) for _ in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    vocabulary = packing.Vocabulary()
+    tracemalloc.start()
+    for some in packing.slices(batch, packing.SLICE_BYTES):
+        vocabulary.encode(some.column(1).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
+def test_known_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_PIECES", 50)
+    vocabulary = packing.Vocabulary()
+    texts = [" ".join(f"{a}{b}" for b in "abcdefghij") for a in "abcdefghij"]
+    want = vocabulary.lib.encode_batch(texts, add_special_tokens=False)
+    assert [list(vocabulary.encode([t])[0]) for t in texts] == [e.ids for e in want]
+    assert len(vocabulary.piece_at) <= 50
+
+
 def test_window_count_rises_when_capacity_is_exceeded():
     sizes = [6, 6, 6, 4]  # 22 in windows of 11 need three, not two
     parts = packing.windows(sizes, 11)

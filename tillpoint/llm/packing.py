@@ -11,10 +11,11 @@ block is divided again.  Nothing is shuffled; a block bounds the memory.
 
 Tokens are those of ``tokenizers`` for the given vocabulary.  Its splitting
 rule never joins pieces over white space, so a document's ids are the ids of
-its words in order; each worker keeps the ids of words it has met (bounded
-by ``MAX_WORDS``) and gives new ones to the library in batches.  Texts with
-characters outside the range for which this holds exactly, or with the
-vocabulary's special strings, go to the library whole.
+its words in order.  Words and their pieces are columns of a slice of the
+texts, of distinct values each; the library's model codes each new piece by
+itself, and a task keeps the ids of the pieces it has met (bounded by
+``MAX_PIECES``).  Texts with characters outside the range for which this holds
+exactly, or with the vocabulary's special strings, go to the library whole.
 
 Defined results: a null or empty text is the end id alone; a null id is kept
 as null; repeated rows are packed each; an empty table gives no rows; other
@@ -23,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 import zlib
@@ -34,21 +36,34 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.llm.common import read_table
+from tillpoint.llm.common import frugal, read_table
 
 WINDOW = 4096
 MAX_TAIL = 1024
 BLOCK = 384
 END_ID = 2
-MAX_WORDS = 1_500_000
-JOINED = 2_000
-SLICE_BYTES = 16 << 20
+MAX_PIECES = 400_000
+SLICE_BYTES = 4 << 20
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 # Latin letters that are their own composed form and whose lower case does not
 # depend on their neighbours, with printable ASCII and the six ASCII blanks.
-_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-ǿ]")
+# That of U+0130 is two characters.
+_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-įı-ǿ]")
+
+# Fixed value: the vocabulary's own splitting rule.
+_PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+
+
+def _taken(ids: np.ndarray, bounds: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the given runs in order, and where each ends; run k of ``ids``
+    goes from bound k to the next."""
+    starts, lengths = bounds[runs], bounds[runs + 1] - bounds[runs]
+    ends = np.cumsum(lengths)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    at += np.repeat(starts - (ends - lengths), lengths)
+    return ids[at], ends
 
 
 class _Runs:
@@ -70,71 +85,65 @@ class _Runs:
         self.count += len(lengths)
 
     def take(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the given runs in order, and where each ends."""
-        starts, lengths = self.ends[runs], self.ends[runs + 1] - self.ends[runs]
-        ends = np.cumsum(lengths)
-        at = np.arange(int(ends[-1]) if len(ends) else 0)
-        at += np.repeat(starts - (ends - lengths), lengths)
-        return self.ids[at], ends
+        return _taken(self.ids, self.ends, runs)
 
 
 class Vocabulary:
-    """Ids of whole texts, with the ids of known words kept."""
+    """Ids of whole texts, with the ids of known pieces kept."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        # Fixed value: the vocabulary's own splitting rule.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.code = self.lib.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The model's characters stand for bytes; those of ASCII for themselves.
+        stand = {b: m for c in range(0x80, 0x300) for b, m in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0])}
+        self.bytes = "".join(stand.get(b, chr(b)) for b in range(256))
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
         self.piece_at: dict[str, int] = {}
-        self.word_at: dict[str, int] = {}
-        self.piece_ids, self.word_ids = _Runs(), _Runs()
+        self.piece_ids = _Runs()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, word: str) -> list[str]:
-        if word.isalpha():
-            return [word]
-        if word[:-1].isalpha() and word[-1] in ".,":
-            return [word[:-1], word[-1]]
-        return self.split(word)
-
-    def _learn(self, words: list[str]) -> None:
-        split = list(map(self._pieces, words))
-        pieces = [p for ps in split for p in ps]
-        new = [p for p in dict.fromkeys(pieces) if p not in self.piece_at]
-        # A blank always ends a piece, so many pieces go to the library as one text.
-        for first in range(0, len(new), JOINED):
-            some = new[first: first + JOINED]
-            e = self.lib.encode(" ".join(some), add_special_tokens=False)
-            self.piece_at.update(zip(some, range(self.piece_ids.count, self.piece_ids.count + len(some))))
-            self.piece_ids.add(np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
-        ids, ends = self.piece_ids.take(np.fromiter(map(self.piece_at.__getitem__, pieces), np.int64, len(pieces)))
-        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        word_ends = np.concatenate([[0], ends])[last]
-        self.word_at.update(zip(words, range(self.word_ids.count, self.word_ids.count + len(words))))
-        self.word_ids.add(ids, np.diff(word_ends, prepend=0))
+    def _learn(self, pieces: list[str]) -> None:
+        ids, lengths = [], []
+        for p in pieces:
+            tokens = self.code(p if p.isascii() else codecs.charmap_decode(p.encode(), "strict", self.bytes)[0])
+            ids += [t.id for t in tokens]
+            lengths.append(len(tokens))
+        self.piece_at.update(zip(pieces, range(self.piece_ids.count, self.piece_ids.count + len(pieces))))
+        self.piece_ids.add(np.array(ids, np.uint32), np.array(lengths, np.int64))
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in order, and the bounds of each word's."""
+        # Most words are letters, or letters and a mark; the others go by the rule.
+        stem, mark = pc.utf8_slice_codeunits(words, 0, -1), pc.utf8_slice_codeunits(words, -1)
+        marked = pc.and_(pc.is_in(mark, value_set=pa.array([".", ","], words.type)), pc.utf8_is_alpha(stem))
+        odd = pc.invert(pc.or_(marked, pc.utf8_is_alpha(words)))
+        spaced = pc.if_else(marked, pc.binary_join_element_wise(stem, mark, pa.scalar(" ", words.type)), words)
+        spaced = pc.replace_with_mask(spaced, odd, pc.replace_substring_regex(words.filter(odd), _PIECE, r"\1 "))
+        pieces = pc.ascii_split_whitespace(spaced)  # an empty one, of no ids, after a last blank
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.piece_at) + len(distinct) > MAX_PIECES:
+            self._forget()
+        if new := [p for p in distinct if p not in self.piece_at]:
+            self._learn(new)
+        known = np.fromiter(map(self.piece_at.__getitem__, distinct), np.int64, len(distinct))
+        ids, ends = self.piece_ids.take(known[coded.indices.to_numpy()] if len(distinct) else known)
+        return ids, np.concatenate([[0], ends])[pieces.offsets.to_numpy()]
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         words = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.word_at) + len(distinct) > MAX_WORDS:
-            self._forget()
-        if unknown := [w for w in distinct if w not in self.word_at]:
-            self._learn(unknown)
-        known = np.fromiter(map(self.word_at.__getitem__, distinct), np.int64, len(distinct))
-        ids, ends = self.word_ids.take(known[coded.indices.to_numpy()] if len(distinct) else known)
-        at = np.concatenate([[0], ends])[bounds]
+        ids, ends = _taken(*self._word_ids(coded.dictionary), coded.indices.to_numpy())
+        at = np.concatenate([[0], ends])[words.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -241,7 +250,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         if rows:
             yield out()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(frugal(run), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
