@@ -165,3 +165,26 @@ def test_last_join_leaves_pairs_to_their_rarest_common_values(spark, monkeypatch
     got = set(near_dedup._prefix_join(members, 80).collect())
     monkeypatch.setattr(F, "arrays_overlap", lambda a, b: F.lit(False))
     assert len(got) > 50 and got == set(near_dedup._prefix_join(members, 80).collect())
+
+
+def test_last_join_leaves_out_values_of_one_component(spark, monkeypatch):
+    """Near copies that are linked already, with a few values in common with
+    other groups: none of their rows reaches the join of the values; a link
+    between components does."""
+    rows = []
+    for g in range(20):
+        base = [1000 * (g + 1) + k for k in range(50)] + [1, 2, 3]
+        rows += [(100 * g + k, 54, g, sorted(base + [10 ** 6 + 100 * g + k])) for k in range(8)]
+    rows += [(9000 + k, 54, 900 + k, sorted([10 ** 7 + v for v in range(53)] + [10 ** 8 + k])) for k in range(2)]
+    members = spark.createDataFrame(rows, "id long, n long, component long, sketch array<long>")
+    kept, cut = [], near_dedup.cut
+
+    def seen(df):
+        out = cut(df)
+        if "rest" in df.columns:
+            kept.append({r.id for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", seen)
+    assert {(r.a, r.b) for r in near_dedup._prefix_join(members, 80).collect()} == {(9001, 9000)}
+    assert kept == [{9000, 9001}]

@@ -24,8 +24,9 @@ verified on the full sets, and verified links give components.  Candidates:
   components there.
 - The members of the long lists that still span several components are joined
   on sketches of ``WIDE`` values, which for most texts are their whole sets,
-  between components only.  With the values of a sketch ordered from rare to
-  frequent, the first common one of a pair must stand early enough in both to
+  between components only.  Values that one component has to itself are left
+  out; most members then have too few left for any link.  With the others of a
+  sketch ordered from rare to frequent, the first common one of a pair must stand early enough in both to
   leave what a link has in common: exactly where both sketches are whole sets,
   else up to ``_WIDE_SLACK``, six deviations of the estimate.  A pair with one of
   the ``RARER`` next rarer values in common is left to that one, so that pairs
@@ -254,8 +255,12 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
     room for a link."""
     wide = wide or WIDE
     share = percent / 100 - _WIDE_SLACK
-    held = cut(members.select("id", "n", "component", F.size("sketch").alias("s"), F.explode("sketch").alias("value")))
-    several = held.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    held = cut(members.select("id", "component", F.explode("sketch").alias("value")))
+    sizes = members.select("id", "n", "component", F.least("n", F.lit(wide)).alias("s"))
+    # Pairs of interest have none of the values that one component has to itself.
+    several = (held.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"),
+                                         F.max("component").alias("high"))
+               .filter("low <> high").select("value", "m"))
     order = Window.partitionBy("id").orderBy(F.desc("m"), F.desc("value"))
     # How many values of the sketch may still be common from this one on, and
     # the next rarer ones: a pair that has one of them in common meets there too.
@@ -263,7 +268,8 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
     rarer = F.collect_list("value").over(order.rowsBetween(1, RARER))
     # No partner is longer than n * 100 / percent; up to there all are whole sets.
     exact = F.col("n") * 100 <= wide * percent
-    rows = cut(held.join(several, "value").withColumn("rest", rest).withColumn("rarer", rarer).drop("m")
+    rows = cut(held.select("id", "value").join(several, "value").withColumn("rest", rest).withColumn("rarer", rarer).drop("m")
+               .join(sizes, "id")
                .filter(F.when(exact, F.col("rest") * 100 >= percent * F.col("n")).otherwise(F.col("rest") >= share * F.col("s"))))
     lowest = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100))
     left, right = F.least("x.rest", "y.rest"), F.col("x.n") + F.col("y.n")
