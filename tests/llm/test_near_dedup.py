@@ -188,3 +188,46 @@ def test_last_join_leaves_out_values_of_one_component(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "cut", seen)
     assert {(r.a, r.b) for r in near_dedup._prefix_join(members, 80).collect()} == {(9001, 9000)}
     assert kept == [{9000, 9001}]
+
+
+def test_similar_sets_share_a_run(spark):
+    """Pairs of whole sets on or above the bound have a key of the second lists
+    in common, the smallest ones too."""
+    rnd, sets = random.Random(5), []
+    for n in list(range(4, 13)) * 30 + [20, 40, 60] * 30:
+        union = sorted(rnd.sample(range(10 ** 9), n))
+        odd = rnd.sample(union, n // 5)
+        left = {v for v in odd if rnd.random() < 0.5}
+        sets += [[v for v in union if v not in left], [v for v in union if v not in set(odd) - left]]
+    rows = [(i, len(s), s) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "id long, n long, sketch array<long>")
+    small = classes.filter(classes.n <= near_dedup.SMALL)
+    keys = near_dedup._run_keys(classes, 3, near_dedup.K).unionByName(near_dedup._run_keys(small, 2, near_dedup.K))
+    own = {}
+    for r in keys.collect():
+        own.setdefault(r.id, set()).add(r.key)
+    assert all(own[i] & own[i + 1] for i in range(0, len(sets), 2))
+
+
+def test_texts_with_a_pair_in_common_stay_out_of_the_last_join(spark, monkeypatch):
+    """Texts that have two neighbouring values in common, and no more, share a
+    long list; none of them reaches the last join."""
+    texts = {k: " ".join(["of", "the", "same"] + words(700 + k, 8)) for k in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    joined, crossing = [], near_dedup.Search.crossing
+    monkeypatch.setattr(near_dedup.Search, "crossing", lambda self, members: joined.append(members.count()) or crossing(self, members))
+    assert got(near_dedup.near_groups(docs, 2).collect()) == brute(texts, 2)
+    assert joined == []
+
+
+def test_members_with_own_values_move_no_rows(spark):
+    """Of texts that have 70 of 100 values in common with others, no value
+    remains but those; a text without any keeps none."""
+    from tillpoint.llm.common import cut
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(62) for _ in range(70)]
+    rows = [(i, 100, base + [rnd.getrandbits(62) for _ in range(30)]) for i in range(20)] + [(99, 2, [rnd.getrandbits(62), rnd.getrandbits(62)])]
+    members = spark.createDataFrame(rows, "id long, n long, sketch array<long>")
+    values = cut(spark.createDataFrame([(v,) for v in base], "value long"))
+    left = {r.id: r.sketch for r in near_dedup._among(members, values).collect()}
+    assert all(set(base) <= set(left[i]) and len(left[i]) < 73 for i in range(20)) and left[99] == []

@@ -22,11 +22,18 @@ verified on the full sets, and verified links give components.  Candidates:
 - Longer lists that span several components get another pivot, one that has
   not been a pivot before, for as long as a round leaves at most half of the
   components there.
-- The members of the long lists that still span several components are joined
-  on sketches of ``WIDE`` values, which for most texts are their whole sets,
-  between components only.  Values that one component has to itself are left
-  out; most members then have too few left for any link.  With the others of a
-  sketch ordered from rare to frequent, the first common one of a pair must stand early enough in both to
+- The members of the long lists that still span several components get lists
+  for each run of three neighbouring values among all ``K``, which far fewer
+  texts that are not alike have in common, and these are expanded and tied in
+  the same way.  Two sets with a similarity of 0.8 have a common run but for a
+  chance of about 1e-10, and always when their sketches are complete, except
+  for sets of four and five values: sets of at most ``SMALL`` keep pairs too.
+- The members of the long ones of these that still span several components are
+  joined on sketches of ``WIDE`` values, which for most texts are their whole
+  sets, between components only.  Values that one component has to itself are
+  left out; most members then have too few left for any link, and a bit filter
+  of the others finds them before any row of theirs moves.  With the others of
+  a sketch ordered from rare to frequent, the first common one of a pair must stand early enough in both to
   leave what a link has in common: exactly where both sketches are whole sets,
   else up to ``_WIDE_SLACK``, six deviations of the estimate.  A pair with one of
   the ``RARER`` next rarer values in common is left to that one, so that pairs
@@ -52,6 +59,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillpoint.llm.bitfilter import bit_filter
 from tillpoint.llm.common import cut, frugal, read_table, release
 from tillpoint.llm.components import components
 from tillpoint.llm.packing import slices
@@ -60,6 +68,7 @@ from tillpoint.llm.words import hashed_runs, hashed_words
 K = 64
 RUN = 40
 SHORT = 32
+SMALL = 5  # values of the sets that need not have a run of three in common
 LONG_SHARE = 0.15  # of a pivot round's members; the last join has no such bound
 BLOCK = 1000
 MAX_BROADCAST_IDS = 500_000
@@ -148,15 +157,20 @@ class Search:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int):
         self.docs, self.classes, self.width, self.percent, self.k = docs, classes, width, percent, k
         self.links: list[DataFrame] = []
+        self.compared: list[DataFrame] = []  # (a, b), each pair in one of them
         self.sets: list[DataFrame] = []  # (id, whole), each id in one of them
         self.nodes: DataFrame | None = None
 
     def verified(self, candidates: DataFrame) -> DataFrame:
         """The links among ``candidates`` (a, b)."""
         own = self.classes.select("id", "sketch")
-        near = cut(candidates.join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), F.col("b") == F.col("y.id"))
-                   .filter(_estimate(F.col("x.sketch"), F.col("y.sketch"), self.k) >= self.percent / 100 - _ESTIMATE_SLACK)
-                   .select("a", "b"))
+        near = (candidates.join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), F.col("b") == F.col("y.id"))
+                .filter(_estimate(F.col("x.sketch"), F.col("y.sketch"), self.k) >= self.percent / 100 - _ESTIMATE_SLACK)
+                .select("a", "b"))
+        for known in self.compared:
+            near = near.join(known, ["a", "b"], "left_anti")
+        near = cut(near)
+        self.compared.append(near)
         self._read_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = reduce(DataFrame.unionByName, self.sets)
         pairs = (near.join(sets.select(F.col("id").alias("a"), F.col("whole").alias("set_a")), "a")
@@ -249,28 +263,49 @@ def _size_bin(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100 / percent)))
 
 
+def _among(members: DataFrame, values: DataFrame) -> DataFrame:
+    """``members`` (id, n, sketch) with those values of the sketches only that
+    may be among ``values`` (a written table)."""
+    known = bit_filter(values, "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
+            held = known.may_hold(flat.view(np.uint64))
+            before = np.concatenate([[0], np.cumsum(held)])[ends - ends[0]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(before, pa.array(flat[held]))], names=["id", "n", "sketch"])
+
+    return members.mapInArrow(frugal(run), "id long, n long, sketch array<long>")
+
+
 def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> DataFrame:
     """The pairs of ``members`` (id, n, component, sketch of ``wide`` values) in
     different components whose first common value, from rare to frequent, leaves
     room for a link."""
     wide = wide or WIDE
     share = percent / 100 - _WIDE_SLACK
-    held = cut(members.select("id", "component", F.explode("sketch").alias("value")))
     sizes = members.select("id", "n", "component", F.least("n", F.lit(wide)).alias("s"))
     # Pairs of interest have none of the values that one component has to itself.
-    several = (held.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"),
-                                         F.max("component").alias("high"))
-               .filter("low <> high").select("value", "m"))
+    several = cut(members.select("component", F.explode("sketch").alias("value")).groupBy("value")
+                  .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+                  .filter("low <> high").select("value", "m"))
+    # No partner is longer than n * 100 / percent; up to there all are whole sets.
+    exact = F.col("n") * 100 <= wide * percent
+
+    def room_from(count: Column, s: Column) -> Column:
+        return F.when(exact, count * 100 >= percent * F.col("n")).otherwise(count >= share * s)
+
+    held = (_among(members.select("id", "n", "sketch"), several)
+            .filter(room_from(F.size("sketch"), F.least("n", F.lit(wide)))).select("id", F.explode("sketch").alias("value")))
     order = Window.partitionBy("id").orderBy(F.desc("m"), F.desc("value"))
     # How many values of the sketch may still be common from this one on, and
     # the next rarer ones: a pair that has one of them in common meets there too.
     rest = F.row_number().over(order)
     rarer = F.collect_list("value").over(order.rowsBetween(1, RARER))
-    # No partner is longer than n * 100 / percent; up to there all are whole sets.
-    exact = F.col("n") * 100 <= wide * percent
-    rows = cut(held.select("id", "value").join(several, "value").withColumn("rest", rest).withColumn("rarer", rarer).drop("m")
-               .join(sizes, "id")
-               .filter(F.when(exact, F.col("rest") * 100 >= percent * F.col("n")).otherwise(F.col("rest") >= share * F.col("s"))))
+    rows = cut(held.join(several, "value").withColumn("rest", rest).withColumn("rarer", rarer).drop("m")
+               .join(sizes, "id").filter(room_from(F.col("rest"), F.col("s"))))
     lowest = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100))
     left, right = F.least("x.rest", "y.rest"), F.col("x.n") + F.col("y.n")
     room = F.when(F.greatest("x.n", "y.n") <= wide, left * (100 + percent) >= percent * right).otherwise(
@@ -294,47 +329,69 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
 
 
-def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: int, k: int = K,
-                    run: int = RUN, short: int = SHORT) -> DataFrame:
-    """(node, component) of the classes that have a link."""
-    classes = cut(sketched.filter("n > 0 and doc_id is not null").groupBy("one", "two")
-                  .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    search = Search(docs, classes, width, percent, k)
-    pairs = F.zip_with(F.expr(f"slice(sketch, 1, least({run}, size(sketch)) - 1)"),
-                       F.expr(f"slice(sketch, 2, least({run}, size(sketch)) - 1)"), lambda x, y: F.xxhash64(x, y))
-    every = classes.filter("size(sketch) > 1").select(
-        "id", "n", (F.least(F.lit(run), F.size("sketch")) - 1).alias("own"), F.explode(pairs).alias("key"))
+def _run_keys(classes: DataFrame, length: int, most: int) -> DataFrame:
+    """(id, n, own, key) for each run of ``length`` neighbouring values among
+    the ``most`` smallest of a sketch; ``own`` counts them."""
+    own = F.least(F.lit(most), F.size("sketch")) - (length - 1)
+    keys = F.transform(F.sequence(F.lit(1), own), lambda i: F.xxhash64(*(F.element_at("sketch", i + j) for j in range(length))))
+    return classes.filter(F.size("sketch") >= length).select("id", "n", own.alias("own"), F.explode(keys).alias("key"))
+
+
+def _shared(every: DataFrame, short: int) -> DataFrame:
+    """The lists of more than one member of ``every`` (id, n, own, key)."""
     counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = cut(every.join(counts, "key"))
     # A pair that no short list holds shares long lists only, and many of its own.
     quality = several.groupBy("id").agg(
         F.sum("m").alias("quality"),
         (F.sum((F.col("m") > short).cast("long")) >= F.max("own") * LONG_SHARE).alias("long"))
-    lists = cut(several.select("key", "id", "n", "m").join(quality, "id"))
-    del every, counts, several, quality
-    release(docs.sparkSession)
+    return cut(several.select("key", "id", "n", "m").join(quality, "id"))
 
-    alone = lists.withColumn("component", F.col("id"))
-    pivots = cut(_best(alone))
-    nodes, _ = search.add(_tied(alone, pivots, percent))
-    unfinished = _open(lists, nodes)
-    used = pivots.select(F.col("pivot").alias("id")).distinct()
-    expanded = _expanded(unfinished.filter(F.col("m") <= short), percent)
+
+def _settled(search: Search, unfinished: DataFrame, used: DataFrame | None, short: int) -> tuple[DataFrame, DataFrame]:
+    """Expand the short ones of the lists ``unfinished`` and tie the long ones
+    to further pivots; the members (id, n, component) of the long lists that
+    still span several components, and the pivots ``used`` so far."""
+    expanded = _expanded(unfinished.filter(F.col("m") <= short), search.percent)
     left = _parts(unfinished, short)
     while True:
         fresh = unfinished.filter((F.col("m") > short) & F.col("long"))
         pivots = cut(_best(fresh.join(used, "id", "left_anti")))
-        tied = _tied(fresh, pivots, percent)
+        tied = _tied(fresh, pivots, search.percent)
         nodes, found = search.add(tied if expanded is None else tied.unionByName(expanded).distinct())
         if found:
-            unfinished = _open(lists, nodes)
+            unfinished = _open(unfinished.drop("component"), nodes)
+        used = cut(used.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct())
         before, left = left, _parts(unfinished, short)
         if not left or 2 * left > before:
-            break
-        used = cut(used.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct())
+            return cut(unfinished.filter(F.col("m") > short).select("id", "n", "component").distinct()), used
         expanded = None
-    members = cut(unfinished.filter(F.col("m") > short).select("id", "n", "component").distinct())
-    return search.add(search.crossing(members))[0] if left else nodes
+
+
+def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: int, k: int = K,
+                    run: int = RUN, short: int = SHORT) -> DataFrame:
+    """(node, component) of the classes that have a link."""
+    classes = cut(sketched.filter("n > 0 and doc_id is not null").groupBy("one", "two")
+                  .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    search = Search(docs, classes, width, percent, k)
+    lists = _shared(_run_keys(classes, 2, run), short)
+    release(docs.sparkSession)
+
+    alone = lists.withColumn("component", F.col("id"))
+    pivots = cut(_best(alone))
+    nodes, _ = search.add(_tied(alone, pivots, percent))
+    used = pivots.select(F.col("pivot").alias("id")).distinct()
+    members, used = _settled(search, _open(lists, nodes), used, short)
+    del lists, alone, pivots
+    if members.isEmpty():
+        return search.nodes
+    # Runs of three hold far fewer texts that are not alike.
+    own = cut(classes.join(members.select("id"), "id", "left_semi"))
+    lists = _shared(_run_keys(own, 3, k).unionByName(_run_keys(own.filter(F.col("n") <= SMALL), 2, k)), short)
+    members, used = _settled(search, _open(lists, search.nodes), used, short)
+    del lists, own
+    release(docs.sparkSession)
+    return search.nodes if members.isEmpty() else search.add(search.crossing(members))[0]
 
 
 def near_groups(docs: DataFrame, width: int, percent: int = 80) -> DataFrame:
