@@ -167,8 +167,8 @@ class Search:
         near = (candidates.join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), F.col("b") == F.col("y.id"))
                 .filter(_estimate(F.col("x.sketch"), F.col("y.sketch"), self.k) >= self.percent / 100 - _ESTIMATE_SLACK)
                 .select("a", "b"))
-        for known in self.compared:
-            near = near.join(known, ["a", "b"], "left_anti")
+        if self.compared:
+            near = near.join(reduce(DataFrame.unionByName, self.compared), ["a", "b"], "left_anti")
         near = cut(near)
         self.compared.append(near)
         self._read_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
