@@ -231,3 +231,28 @@ def test_members_with_own_values_move_no_rows(spark):
     values = cut(spark.createDataFrame([(v,) for v in base], "value long"))
     left = {r.id: r.sketch for r in near_dedup._among(members, values).collect()}
     assert all(set(base) <= set(left[i]) and len(left[i]) < 73 for i in range(20)) and left[99] == []
+
+
+def test_small_rounds_take_few_tasks(spark, monkeypatch):
+    """What a round leaves is read in as many tasks as its rows are worth, not
+    in one for each partition of the shuffle that it came from; many rows keep
+    their parts."""
+    from tillpoint.llm import common
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        edges = spark.createDataFrame([(k, k // 2) for k in range(1, 60)], "a long, b long")
+        nodes = components(edges)
+        assert nodes.rdd.getNumPartitions() == 1
+        assert {tuple(r) for r in nodes.collect()} == {(k, 0) for k in range(60)}
+        rows = spark.range(1000).groupBy((F.col("id") * 7).alias("k")).count()
+        few, many = common.packed(rows, 300), common.packed(rows, 1)
+        assert (few.count, few.rows.rdd.getNumPartitions(), many.rows.rdd.getNumPartitions()) == (1000, 4, 8)
+        # The same with several tasks a round.
+        real = common.packed
+        monkeypatch.setattr("tillpoint.llm.components.packed", lambda df: real(df, 20))
+        several = components(edges.unionByName(spark.createDataFrame([(k + 1, k) for k in range(100, 150)], "a long, b long")))
+        assert {tuple(r) for r in several.collect()} == {(k, 0) for k in range(60)} | {(k, 100) for k in range(100, 151)}
+    finally:
+        spark.conf.set(key, before)

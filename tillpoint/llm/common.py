@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROWS_A_TASK = 100_000  # of a few numbers each
+
+
+class Packed(NamedTuple):
+    rows: DataFrame
+    count: int
+    tasks: int
+
+
+def packed(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> Packed:
+    """``cut``, read again in as many tasks as its rows are worth.
+
+    A written table has a part for each task that wrote it, mostly one for each
+    partition of a shuffle, however few rows are left.  What one task can hold
+    needs no shuffle in later steps either.  Never more tasks than parts."""
+    done = cut(df)
+    n = done.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()
+    tasks = max(1, -(-n // rows_a_task))
+    return Packed(done.coalesce(tasks), n, tasks)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps that are written and done.
 

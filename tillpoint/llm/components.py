@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import cut, release
+from tillpoint.llm.common import packed, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,21 +17,26 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour is a partial aggregate, and a node with very many neighbours is
     split by the skewed join; each round is written to the shared folder.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges, _, tasks = packed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = (both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+        large, _, tasks = packed(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+                                 .coalesce(tasks).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (large.join(least, "a").select(F.col("b").alias("x"), "a", "low"))
         linked = (small.filter("x <> low").select(F.col("x").alias("a"), F.col("low").alias("b"))
-                  .unionByName(least.select("a", F.col("low").alias("b"))).distinct())
-        linked = cut(linked)
-        changed = linked.exceptAll(edges).isEmpty() and edges.exceptAll(linked).isEmpty()
+                  .unionByName(least.select("a", F.col("low").alias("b"))).coalesce(tasks).distinct())
+        linked, _, tasks = packed(linked)
+        changed = _within(linked, edges) and _within(edges, linked)
         edges = linked
         del both, least, large, small, linked
         release(edges.sparkSession)
         if changed:
             break
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            .unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())
+            .unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).coalesce(tasks).distinct())
+
+
+def _within(some: DataFrame, every: DataFrame) -> bool:
+    return some.join(every, ["a", "b"], "left_anti").isEmpty()

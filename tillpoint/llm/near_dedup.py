@@ -60,7 +60,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.bitfilter import bit_filter
-from tillpoint.llm.common import cut, frugal, read_table, release
+from tillpoint.llm.common import Packed, cut, frugal, packed, read_table, release
 from tillpoint.llm.components import components
 from tillpoint.llm.packing import slices
 from tillpoint.llm.words import hashed_runs, hashed_words
@@ -72,6 +72,8 @@ SMALL = 5  # values of the sets that need not have a run of three in common
 LONG_SHARE = 0.15  # of a pivot round's members; the last join has no such bound
 BLOCK = 1000
 MAX_BROADCAST_IDS = 500_000
+SKETCHES_A_TASK = 8_000
+SETS_A_TASK = 1_000
 SLICE_BYTES = 4 << 20
 WIDE = 256
 RARER = 4  # values that a row of the last join carries along
@@ -159,6 +161,7 @@ class Search:
         self.links: list[DataFrame] = []
         self.compared: list[DataFrame] = []  # (a, b), each pair in one of them
         self.sets: list[DataFrame] = []  # (id, whole), each id in one of them
+        self.read: list[DataFrame] = []  # their ids
         self.nodes: DataFrame | None = None
 
     def verified(self, candidates: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ class Search:
                 .select("a", "b"))
         if self.compared:
             near = near.join(reduce(DataFrame.unionByName, self.compared), ["a", "b"], "left_anti")
-        near = cut(near)
+        near = packed(near).rows
         self.compared.append(near)
         self._read_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = reduce(DataFrame.unionByName, self.sets)
@@ -180,8 +183,8 @@ class Search:
     def crossing(self, members: DataFrame) -> DataFrame:
         """All pairs (a, b) of ``members`` (id, n, component) in different
         components that their wide sketches admit as links."""
-        own = sketches(self._texts(cut(members.select("id").distinct())).withColumnRenamed("id", "doc_id"), self.width, WIDE)
-        wide = cut(own.select(F.col("doc_id").alias("id"), "n", "sketch").distinct())
+        own = sketches(self._texts(packed(members.select("id").distinct())).withColumnRenamed("id", "doc_id"), self.width, WIDE)
+        wide = packed(own.select(F.col("doc_id").alias("id"), "n", "sketch").distinct(), SKETCHES_A_TASK * K // WIDE).rows
         pairs = _prefix_join(members.join(wide, ["id", "n"]), self.percent)
         x, y = wide.alias("x"), wide.alias("y")
         both = (pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")))
@@ -190,31 +193,34 @@ class Search:
         return both.filter(F.when(whole, common * (100 + self.percent) >= self.percent * (F.col("x.n") + F.col("y.n"))).otherwise(
             _estimate(F.col("x.sketch"), F.col("y.sketch"), WIDE) >= self.percent / 100 - _WIDE_SLACK)).select("a", "b")
 
-    def _texts(self, wanted: DataFrame) -> DataFrame:
-        """(id, text) of the ids ``wanted`` (a written table)."""
-        few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+    def _texts(self, wanted: Packed) -> DataFrame:
+        """(id, text) of the ids ``wanted``."""
+        few = F.broadcast(wanted.rows) if wanted.count <= MAX_BROADCAST_IDS else wanted.rows
         return (self.docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few, "id", "left_semi")
                 .filter(F.col("id").isNotNull()))
 
     def _read_sets(self, wanted: DataFrame) -> None:
         """Read the full sets of the ids that no earlier round has read."""
-        for known in self.sets:
-            wanted = wanted.join(known.select("id"), "id", "left_anti")
-        wanted = cut(wanted)
-        if not self.sets or not wanted.isEmpty():
-            self.sets.append(cut(full_sets(self._texts(wanted), self.width).distinct()))
+        if self.read:
+            wanted = wanted.join(reduce(DataFrame.unionByName, self.read), "id", "left_anti")
+        fresh = packed(wanted)
+        if not self.sets or fresh.count:
+            self.read.append(fresh.rows)
+            sets = cut(full_sets(self._texts(fresh), self.width).distinct())
+            self.sets.append(sets.coalesce(-(-fresh.count // SETS_A_TASK) or 1))
 
     def add(self, candidates: DataFrame) -> tuple[DataFrame, bool]:
         """Verify; the components of all links so far as (node, component), and
         whether any of the candidates is a link."""
-        self.links.append(cut(self.verified(candidates).distinct()))
+        links = packed(self.verified(packed(candidates).rows).distinct())
+        self.links.append(links.rows)
         release(self.docs.sparkSession)
-        if len(self.links) > 1 and self.links[-1].isEmpty():
+        if len(self.links) > 1 and not links.count:
             return self.nodes, False
         edges = self.links[0]
         for more in self.links[1:]:
             edges = edges.unionByName(more)
-        self.nodes = cut(components(edges))
+        self.nodes = packed(components(edges)).rows
         return self.nodes, True
 
 
@@ -244,7 +250,7 @@ def _open(lists: DataFrame, nodes: DataFrame) -> DataFrame:
              .select("key", "id", "n", "m", "quality", "long", F.coalesce("component", "id").alias("component")))
     several = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low <> high").select("key"))
-    return cut(named.join(several, "key", "left_semi"))
+    return packed(named.join(several, "key", "left_semi")).rows
 
 
 def _parts(lists: DataFrame, short: int) -> int:
@@ -288,9 +294,9 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
     share = percent / 100 - _WIDE_SLACK
     sizes = members.select("id", "n", "component", F.least("n", F.lit(wide)).alias("s"))
     # Pairs of interest have none of the values that one component has to itself.
-    several = cut(members.select("component", F.explode("sketch").alias("value")).groupBy("value")
+    several = packed(members.select("component", F.explode("sketch").alias("value")).groupBy("value")
                   .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-                  .filter("low <> high").select("value", "m"))
+                  .filter("low <> high").select("value", "m")).rows
     # No partner is longer than n * 100 / percent; up to there all are whole sets.
     exact = F.col("n") * 100 <= wide * percent
 
@@ -304,8 +310,8 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
     # the next rarer ones: a pair that has one of them in common meets there too.
     rest = F.row_number().over(order)
     rarer = F.collect_list("value").over(order.rowsBetween(1, RARER))
-    rows = cut(held.join(several, "value").withColumn("rest", rest).withColumn("rarer", rarer).drop("m")
-               .join(sizes, "id").filter(room_from(F.col("rest"), F.col("s"))))
+    rows = packed(held.join(several, "value").withColumn("rest", rest).withColumn("rarer", rarer).drop("m")
+               .join(sizes, "id").filter(room_from(F.col("rest"), F.col("s")))).rows
     lowest = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100))
     left, right = F.least("x.rest", "y.rest"), F.col("x.n") + F.col("y.n")
     room = F.when(F.greatest("x.n", "y.n") <= wide, left * (100 + percent) >= percent * right).otherwise(
@@ -316,8 +322,8 @@ def _prefix_join(members: DataFrame, percent: int, wide: int | None = None) -> D
             .unionByName(small.select("value", "bin", "component", F.lit(1).alias("small")))
             .groupBy("value", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                          F.sum("small").alias("smalls")))
-    keys = cut(keys.filter("low <> high and smalls > 0").select(
-        "value", "bin", F.ceil(F.col("smalls") / BLOCK).alias("blocks")))
+    keys = packed(keys.filter("low <> high and smalls > 0").select(
+        "value", "bin", F.ceil(F.col("smalls") / BLOCK).alias("blocks"))).rows
     x = (large.join(keys, ["value", "bin"])
          .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("x"))
     y = (small.join(keys, ["value", "bin"])
@@ -340,15 +346,15 @@ def _run_keys(classes: DataFrame, length: int, most: int) -> DataFrame:
 def _shared(every: DataFrame, short: int) -> DataFrame:
     """The lists of more than one member of ``every`` (id, n, own, key)."""
     counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    several = cut(every.join(counts, "key"))
+    several = packed(every.join(counts, "key")).rows
     # A pair that no short list holds shares long lists only, and many of its own.
     quality = several.groupBy("id").agg(
         F.sum("m").alias("quality"),
         (F.sum((F.col("m") > short).cast("long")) >= F.max("own") * LONG_SHARE).alias("long"))
-    return cut(several.select("key", "id", "n", "m").join(quality, "id"))
+    return packed(several.select("key", "id", "n", "m").join(quality, "id")).rows
 
 
-def _settled(search: Search, unfinished: DataFrame, used: DataFrame | None, short: int) -> tuple[DataFrame, DataFrame]:
+def _settled(search: Search, unfinished: DataFrame, used: DataFrame | None, short: int) -> tuple[Packed, DataFrame]:
     """Expand the short ones of the lists ``unfinished`` and tie the long ones
     to further pivots; the members (id, n, component) of the long lists that
     still span several components, and the pivots ``used`` so far."""
@@ -356,42 +362,43 @@ def _settled(search: Search, unfinished: DataFrame, used: DataFrame | None, shor
     left = _parts(unfinished, short)
     while True:
         fresh = unfinished.filter((F.col("m") > short) & F.col("long"))
-        pivots = cut(_best(fresh.join(used, "id", "left_anti")))
+        pivots = packed(_best(fresh.join(used, "id", "left_anti"))).rows
         tied = _tied(fresh, pivots, search.percent)
         nodes, found = search.add(tied if expanded is None else tied.unionByName(expanded).distinct())
         if found:
             unfinished = _open(unfinished.drop("component"), nodes)
-        used = cut(used.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct())
+        used = packed(used.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct()).rows
         before, left = left, _parts(unfinished, short)
         if not left or 2 * left > before:
-            return cut(unfinished.filter(F.col("m") > short).select("id", "n", "component").distinct()), used
+            return packed(unfinished.filter(F.col("m") > short).select("id", "n", "component").distinct()), used
         expanded = None
 
 
 def link_components(docs: DataFrame, sketched: DataFrame, width: int, percent: int, k: int = K,
                     run: int = RUN, short: int = SHORT) -> DataFrame:
     """(node, component) of the classes that have a link."""
-    classes = cut(sketched.filter("n > 0 and doc_id is not null").groupBy("one", "two")
-                  .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = packed(sketched.filter("n > 0 and doc_id is not null").groupBy("one", "two")
+                     .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+                     SKETCHES_A_TASK).rows
     search = Search(docs, classes, width, percent, k)
     lists = _shared(_run_keys(classes, 2, run), short)
     release(docs.sparkSession)
 
     alone = lists.withColumn("component", F.col("id"))
-    pivots = cut(_best(alone))
+    pivots = packed(_best(alone)).rows
     nodes, _ = search.add(_tied(alone, pivots, percent))
     used = pivots.select(F.col("pivot").alias("id")).distinct()
     members, used = _settled(search, _open(lists, nodes), used, short)
     del lists, alone, pivots
-    if members.isEmpty():
+    if not members.count:
         return search.nodes
     # Runs of three hold far fewer texts that are not alike.
-    own = cut(classes.join(members.select("id"), "id", "left_semi"))
+    own = packed(classes.join(members.rows.select("id"), "id", "left_semi"), SKETCHES_A_TASK).rows
     lists = _shared(_run_keys(own, 3, k).unionByName(_run_keys(own.filter(F.col("n") <= SMALL), 2, k)), short)
     members, used = _settled(search, _open(lists, search.nodes), used, short)
     del lists, own
     release(docs.sparkSession)
-    return search.nodes if members.isEmpty() else search.add(search.crossing(members))[0]
+    return search.add(search.crossing(members.rows))[0] if members.count else search.nodes
 
 
 def near_groups(docs: DataFrame, width: int, percent: int = 80) -> DataFrame:
